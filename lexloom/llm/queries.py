@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, language, media, packing, quality, sharding, substring, suffix
+from lexloom.llm import chat, decontaminate, jaccard, language, media, packing, quality, sharding, substring, suffix
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,10 @@ QUERIES |= {
     for f in (op2_benchmark_decontamination, op3_substring_dedup, op4_packing, op5_language_id, op6_sharding, op7_quality_classifier, op8_suffix_array_dedup, op9_chat_formatting, op10_media_columns)
 }
 
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_documents(spark, sf_dir, "doc_id", "text"), shingle=5, percent=80)
+
+
+QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join

@@ -27,8 +27,8 @@ ENTRIES_SQL, FLAGS_SQL = "part int, known boolean, blob binary", "bucket int, bl
 class Sender:
     """Collects (hash, partition hash, id, offset) entries and yields packed rows."""
 
-    def __init__(self, parts: int, hash_bytes: int = 8, both: bool = False):
-        self.parts, self.hash_bytes, self.both, self.held, self.n, self.turn = parts, hash_bytes, both, [], 0, 0
+    def __init__(self, parts: int, hash_bytes: int = 8, both: bool = False, merge: bool = True):
+        self.parts, self.hash_bytes, self.both, self.merge, self.held, self.n, self.turn = parts, hash_bytes, both, merge, [], 0, 0
 
     def add(self, *entry: np.ndarray) -> None:
         self.held.append(entry)
@@ -46,7 +46,7 @@ class Sender:
         h, p, ids, off = h[order], p[order], ids[order], off[order]
         same = (h[1:] == h[:-1]) & (p[1:] == p[:-1])
         send = np.ones(len(h), bool)
-        if same.any():
+        if self.merge and same.any():
             group = np.zeros(len(h), np.int64)
             np.cumsum(~same, out=group[1:])
             many = np.zeros(len(h), bool)

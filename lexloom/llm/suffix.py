@@ -44,6 +44,19 @@ OUT = pa.schema([
 OUT_SQL = "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>"
 
 
+#: Types of the columns of ``documents`` that a pipeline carries through.
+CARRIED = {"lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
+
+
+def _mend(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The kept bytes without the pieces of characters that an edge cuts in two."""
+    head = (data & 0xC0) != 0x80
+    char = np.cumsum(head) - 1
+    touched = np.zeros(int(char[-1]) + 1, bool)
+    touched[char[gone]] = True
+    return data[~touched[char]]
+
+
 def cover_for(length: int) -> tuple[int, np.ndarray]:
     """The largest modulus that leaves sampled prefixes of at least three eighths of the length."""
     v = max((m for m in COVERS if length - m + 1 >= max(1, 3 * length // 8)), default=0)
@@ -59,7 +72,25 @@ def copies(docs: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, kept, removed): the remaining bytes and the removed byte runs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _dedup(rows, [], length)
+
+
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source, n_chars) with repeated strings cut and ``n_chars`` counted anew.
+
+    A character that an edge of a removed run cuts in two goes whole; documents
+    of which nothing is left go; those that had no text to begin with stay.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    found = _dedup(rows, ["lang", "source", "n_chars"], length)
+    text = F.decode(F.col("kept"), "UTF-8")
+    kept = found.filter("n_removed = 0 OR octet_length(kept) > 0")
+    return kept.select("doc_id", F.when(~F.col("was_null"), text).alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def _dedup(docs: DataFrame, carried: list[str], length: int) -> DataFrame:
+    """The dedup of (doc_id, text) rows; columns ``carried`` come out beside the result."""
     v, cover = cover_for(length)
     depth = length - v + 1
     total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
@@ -70,7 +101,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = cluster.cut(copies(docs), "op8-copies")
     n_same = same.count()
     light = cluster.sized(same, 64, n_same)
-    distinct = docs.join(light, "doc_id", "left_anti") if n_same else docs
+    distinct = docs.select("doc_id", "text")
+    if n_same:
+        distinct = distinct.join(light, "doc_id", "left_anti")
 
     def sampled(s: r.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Global position, document and sample number of each sampled position with a whole prefix."""
@@ -150,6 +183,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     data = s.data[s.bounds[k] : s.bounds[k + 1]]
                     size = len(data)
                     spans, removed, kept = [], 0, data
+                    gone = None
                     if whole[base + s.rows.start + k]:
                         if size >= length:
                             spans, removed, kept = [{"start": 0, "end": size}], size, data[:0]
@@ -157,9 +191,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         gone = rep.covered(at, length, size)
                         spans = [{"start": int(a), "end": int(b)} for a, b in r.ranges(gone)]
                         removed, kept = int(gone.sum()), data[~gone]
-                    out.append((None if one == np.iinfo(np.int64).min else int(one), size, removed, kept.tobytes(), spans))
+                    whole_characters = _mend(data, gone) if carried and gone is not None else kept
+                    out.append((None if one == np.iinfo(np.int64).min else int(one), size, removed, whole_characters.tobytes(), spans, bool(s.null[k])))
             base += batch.num_rows
-        return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 5, schema=OUT)
+        schema = OUT
+        if carried:
+            schema = schema.append(pa.field("was_null", pa.bool_()))
+        cols = [list(x) for x in zip(*out, strict=True)][: len(schema)] if out else [[]] * len(schema)
+        found = pa.table(cols, schema=schema)
+        for c in carried:
+            found = found.append_column(pa.field(c, CARRIED[c]), rows.column(c).cast(CARRIED[c]))
+        return found
 
     known = cluster.sized(same.withColumn("copy", F.lit(True)), 64, n_same)
-    return dealt(docs.join(known, "doc_id", "left")).cogroup(flags.groupBy("bucket")).applyInArrow(clean, OUT_SQL)
+    return dealt(docs.join(known, "doc_id", "left")).cogroup(flags.groupBy("bucket")).applyInArrow(clean, OUT_SQL + (", was_null boolean" if carried else "") + "".join(f", {c} {'long' if c == 'n_chars' else 'string'}" for c in carried))

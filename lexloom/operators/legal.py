@@ -31,7 +31,7 @@ ARTICLES = "doc_id string, article_no int, article string, title string, chapter
 def _cut(pattern: re.Pattern, text: str) -> list[tuple[re.Match, str]]:
     """Each match with the text up to the next."""
     found = list(pattern.finditer(text))
-    ends = [m.start() for m in found[1:]] + [len(text)]
+    ends = [m.start() for m in found[1:]] + [len(text)] * bool(found)
     return [(m, text[m.start() : end].strip()) for m, end in zip(found, ends, strict=True)]
 
 

@@ -105,7 +105,7 @@ def merge_hits(*lists: DataFrame, limit: int) -> DataFrame:
         part = r.select("qid", "id", "score", F.struct(F.lit(source).alias("source"), F.col("rank").alias("at")).alias("seen"))
         every = part if every is None else every.unionByName(part)
     best = every.groupBy("qid", "id").agg(F.max("score").alias("score"), F.min("seen").alias("seen"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "seen.source", "seen.at", "id")
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "seen.source", "seen.at", "id")
     return best.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit).withColumn("rank", F.col("rn") - 1).drop("rn", "seen")
 
 

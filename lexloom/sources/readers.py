@@ -40,7 +40,7 @@ def eval_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str, least_lines: int = 5) -> DataFrame:
     """(source_file, content) of the ``*.txt`` files but README, without byte-order mark, of enough lines."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("content"))
+    raw = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("content"))
     return raw.filter(~F.upper("source_file").startswith("README.") & (F.size(F.split("content", "\n")) >= least_lines))
 
 

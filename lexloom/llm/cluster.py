@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 16 << 20
+#: Spark's setting that removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,26 +28,36 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lost executors cost no recomputation.
 
-    The shuffle files that made it can then be dropped; a collection on both
-    sides lets Spark's cleaner do so at once.
+    The shuffle files that made it are removed with the write; the table goes
+    when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))
     out = spark.read.parquet(path)
     out.lexloom_path = path
     return out
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files of cut tables that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "lexloom_path", None):
-            spark = df.sparkSession
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _file_system(df.sparkSession, path).delete(_hadoop_path(df.sparkSession, path), True)
 
 
 def sized(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, jaccard, language, media, packing, quality, sharding, substring, suffix
+from lexloom.llm import chat, decontaminate, jaccard, language, media, oracles, packing, quality, sharding, substring, suffix
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -221,7 +221,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def go(batches):
         m = held.value
         for batch in batches:
-            for s in r.slices(batch, "doc_id", "text", r.SLICE_BYTES // 2):
+            for s in r.slices(batch, "doc_id", "text", r.SLICE_BYTES):
                 n = len(s.ids)
                 if m.labels:
                     logs, letters = m.scores(texts_of(s))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from lexloom.llm import rolling as r
 
 #: Entries that a mapper gathers before it sorts and sends them; entries that one hash partition should get.
-CHUNK, PER_PARTITION = 1_500_000, 2_000_000
+CHUNK, PER_PARTITION = 1_000_000, 1_000_000
 
 ENTRIES = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("blob", pa.binary())])
 FLAGS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -28,7 +28,7 @@ class Sender:
     """Collects (hash, partition hash, id, offset) entries and yields packed rows."""
 
     def __init__(self, parts: int, hash_bytes: int = 8, both: bool = False, merge: bool = True):
-        self.parts, self.hash_bytes, self.both, self.merge, self.held, self.n, self.turn = parts, hash_bytes, both, merge, [], 0, 0
+        self.parts, self.hash_bytes, self.both, self.merge, self.held, self.n = parts, hash_bytes, both, merge, [], 0
 
     def add(self, *entry: np.ndarray) -> None:
         self.held.append(entry)
@@ -43,7 +43,11 @@ class Sender:
         if self.hash_bytes < 8:
             h &= ~np.uint64((1 << (64 - 8 * self.hash_bytes)) - 1)
         order = np.lexsort((h, p))
-        h, p, ids, off = h[order], p[order], ids[order], off[order]
+        h = h[order]
+        p = p[order]
+        ids = ids[order]
+        off = off[order]
+        del order
         same = (h[1:] == h[:-1]) & (p[1:] == p[:-1])
         send = np.ones(len(h), bool)
         if self.merge and same.any():
@@ -59,12 +63,15 @@ class Sender:
             send[sub[~head]] = False
             flagged = sub if self.both else sub[~head]
             flagged = flagged[np.lexsort((off[flagged], ids[flagged]))]
-            self.turn = (self.turn + 1) % self.parts
-            yield pa.record_batch([[self.turn], [True], [r.pack(None, ids[flagged], off[flagged])]], schema=ENTRIES)
+            part = int(r.mix(h[flagged[:1]])[0] % np.uint64(self.parts))  # known places go to any partition, evenly
+            yield pa.record_batch([[part], [True], [r.pack(None, ids[flagged], off[flagged])]], schema=ENTRIES)
         h, p, ids, off = h[send], p[send], ids[send], off[send]
         starts, sizes = r.runs(p)
         blobs = [r.pack(h[a : a + n], ids[a : a + n], off[a : a + n], self.hash_bytes) for a, n in zip(starts, sizes, strict=True)]
-        yield pa.record_batch([pa.array(p[starts], pa.int32()), pa.array([False] * len(blobs)), pa.array(blobs, pa.binary())], schema=ENTRIES)
+        out = pa.record_batch([pa.array(p[starts], pa.int32()), pa.array([False] * len(blobs)), pa.array(blobs, pa.binary())], schema=ENTRIES)
+        del h, p, ids, off, send, blobs
+        r.give_back()
+        yield out
 
 
 def compare(entries: DataFrame, buckets: int, both: bool = False) -> DataFrame:
@@ -73,6 +80,7 @@ def compare(entries: DataFrame, buckets: int, both: bool = False) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         ids, offs, hashes = [], [], []
         out_ids, out_offs = [], []
+        r.give_back()
         for known, blob in zip(table.column("known").to_pylist(), table.column("blob"), strict=True):
             h, i, o = r.unpack(blob.as_buffer())
             if known:
@@ -84,16 +92,20 @@ def compare(entries: DataFrame, buckets: int, both: bool = False) -> DataFrame:
                 offs.append(o)
         if hashes:
             h, i, o = np.concatenate(hashes), np.concatenate(ids), np.concatenate(offs)
+            hashes, ids, offs = [], [], []
             first, rest = r.repeated(h, i, o)
             for at in (first, rest) if both else (rest,):
                 out_ids.append(i[at])
                 out_offs.append(o[at])
+            del h, first, rest
         i, o = np.concatenate([np.zeros(0, np.int64), *out_ids]), np.concatenate([np.zeros(0, np.int64), *out_offs])
         b = np.mod(i, buckets)
         order = np.lexsort((o, i, b))
         i, o, b = i[order], o[order], b[order]
         starts, sizes = r.runs(b)
         blobs = [r.pack(None, i[a : a + n], o[a : a + n]) for a, n in zip(starts, sizes, strict=True)]
+        del i, o, order, out_ids, out_offs
+        r.give_back()
         return pa.table([pa.array(b[starts], pa.int32()), pa.array(blobs, pa.binary())], schema=FLAGS)
 
     return entries.groupBy("part").applyInArrow(answer, FLAGS_SQL)

@@ -6,6 +6,8 @@ at a time, so memory follows the slice and never the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240613)
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,9 +185,15 @@ def pack(hashes: np.ndarray | None, ids: np.ndarray, offsets: np.ndarray, hash_b
     """
     n = len(ids)
     base = int(ids.min()) if n else 0
-    head = np.array([n, base, hash_bytes if hashes is not None else 0], np.int64).tobytes()
     wide = (ids - base).astype(np.uint64)
-    body = _planes(wide, _width(wide)) + _planes(offsets.astype(np.uint64), _width(offsets))
+    some, turn = np.unique(wide, return_inverse=True) if n else (wide, wide)
+    listed = len(some) if 4 * len(some) < n else 0  # few ids: a list of them, and places in it
+    if listed:
+        body = _planes(np.diff(some, prepend=np.uint64(0)), 8) + _planes(turn.astype(np.uint64), _width(turn))
+    else:
+        body = _planes(wide, _width(wide))
+    head = np.array([n, base, hash_bytes if hashes is not None else 0, listed], np.int64).tobytes()
+    body += _planes(offsets.astype(np.uint64), _width(offsets))
     if hashes is not None:
         top = (hashes >> np.uint64(48)).astype(np.uint64)
         body += _planes(np.diff(top, prepend=np.uint64(0)), 2)
@@ -196,15 +204,20 @@ def pack(hashes: np.ndarray | None, ids: np.ndarray, offsets: np.ndarray, hash_b
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf = memoryview(blob)
-    n, base, hash_bytes = (int(x) for x in np.frombuffer(buf, np.int64, 3, 0))
-    at = 24
-    ids, at = _unplanes(buf, at, n)
+    n, base, hash_bytes, listed = (int(x) for x in np.frombuffer(buf, np.int64, 4, 0))
+    at = 32
+    if listed:
+        some, at = _unplanes(buf, at, listed)
+        turn, at = _unplanes(buf, at, n)
+        ids = np.cumsum(some)[turn]
+    else:
+        ids, at = _unplanes(buf, at, n)
     offsets, at = _unplanes(buf, at, n)
     hashes = np.zeros(n, np.uint64)
     if hash_bytes:
         top, at = _unplanes(buf, at, n)
         be = np.zeros((n, 8), np.uint8)
-        be[:, 2:hash_bytes] = np.frombuffer(buf, np.uint8, n * (hash_bytes - 2), at).reshape(n, -1)
+        be[:, 2:hash_bytes] = np.frombuffer(buf, np.uint8, n * (hash_bytes - 2), at).reshape(n, hash_bytes - 2)
         hashes = be.reshape(-1).view(">u8").astype(np.uint64) | (np.cumsum(top) << np.uint64(48))
     return hashes, ids.astype(np.int64) + base, offsets.astype(np.int64)
 
@@ -237,3 +250,10 @@ def ranges(keep: np.ndarray) -> np.ndarray:
     """(start, end) rows of the maximal runs of true values."""
     edge = np.diff(np.concatenate([[0], keep.astype(np.int8), [0]]))
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and an executor's limit holds for all of them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

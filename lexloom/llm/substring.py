@@ -32,7 +32,7 @@ OUT_SQL = "doc_id long, n_words long, n_removed long, kept_text string, removed
 def plan_sizes(docs: DataFrame, text_col: str, unit_bytes: float) -> tuple[int, int]:
     """Hash partitions and document buckets that bound what one task holds."""
     total, n = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count(F.lit(1))).first()
-    return cluster.prime(max(13, int(total / unit_bytes) // rep.PER_PARTITION)), cluster.prime(max(13, total // (12 << 20), n // 20_000))
+    return cluster.prime(max(13, int(total / unit_bytes) // rep.PER_PARTITION)), cluster.prime(max(13, total // (8 << 20), n // 20_000))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:

@@ -94,7 +94,7 @@ def _dedup(docs: DataFrame, carried: list[str], length: int) -> DataFrame:
     v, cover = cover_for(length)
     depth = length - v + 1
     total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = cluster.prime(max(13, total // (12 << 20), n // 20_000))
+    buckets = cluster.prime(max(13, total // (8 << 20), n // 20_000))
     sample_parts = cluster.prime(max(13, total * len(cover) // v // rep.PER_PARTITION))
     window_parts = cluster.prime(max(13, total // 4 // rep.PER_PARTITION))
 
@@ -164,6 +164,7 @@ def _dedup(docs: DataFrame, carried: list[str], length: int) -> DataFrame:
                     out.add(h, p, s.ids[docs_], at - s.bounds[docs_])
                     pieces += out.rows()
         pieces += out.rows(last=True)
+        r.give_back()
         return pa.Table.from_batches(pieces, rep.ENTRIES)
 
     def dealt(df: DataFrame):
@@ -201,6 +202,7 @@ def _dedup(docs: DataFrame, carried: list[str], length: int) -> DataFrame:
         found = pa.table(cols, schema=schema)
         for c in carried:
             found = found.append_column(pa.field(c, CARRIED[c]), rows.column(c).cast(CARRIED[c]))
+        r.give_back()
         return found
 
     known = cluster.sized(same.withColumn("copy", F.lit(True)), 64, n_same)

@@ -31,14 +31,15 @@ from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import cluster
 from lexloom.llm import repeats as rep
 from lexloom.llm import rolling as r
 
-SKETCH = 256
+#: Cells of the two sketches of a set: counts by cell, and parities of counts by finer cell.
+SKETCH, PARITY = 256, 4096
 
 
 def shingle_sets(s: r.Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +156,8 @@ def candidate_groups(entries: DataFrame) -> DataFrame:
             pa.array(np.concatenate([[0], np.cumsum(sizes[first])]), pa.int32()),
             pa.array(np.concatenate([np.zeros(0, np.int64), *(i[a : a + n] for a, n in zip(starts[first], sizes[first], strict=True))])),
         )
+        del h, i, hs, order, many, same, new, got
+        r.give_back()
         return pa.table([pa.array(gid[first]), lists], names=["gid", "members"])
 
     return entries.groupBy("part").applyInArrow(go, GROUPS_SQL).groupBy("gid").agg(F.first("members").alias("members"))
@@ -203,36 +206,52 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cluster.cut(large.filter("u <> v").distinct(), "op1-large")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        new = cluster.cut(small.filter("u <> v").distinct(), "op1-small")
+        large = both.join(least, "u").filter("v > u").select("v", F.col("m").alias("u")).distinct()
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(low, "v").select("u", F.col("m").alias("v")).union(low.select(F.col("v").alias("u"), F.col("m").alias("v")))
+        new = cluster.cut(small.filter("u <> v").distinct(), "op1-step")
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        cluster.drop(edges, large)
+        cluster.drop(edges)
         edges = new
         if now == mark:
             return edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("component_id"))
         mark = now
 
 
+def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, gap): the pairs whose sketches allow a link (no cell difference can exceed the sets' own), and the difference as a share of the sizes."""
+
+    def go(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(r.string_parts(batch.column(c))[0], np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+            x, y = (np.frombuffer(r.string_parts(batch.column(c))[0].tobytes(), np.uint64).reshape(-1, PARITY // 64) for c in ("parity_a", "parity_b"))
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            gap = np.maximum(np.abs(a - b).sum(1), np.bitwise_count(x ^ y).sum(1))
+            ok = gap * (100 + percent) <= n * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(gap / n)], names=["a", "b", "gap"]).filter(pa.array(ok))
+
+    side = [nodes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab"]
+    both = pairs.join(side[1], "b").join(side[0], "a")
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return both.filter(sizes).mapInArrow(go, "a long, b long, gap double").groupBy("a", "b").agg(F.min("gap").alias("gap"))
+
+
 def left_pairs(groups: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of a group across components that may link, beyond those with its smallest id."""
     rows = groups.filter(F.size("members") > 2).select("gid", F.col("members")[0].alias("a"), F.explode("members").alias("doc_id"))
     rows = rows.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     mixed = rows.groupBy("gid").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).filter("x <> y").select("gid")
-    some = rows.join(mixed, "gid").join(sketches, "doc_id")
+    some = rows.join(mixed, "gid").join(sketches.select("doc_id", "n_shingles", "parity"), "doc_id")
 
     def go(table: pa.Table) -> pa.Table:
         ids, comp, size = (table.column(c).to_numpy() for c in ("doc_id", "component_id", "n_shingles"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
         star = table.column("a")[0].as_py()
         out = [np.zeros((0, 2), np.int64)]
         top = np.unique(comp, return_counts=True)
         largest = top[0][top[1].argmax()]
         for j in np.flatnonzero((comp != largest) & (ids != star)):
-            gap = np.abs(sketch - sketch[j]).sum(1)
+            gap = np.bitwise_count(bits ^ bits[j]).sum(1, dtype=np.int64)
             ok = (comp != comp[j]) & (ids != star) & (gap * (100 + percent) <= (size + size[j]) * (100 - percent))
             b = ids[ok]
             out.append(np.stack([np.minimum(ids[j], b), np.maximum(ids[j], b)], 1))
@@ -242,7 +261,7 @@ def left_pairs(groups: DataFrame, found: DataFrame, sketches: DataFrame, percent
     return some.groupBy("gid").applyInArrow(go, "a long, b long").distinct()
 
 
-NODES_SQL = "doc_id long, n_shingles long, h1 long, h2 long"
+NODES_SQL = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, parity binary"
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -257,7 +276,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sums = np.zeros((2, n), np.uint64)
                 np.add.at(sums[0], doc, r.mix(h))
                 np.add.at(sums[1], doc, r.mix(h ^ np.uint64(r.BASE)))
-                yield pa.record_batch([batch.column("doc_id").slice(s.rows.start, n), pa.array(np.bincount(doc, minlength=n)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64))], names=["doc_id", "n_shingles", "h1", "h2"])
+                cells = np.bincount(doc * SKETCH + (h >> np.uint64(56)).astype(np.int64), minlength=n * SKETCH)
+                sketch = np.minimum(cells, 255).astype(np.uint8).reshape(n, SKETCH)
+                fine = np.bincount(doc * PARITY + ((h >> np.uint64(20)) % np.uint64(PARITY)).astype(np.int64), minlength=n * PARITY)
+                parity = np.packbits((fine & 1).astype(np.uint8).reshape(n, PARITY), axis=1)
+                yield pa.record_batch([
+                    batch.column("doc_id").slice(s.rows.start, n), pa.array(np.bincount(doc, minlength=n)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                    pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in parity], pa.binary()),
+                ], names=["doc_id", "n_shingles", "h1", "h2", "sketch", "parity"])
 
     nodes = cluster.cut(docs.mapInArrow(summarise, NODES_SQL), "op1-nodes")
     live = nodes.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -281,25 +307,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         yield from out.rows(last=True)
 
     groups = cluster.cut(candidate_groups(distinct.mapInArrow(sign, rep.ENTRIES_SQL)), "op1-groups")
-    pairs = cluster.cut(star_pairs(groups), "op1-stars")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = cluster.cut(distinct.join(cluster.sized(ids, 64), "doc_id", "left_semi"), "op1-texts")
-
-    def sketch(batches):
-        for batch in batches:
-            for s in r.slices(batch, "doc_id", "text"):
-                h, doc = shingle_sets(s, shingle)
-                n = len(s.ids)
-                cells = np.bincount(doc * SKETCH + (h >> np.uint64(56)).astype(np.int64), minlength=n * SKETCH)
-                rows = np.minimum(cells, 255).astype(np.uint8).reshape(n, SKETCH)
-                yield pa.record_batch([pa.array(s.ids), pa.array(np.bincount(doc, minlength=n)), pa.array([x.tobytes() for x in rows], pa.binary())], names=["doc_id", "n_shingles", "sketch"])
-
-    sketches = texts.mapInArrow(sketch, "doc_id long, n_shingles long, sketch binary")
-    links = cluster.cut(verified(pairs, texts, shingle, percent), "op1-links")
-    first = cluster.cut(components(links), "op1-first")
-    more = cluster.cut(left_pairs(groups, first, sketches, percent), "op1-left")
-    if more.limit(1).count():
-        links = links.union(verified(more, texts, shingle, percent))
+    outlines = live.select("doc_id", "n_shingles", "sketch", "parity")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        texts = distinct.join(cluster.sized(ids, 64), "doc_id", "left_semi")
+        return cluster.cut(verified(pairs.select("a", "b"), texts, shingle, percent), f"op1-{name}")
+
+    links = linked(cluster.cut(near(star_pairs(groups), outlines, percent), "op1-near"), "stars")
+    found = cluster.cut(components(links), "op1-found")
+    left = cluster.cut(near(left_pairs(groups, found, outlines, percent), outlines, percent), "op1-left")
+    # The closest pairs of two components first: once these link, the others say nothing new.
+    for turn, most in enumerate((2, 32, None)):
+        side = [found.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"c_{c}")) for c in "ab"]
+        open_ = left.join(side[0], "a", "left").join(side[1], "b", "left").withColumn("x", F.coalesce("c_a", "a")).withColumn("y", F.coalesce("c_b", "b")).filter("x <> y")
+        w = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy("gap", "a", "b")
+        open_ = cluster.cut(open_.withColumn("rn", F.row_number().over(w)).filter("TRUE" if most is None else f"rn <= {most}").select("a", "b", "gap"), "op1-open")
+        if not open_.limit(1).count():
+            break
+        links = links.union(linked(open_, f"turn{turn}"))
+        if most is not None:
+            left = cluster.cut(left.join(open_.select("a", "b"), ["a", "b"], "left_anti"), "op1-left")
+            found = cluster.cut(components(links), "op1-found")
     final = cluster.cut(components(links.union(same)), "op1-final")
-    cluster.drop(groups, texts, first)
+    cluster.drop(groups)
     return nodes.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -61,10 +61,11 @@ class Sender:
             head = np.ones(len(sub), bool)
             head[1:] = group[sub][1:] != group[sub][:-1]
             send[sub[~head]] = False
-            flagged = sub if self.both else sub[~head]
+            flagged = sub if self.both else sub[r.after_head(head, ids[sub], off[sub])]
             flagged = flagged[np.lexsort((off[flagged], ids[flagged]))]
-            part = int(r.mix(h[flagged[:1]])[0] % np.uint64(self.parts))  # known places go to any partition, evenly
-            yield pa.record_batch([[part], [True], [r.pack(None, ids[flagged], off[flagged])]], schema=ENTRIES)
+            if len(flagged):
+                part = int(r.mix(h[flagged[:1]])[0] % np.uint64(self.parts))  # known places go to any partition, evenly
+                yield pa.record_batch([[part], [True], [r.pack(None, ids[flagged], off[flagged])]], schema=ENTRIES)
         h, p, ids, off = h[send], p[send], ids[send], off[send]
         starts, sizes = r.runs(p)
         blobs = [r.pack(h[a : a + n], ids[a : a + n], off[a : a + n], self.hash_bytes) for a, n in zip(starts, sizes, strict=True)]

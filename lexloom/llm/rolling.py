@@ -243,7 +243,13 @@ def repeated(hashes: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> tuple[
     sub = sub[np.lexsort((offsets[sub], ids[sub], hashes[sub]))]
     head = np.ones(len(sub), bool)
     head[1:] = hashes[sub][1:] != hashes[sub][:-1]
-    return sub[head], sub[~head]
+    return sub[head], sub[after_head(head, ids[sub], offsets[sub])]
+
+
+def after_head(head: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Entries of sorted runs at another place than their run's head: a repeated row is no repeat of itself."""
+    first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    return ~head & ((ids != ids[first]) | (offsets != offsets[first]))
 
 
 def ranges(keep: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import rolling as r
 
 #: Labelled rows of each label that the fit takes at most (the ones least by a hash of their id).
-MAX_LABELLED, PAIRS, ROUNDS, BINS, CUT = 20_000, 60_000, 400, 12, 0.3
+MAX_LABELLED, PAIRS, ROUNDS, BINS, CUT = 20_000, 24_000, 400, 12, 0.3
 
 
 def _class(*spans: tuple[int, int]) -> np.ndarray:
@@ -106,8 +106,12 @@ class Ranker:
         self.edges, self.mean, self.std, self.weights, self.cut, self.scale = edges, mean, std, weights, cut, scale
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        bins = [(x[:, j : j + 1] > self.edges[j]).astype(float) for j in range(x.shape[1])]
-        return np.concatenate([np.clip((x - self.mean) / self.std, -5, 5), *bins], 1)
+        n, m, k = len(x), x.shape[1], self.edges.shape[1]
+        out = np.empty((n, m * (k + 1)), np.float32)
+        out[:, :m] = np.clip((x - self.mean) / self.std, -5, 5)
+        for j in range(m):
+            out[:, m + j * k : m + (j + 1) * k] = x[:, j : j + 1] > self.edges[j]
+        return out
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.design(x) @ self.weights
@@ -128,14 +132,16 @@ def fit(x: np.ndarray, y: np.ndarray, share_bad: float, seed: int = 7) -> Ranker
     model = Ranker(edges, x.mean(0), x.std(0) + 1e-9, np.zeros(0), 0.0, 1.0)
     d = model.design(x)
     rng = np.random.default_rng(seed)
-    diff = d[rng.choice(good, PAIRS)] - d[rng.choice(bad, PAIRS)]
-    w, m, v = np.zeros(d.shape[1]), np.zeros(d.shape[1]), np.zeros(d.shape[1])
+    diff = d[rng.choice(good, PAIRS)]
+    diff -= d[rng.choice(bad, PAIRS)]
+    w, m, v = (np.zeros(d.shape[1], np.float32) for _ in range(3))
     for t in range(1, ROUNDS + 1):
         g = -(diff.T @ (1 / (1 + np.exp(np.clip(diff @ w, -30, 30))))) / len(diff) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     model.weights = w
-    s = d @ w
+    del diff
+    s = (d @ w).astype(float)
     weight = np.where(y == 1, (1 - share_bad) / len(good), share_bad / len(bad))
     order = np.argsort(s)
     at = min(len(s) - 2, int(np.searchsorted(np.cumsum(weight[order]), share_bad - 1e-9)))
@@ -174,6 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 def score(docs: DataFrame, model: Ranker | None) -> DataFrame:
     """The rows of ``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``, by (doc_id, text) alone."""
+    docs = docs.drop("score", "predicted")  # a clashing column gives way to the result
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def go(batches):

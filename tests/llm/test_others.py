@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, language, media, packing, quality, queries, sharding
+from lexloom.llm import chat, cluster, decontaminate, language, media, packing, quality, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,6 +95,48 @@ def test_language(spark):
     assert language.predict(test.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("bound", [cluster.BROADCAST_BYTES, 0])
+def test_language_scores_with_every_count(spark, monkeypatch, bound):
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", bound)
+    many = ["q" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(200_100)]  # more words than the model once held
+    learned = [(i, " ".join(many[i::40] * 3), "big") for i in range(40)] + [(41, "qabc abcd", "small"), (42, "Straße été", "third")]
+    texts = {1: "qabc", 2: "ABCD abcd", 3: "Straße qzzzz", 4: None, 5: "12", 6: "xyzzy unseen", 7: "", 8: " ".join(many[:50]) + " été"}
+    counts, totals = {n: defaultdict(Counter) for n in range(5)}, {n: Counter() for n in range(5)}
+
+    def keys(word, n):
+        return [word] if n == 0 else list(word) if n == 1 else [f"_{word}_"[k : k + n] for k in range(len(word) + 3 - n)]
+
+    for _, text, lang in learned:
+        for word, c in Counter(text.lower().split()).items():
+            for n in range(5):
+                for key in keys(word, n):
+                    counts[n][key][lang] += c
+                    totals[n][lang] += c
+    langs = ["big", "small", "third"]
+
+    def logs(word):
+        for n in (0, 4, 3, 2, 1):
+            known = [counts[n][k] for k in keys(word, n) if k in counts[n]]
+            if known:
+                return np.mean([[np.log((c[x] + 0.5) / (totals[n][x] + 0.5 * len(counts[n]))) for x in langs] for c in known], 0)
+        return np.zeros(3)
+
+    df = spark.createDataFrame(learned, "doc_id long, text string, lang string").repartition(3)
+    model = language.learn(df)
+    assert (model.model is None) == (bound == 0 or model.sizes.sum() * 24 > bound)
+    rows = [*texts.items(), (None, "abcd"), (1, "qabc")]
+    got = language.predict(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), model).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    for r in got:
+        words = [w for w in (texts.get(r.doc_id, "abcd") or "").lower().split() if w.isalpha()]
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        want = np.sum([logs(w) for w in words], 0)
+        assert r.lang_pred == langs[int(want.argmax())] and abs(r.score - 1 / np.exp(want - want.max()).sum()) < 1e-3
+    assert {r.lang_pred for r in got if r.doc_id == 2} == {"small"}
+
+
 def test_word_counts_are_exact(spark):
     rows = [(1, "Aa bb aa", "x"), (2, "aa cc", "y"), (3, "bb, bb!", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)

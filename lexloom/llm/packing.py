@@ -6,9 +6,9 @@ its bucket's bound costs the fewest tokens in all.  Inside a bucket, documents
 form batches of at most ``token_budget`` padded tokens (a document longer than
 the budget is a batch of its own).
 
-The histogram has a row for each distinct length.  With more than ``max_lengths``
-distinct lengths, lengths are rounded up to a grid that leaves at most that
-many, and the optimum is over bounds on the grid; no document is cut or left.
+The histogram has a row for each distinct length, and all of them take part
+however many there are; ``max_lengths`` is accepted for old callers and changes
+nothing.  The programme keeps 8 bytes for each distinct length and bucket.
 
 Edge cases: null and empty texts have no tokens and go to the first bucket;
 equal lengths share a bucket; an empty table gives no rows; repeated rows are
@@ -28,33 +28,42 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     """Upper bounds (all among ``lengths``, ascending) of least total padding.
 
     The cost of a bucket obeys the quadrangle inequality, so each row of the
-    programme is filled by divide and conquer over its monotone choices.
+    programme is filled by divide and conquer over its monotone choices, one
+    level of the recursion at a time.
     """
     n = len(lengths)
     if not n:
         return []
-    c = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    tokens = np.concatenate([[0], np.cumsum(lengths * counts)]).astype(np.float64)
-    ends = lengths.astype(np.float64)
+    c = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    tokens = np.concatenate([[0], np.cumsum(lengths * counts)]).astype(np.int64)
+    ends = lengths.astype(np.int64)
 
-    def cost(a: np.ndarray, j: int) -> np.ndarray:
+    def cost(a: np.ndarray, j: np.ndarray) -> np.ndarray:
         return ends[j] * (c[j + 1] - c[a]) - (tokens[j + 1] - tokens[a])
 
-    best = np.array([cost(np.array([0]), j)[0] for j in range(n)])
+    def fill(j: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Best starts of the ends ``j``, each among ``a`` to ``b``; the first of equal ones."""
+        size = b - a + 1
+        heads = np.cumsum(size) - size
+        starts = np.arange(size.sum()) + np.repeat(a - heads, size)
+        total = np.where(starts > 0, best[starts - 1], 0) + cost(starts, np.repeat(j, size))
+        least = np.minimum.reduceat(total, heads)
+        hits = np.flatnonzero(total == np.repeat(least, size))
+        new[j], pick[j] = least, starts[hits[np.searchsorted(hits, heads)]]
+
+    every = np.arange(n)
+    best = cost(np.zeros(n, np.int64), every)
     choice = [np.zeros(n, np.int64)]
     for _ in range(1, min(buckets, n)):
-        new, pick = np.full(n, np.inf), np.zeros(n, np.int64)
-        todo = [(0, n - 1, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
+        new, pick = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lo, hi, a, b = (np.array([x]) for x in (0, n - 1, 0, n - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            starts = np.arange(a, min(b, j) + 1)
-            total = np.where(starts > 0, best[starts - 1], 0.0) + cost(starts, j)
-            k = int(total.argmin())
-            new[j], pick[j] = total[k], starts[k]
-            todo += [(lo, j - 1, a, int(starts[k])), (j + 1, hi, int(starts[k]), b)]
+            fill(j, a, np.minimum(b, j))
+            k = pick[j]
+            lo, hi, a, b = (np.concatenate(x) for x in ((lo, j + 1), (j - 1, hi), (a, k), (k, b)))
+            some = lo <= hi
+            lo, hi, a, b = lo[some], hi[some], a[some], b[some]
         best = new
         choice.append(pick)
     bounds, j = [], n - 1
@@ -75,11 +84,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     """(doc_id, n_tokens, bucket, bucket_length, padding, batch, place): batches are numbered within a bucket, places within a batch."""
     count = token_count(F.col(text_col)) if tokens is None else tokens
     rows = cluster.cut(docs.select(F.col(id_col).alias("doc_id"), count.alias("n_tokens")), "op4-rows")
-    top, distinct = rows.agg(F.max("n_tokens"), F.count_distinct("n_tokens")).first()
-    grid = 1 if distinct <= max_lengths else -(-int(top) // max_lengths)
-    rounded = (F.ceil(F.col("n_tokens") / F.lit(grid)) * F.lit(grid)).cast("long")
-    hist = sorted((x.length, x["count"]) for x in rows.groupBy(rounded.alias("length")).count().collect())
-    bounds = optimal_bounds(np.array([x[0] for x in hist]), np.array([x[1] for x in hist]), buckets)
+    hist = rows.groupBy("n_tokens").count().toArrow().sort_by("n_tokens")
+    bounds = optimal_bounds(hist.column("n_tokens").to_numpy(), hist.column("count").to_numpy(), buckets)
     steps = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
     bucket = F.size(F.filter(steps, lambda b: b < F.col("n_tokens")))
     placed = rows.withColumn("bucket", bucket).withColumn("bucket_length", F.element_at(steps, F.col("bucket") + 1))

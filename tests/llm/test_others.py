@@ -58,6 +58,13 @@ def test_packing(docs, rows, empty):
     assert len(coarse) == len(rows) and all(r.padding >= 0 for r in coarse)
 
 
+def test_packing_is_optimal_over_many_lengths(spark):
+    lengths = [*range(1, 20_002), 20_000_000]  # one long document set a grid of 1,000 once
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    bounds = {r.bucket_length for r in packing.pack(df, buckets=3, tokens=F.col("n")).select("bucket_length").distinct().collect()}
+    assert padding(bounds, lengths, [1] * len(lengths)) == 10_000 * 9_999 // 2 + 10_001 * 10_000 // 2 and max(bounds) == 20_000_000
+
+
 def test_sharding(docs, rows, empty):
     out = sharding.shard(docs, shards=7).collect()
     t = dict(rows)

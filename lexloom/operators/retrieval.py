@@ -117,9 +117,16 @@ def unit_key(doc: Column, article: Column, clause: Column, text: Column) -> Colu
 
 def dedup_units(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First hit of each legal unit in rank order, and the removed ones with reason, key and the chunk that stays."""
-    w = Window.partitionBy("qid", "unit_key").orderBy("rank", "id")
-    marked = hits.withColumn("unit_key", unit_key(F.col("doc_id"), F.col("article"), F.col("clause"), F.col("text"))).withColumn("rn", F.row_number().over(w)).withColumn("kept_id", F.first("id").over(w))
-    return marked.filter("rn = 1").drop("rn", "kept_id"), marked.filter("rn > 1").drop("rn").withColumn("reason", F.lit("duplicate_legal_unit"))
+    keyed = hits.withColumn("unit_key", unit_key(F.col("doc_id"), F.col("article"), F.col("clause"), F.col("text")))
+    first = keyed.groupBy(F.col("qid").alias("_q"), F.col("unit_key").alias("_u")).agg(F.min(F.struct("rank", "id")).alias("_first"))
+    same = Window.partitionBy("qid", "unit_key", "rank", "id").orderBy("id")  # repeated rows of one hit: only one stays, and no window holds a whole unit
+    marked = (
+        keyed.withColumn("_copy", F.row_number().over(same))
+        .join(first, F.col("qid").eqNullSafe(F.col("_q")) & F.col("unit_key").eqNullSafe(F.col("_u")))
+        .withColumn("_stays", F.col("rank").eqNullSafe(F.col("_first.rank")) & F.col("id").eqNullSafe(F.col("_first.id")) & (F.col("_copy") == 1))
+        .withColumn("kept_id", F.col("_first.id")).drop("_q", "_u", "_first", "_copy")
+    )
+    return marked.filter("_stays").drop("_stays", "kept_id"), marked.filter("NOT _stays").drop("_stays").withColumn("reason", F.lit("duplicate_legal_unit"))
 
 
 def cutoff(hits: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:

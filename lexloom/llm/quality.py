@@ -1,10 +1,11 @@
 """Quality classifier: Bradley-Terry pairwise ranking over text features.
 
 Preference pairs (a document of label 1, one of label 0) are drawn from a
-bounded sample of labelled rows; weights minimise the logistic loss on the
-differences of their features.  The score's cut is a quantile of the learning
-scores: the share of label 0 among the labelled rows; it is moved to 0.3, the
-contract's threshold, on the logistic scale.
+bounded sample of labelled rows, every row of which is in a pair; weights
+minimise the logistic loss on the differences of their features, which are
+never held.  The score's cut is a quantile of the scores of all labelled rows:
+the share of label 0 among them; it is moved to 0.3, the contract's threshold,
+on the logistic scale.
 
 Features are shares and means over the whole text's bytes and words (letters,
 capitals, digits, marks, symbols, repeated words and lines, word lengths), as
@@ -22,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm import cluster
 from lexloom.llm import rolling as r
 
 #: Labelled rows of each label that the fit takes at most (the ones least by a hash of their id).
-MAX_LABELLED, PAIRS, ROUNDS, BINS, CUT = 20_000, 24_000, 400, 12, 0.3
+MAX_LABELLED, PAIRS, ROUNDS, BINS, CUT = 20_000, 60_000, 400, 12, 0.3
+#: Scores that the search for an order statistic sorts at the driver.
+SORTED = 10_000
 
 
 def _class(*spans: tuple[int, int]) -> np.ndarray:
@@ -121,8 +125,14 @@ class Ranker:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(x: np.ndarray, y: np.ndarray, share_bad: float, seed: int = 7) -> Ranker | None:
-    """Minimise the logistic loss of preference pairs by full-batch gradient steps with momentum."""
+def preference_pairs(good: np.ndarray, bad: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``PAIRS`` pairs in which every row takes part, each about equally often."""
+    n = max(PAIRS, len(good), len(bad))
+    return tuple(np.concatenate([rng.permutation(side) for _ in range(-(-n // len(side)))])[:n] for side in (good, bad))
+
+
+def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranker | None:
+    """Minimise the logistic loss of preference pairs by full-batch gradient steps with momentum; the cut is still open."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return None
@@ -132,20 +142,17 @@ def fit(x: np.ndarray, y: np.ndarray, share_bad: float, seed: int = 7) -> Ranker
     model = Ranker(edges, x.mean(0), x.std(0) + 1e-9, np.zeros(0), 0.0, 1.0)
     d = model.design(x)
     rng = np.random.default_rng(seed)
-    diff = d[rng.choice(good, PAIRS)]
-    diff -= d[rng.choice(bad, PAIRS)]
+    better, worse = preference_pairs(good, bad, rng)
     w, m, v = (np.zeros(d.shape[1], np.float32) for _ in range(3))
     for t in range(1, ROUNDS + 1):
-        g = -(diff.T @ (1 / (1 + np.exp(np.clip(diff @ w, -30, 30))))) / len(diff) + 1e-4 * w
+        s = d @ w
+        pull = 1 / (1 + np.exp(np.clip(s[better] - s[worse], -30, 30)))
+        of_row = np.bincount(better, pull, len(d)) - np.bincount(worse, pull, len(d))
+        g = -(of_row.astype(np.float32) @ d) / len(better) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     model.weights = w
-    del diff
     s = (d @ w).astype(float)
-    weight = np.where(y == 1, (1 - share_bad) / len(good), share_bad / len(bad))
-    order = np.argsort(s)
-    at = min(len(s) - 2, int(np.searchsorted(np.cumsum(weight[order]), share_bad - 1e-9)))
-    model.cut = float(s[order][at : at + 2].mean())  # between the two scores at the quantile
     model.scale = float(1 / (s.std() + 1e-9))
     return model
 
@@ -162,8 +169,35 @@ def feature_rows(docs: DataFrame, extra: str = "label") -> DataFrame:
     return docs.select("doc_id", "text", extra).mapInArrow(go, "label int, features array<double>")
 
 
+def raw_scores(docs: DataFrame, model: Ranker) -> DataFrame:
+    """(doc_id, raw) of every document."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def go(batches):
+        for batch in batches:
+            for s in r.slices(batch, "doc_id", "text"):
+                yield pa.record_batch([batch.column("doc_id").slice(s.rows.start, len(s.ids)), pa.array(held.value.raw(features(s)).astype(float))], names=["doc_id", "raw"])
+
+    docs = docs.select("doc_id", "text")
+    return docs.mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, raw double")
+
+
+def order_statistic(scores: DataFrame, at: int) -> float:
+    """The ``raw`` that stands at place ``at`` (from 0) in ascending order, found by counts in ever narrower bins."""
+    lo, hi, n = scores.agg(F.min("raw"), F.max("raw"), F.count("raw")).first()
+    while n > SORTED and lo < hi:
+        place = F.least(F.floor((F.col("raw") - F.lit(lo)) / F.lit(hi - lo) * 1024), F.lit(1023))
+        inside = scores.filter(F.col("raw").between(lo, hi)).groupBy(place.alias("bin")).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count("raw").alias("n"))
+        for x in sorted(inside.collect(), key=lambda x: x.bin):
+            lo, hi, n = x.lo, x.hi, x.n
+            if at < n:
+                break
+            at -= n
+    return lo if lo == hi else sorted(x.raw for x in scores.filter(F.col("raw").between(lo, hi)).select("raw").collect())[at]
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Ranker | None:
-    """Learn from (doc_id, text) and (doc_id, label 0/1): at most ``max_labelled`` rows of each label."""
+    """Learn from (doc_id, text) and (doc_id, label 0/1): weights from at most ``max_labelled`` rows of each label, the cut from all."""
     labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     counts = {x.label: x["count"] for x in labels.groupBy("label").count().collect()}
     if not counts.get(0) or not counts.get(1):
@@ -175,7 +209,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     x = np.asarray(got.column("features").combine_chunks().flatten()).reshape(-1, WIDTH)
     y = got.column("label").to_numpy()
     order = np.lexsort((*x.T[::-1], y))  # the rows' order of arrival must not matter
-    return fit(x[order], y[order], counts[0] / (counts[0] + counts[1]))
+    model = fit(x[order], y[order])
+    if model is not None:
+        scores = cluster.cut(raw_scores(docs, model).join(labels.filter("label IN (0, 1)"), "doc_id").select("label", "raw"), "op7-scores")
+        of = {x.label: x["count"] for x in scores.groupBy("label").count().collect()}
+        at = min(of.get(0, 0) + of.get(1, 0) - 2, of.get(0, 0) - 1)
+        model.cut = (order_statistic(scores, at) + order_statistic(scores, at + 1)) / 2  # between the two scores at the quantile
+        cluster.drop(scores)
+    return model
 
 
 def score(docs: DataFrame, model: Ranker | None) -> DataFrame:

@@ -173,6 +173,21 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, model).count() == 0
 
 
+def test_quality_uses_every_labelled_row(spark, monkeypatch):
+    good, bad = np.arange(20_000), np.arange(20_000, 40_000)
+    better, worse = quality.preference_pairs(good, bad, np.random.default_rng(7))
+    assert len(better) == len(worse) >= 60_000 and set(better) == set(good) and set(worse) == set(bad)
+    monkeypatch.setattr(quality, "SORTED", 50)
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("abcdefgh    ABC.,$7") for _ in range(rng.randrange(200, 900)))) for i in range(600)]
+    labels = [(i, int(rng.random() < 0.7)) for i, _ in texts]
+    df, lab = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), spark.createDataFrame(labels, "doc_id long, label int")
+    got = quality.score(df, quality.learn(df, lab, max_labelled=40)).filter("predicted = 0").count()
+    assert got == sum(y == 0 for _, y in labels)  # the cut is that of all labelled rows, not of the fitted ones
+    x = spark.createDataFrame([(float(v),) for v in [3, 1, 2] * 100 + [7, 0]], "raw double")
+    assert [quality.order_statistic(x, k) for k in (0, 1, 100, 101, 300, 301)] == [0, 1, 1, 2, 3, 7]
+
+
 def test_chat(spark):
     hard = ["</s>[INST] ok [/INST]", "a<\\s>b[\\\\INST]", "[/INST]</s><s>", "", None, "plain\n text"]
     turns = [(1, 0, "system", hard[0]), (1, 1, "user", hard[1]), (1, 2, "assistant", hard[2]), (1, 3, "user", hard[3]), (1, 4, "assistant", hard[4]), (2, 0, "user", hard[5]), (3, None, None, "x"), (3, 1, "assistant", hard[0]), (3, 2, "[INST]", "tail"), (None, 0, "assistant", "n")]

@@ -1,4 +1,7 @@
-"""Suffix-array dedup with a distributed difference-cover sample.
+"""Repeated strings by fingerprints of a distributed difference-cover sample.
+
+No suffix array is built: nothing recurses, there are no ranks, and suffixes
+are not merged.
 
 A difference cover D modulo v holds, for any two positions i and j, a shift
 l < v with i+l and j+l both sampled.  So two equal strings of ``length`` bytes
@@ -8,7 +11,7 @@ share, at some sampled shift, a prefix of ``length - v + 1`` bytes.
    rolling fingerprint; sorted fingerprints of a partition show which names
    are repeated.  (Triples with v = 3 are the same construction; v = 57 keeps
    14 % of the positions instead of 67 %.)
-2. *Recurse on names, merge the rest.*  Only positions within reach of a
+2. *Name what is near a repeated name.*  Only positions within reach of a
    repeated name can start a repeated string.  All of them, sampled or not,
    get the name of their full ``length``-byte prefix, and are sorted again.
 3. *Compare adjacent prefixes.*  Equal neighbours in (name, id, position)

@@ -12,8 +12,14 @@ capitals, digits, marks, symbols, repeated words and lines, word lengths), as
 they are and in quantile bins.
 
 Edge cases: null and empty texts have zero features and a score like any
-other; without both labels every score is 0.5; a label row without a text row,
-or the reverse, teaches nothing.
+other; equal texts have equal scores, whatever stands beside them; without both
+labels every score is 0.5; a label row without a text row, or the reverse,
+teaches nothing; an id that is labelled twice takes the greater label, and of
+several texts of a labelled id the fit takes one, the cut all; every row is
+scored, repeated ones too; an empty table gives no rows.  ``learn`` looks only
+at doc_id, text and label; ``score`` keeps all columns but ``score`` and
+``predicted``, which give way to the result.  A text is held whole: one of n
+bytes takes about 60 n bytes of a worker.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from lexloom.llm import rolling as r
 
 #: Labelled rows of each label that the fit takes at most (the ones least by a hash of their id).
 MAX_LABELLED, PAIRS, ROUNDS, BINS, CUT = 20_000, 60_000, 400, 12, 0.3
+#: Parts of one to which standardised features and weights are rounded.
+STEPS = 1 << 16
 #: Scores that the search for an order statistic sorts at the driver.
 SORTED = 10_000
 
@@ -72,8 +80,9 @@ def features(s: r.Slice) -> np.ndarray:
     out[:, e + 3] = np.bincount(doc, length <= 3, n) / per
     if len(starts):
         h = r.word_hashes(r.LOWER[s.data], starts, ends)
-        for col, keys in ((e + 4, h), (e + 6, r.mix(h[:-1] * np.uint64(3) ^ h[1:]) if len(h) > 1 else h[:0])):
-            d = doc[: len(keys)]
+        inside = doc[:-1] == doc[1:]  # a pair never spans two documents
+        pairs = r.mix(h[:-1] * np.uint64(3) ^ h[1:])[inside]
+        for col, keys, d in ((e + 4, h, doc), (e + 6, pairs, doc[:-1][inside])):
             order = np.lexsort((keys, d))
             k, d = keys[order], d[order]
             new = np.ones(len(k), bool)
@@ -98,7 +107,7 @@ def features(s: r.Slice) -> np.ndarray:
         order = np.lexsort((h, d))
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (d[order][1:] != d[order][:-1])
-        out[:, e + 9] = 1 - np.bincount(d[order][new], minlength=n) / np.maximum(n_lines, 1)
+        out[:, e + 9] = np.where(n_lines > 0, 1 - np.bincount(d[order][new], minlength=n) / np.maximum(n_lines, 1), 0)
     out[:, e + 10] = np.log1p(count / np.maximum(n_lines, 1))
     return out
 
@@ -112,13 +121,14 @@ class Ranker:
     def design(self, x: np.ndarray) -> np.ndarray:
         n, m, k = len(x), x.shape[1], self.edges.shape[1]
         out = np.empty((n, m * (k + 1)), np.float32)
-        out[:, :m] = np.clip((x - self.mean) / self.std, -5, 5)
+        out[:, :m] = np.rint(np.clip((x - self.mean) / self.std, -5, 5) * STEPS) / STEPS
         for j in range(m):
             out[:, m + j * k : m + (j + 1) * k] = x[:, j : j + 1] > self.edges[j]
         return out
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.design(x) @ self.weights
+        """Exact sums (short binary fractions on both sides), so that a score never depends on the rows beside it."""
+        return self.design(x).astype(float) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((self.raw(x) - self.cut) * self.scale + np.log(CUT / (1 - CUT)), -30, 30)
@@ -151,22 +161,23 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranker | None:
         g = -(of_row.astype(np.float32) @ d) / len(better) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    model.weights = w
-    s = (d @ w).astype(float)
-    model.scale = float(1 / (s.std() + 1e-9))
+    model.weights = np.rint(w.astype(float) * STEPS) / STEPS
+    model.scale = float(1 / ((d @ w).astype(float).std() + 1e-9))
     return model
 
 
-def feature_rows(docs: DataFrame, extra: str = "label") -> DataFrame:
-    """(label, features) of documents that carry a label."""
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """(label, features) of the (doc_id, text, label) rows, one of each id."""
 
     def go(batches):
         for batch in batches:
             for s in r.slices(batch, "doc_id", "text"):
                 x = features(s)
-                yield pa.record_batch([batch.column(extra).slice(s.rows.start, len(x)), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), WIDTH).cast(pa.list_(pa.float64()))], names=["label", "features"])
+                part = batch.slice(s.rows.start, len(x))
+                yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), WIDTH).cast(pa.list_(pa.float64()))], names=["doc_id", "label", "features"])
 
-    return docs.select("doc_id", "text", extra).mapInArrow(go, "label int, features array<double>")
+    found = docs.mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, features array<double>")
+    return found.groupBy("doc_id").agg(F.min(F.struct("label", "features")).alias("row")).select("row.*")
 
 
 def raw_scores(docs: DataFrame, model: Ranker) -> DataFrame:
@@ -198,6 +209,7 @@ def order_statistic(scores: DataFrame, at: int) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Ranker | None:
     """Learn from (doc_id, text) and (doc_id, label 0/1): weights from at most ``max_labelled`` rows of each label, the cut from all."""
+    docs = docs.select("doc_id", "text")
     labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     counts = {x.label: x["count"] for x in labels.groupBy("label").count().collect()}
     if not counts.get(0) or not counts.get(1):

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -7,10 +8,11 @@ from itertools import combinations
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, cluster, decontaminate, language, media, packing, quality, queries, sharding
+from lexloom.llm import chat, cluster, decontaminate, language, media, packing, quality, queries, rolling, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,14 +22,25 @@ def test_decontamination(spark, docs, rows):
     items = [(1, t[4]), (2, "w3"), (3, " ".join((t[7] or "").split()[5:25])), (4, ""), (5, None), (None, t[10][:80]), (3, " ".join((t[7] or "").split()[5:25])), (11, "Straße É")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.contamination(rows, items)
-    for block in (16 << 20, 40):
-        found = decontaminate.decontaminate(docs, bench, block_bytes=block)
-        got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in found.collect()}
-        assert got == want
-        assert all(sum(s.end - s.start for s in r.hits) == r.n_hit for r in found.collect())
+    for block in (16 << 20, 200):
+        found = decontaminate.decontaminate(docs, bench, block_bytes=block).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in found} == want and len(found) == len(rows)
+        assert all(sum(s.end - s.start for s in r.hits) == r.n_hit for r in found)
     assert decontaminate.decontaminate(docs, bench.filter("item_id > 99")).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_keeps_every_row(spark, rows, empty):
+    """Repeated ids, repeated rows and null ids: one row each, and the same for one block and for several."""
+    t = dict(rows)
+    odd = [(None, t[4]), (None, t[4]), (None, t[7]), (None, None), (9, t[4]), (9, t[4]), (9, t[7]), (9, ""), (10, "no hit at all")]
+    df = spark.createDataFrame(odd, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(k, " ".join((t[i] or "").split()[k : k + 30])) for k in range(5) for i in (4, 7)], "item_id long, text string")
+    key = lambda r: (r.doc_id or -1, r.n_words, r.n_hit, r["items"], [tuple(x) for x in r.hits])
+    one, five = (sorted(map(key, decontaminate.decontaminate(df, bench, block_bytes=b).collect())) for b in (1 << 20, 300))
+    assert one == five and len(one) == len(odd) and sum(x[2] > 0 for x in one) == 6
+    assert decontaminate.decontaminate(empty, bench).count() == 0 == decontaminate.decontaminate(empty, bench, block_bytes=300).count()
+
+
 def padding(bounds, lengths, counts):
     return sum(c * (min(b for b in bounds if b >= n) - n) for n, c in zip(lengths, counts, strict=True))
 
@@ -173,6 +186,38 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, model).count() == 0
 
 
+def plain_features(text):
+    """All features of one text, word by word."""
+    data = (text or "").encode()
+    share = lambda test: sum(map(test, data)) / max(len(data), 1)
+    w = data.split()
+    low, n = [x.translate(brute.LOW) for x in w], max(len(w), 1)
+    lines = [x for x in data.split(b"\n") if x]
+    capitals = [sum(65 <= b <= 90 for b in x) for x in w]
+    return [share(lambda b, lut=lut: bool(lut[b])) for lut in quality.CLASSES.values()] + [
+        math.log1p(len(data)), sum(map(len, w)) / n, sum(len(x) > 12 for x in w) / n, sum(len(x) <= 3 for x in w) / n, len(set(low)) / n, max(Counter(low).values(), default=0) / n,
+        len(set(zip(low, low[1:]))) / n, sum(65 <= x[0] <= 90 for x in w) / n, sum(2 * c > len(x) for c, x in zip(capitals, w, strict=True)) / n,
+        1 - len(set(lines)) / len(lines) if lines else 0, math.log1p(len(w) / max(len(lines), 1)),
+    ]
+
+
+def test_quality_features_are_those_of_each_text_alone(spark, rows):
+    table = pa.table([[i for i, _ in rows], [t for _, t in rows]], names=["doc_id", "text"])
+    got = np.concatenate([quality.features(s) for s in rolling.slices(table, "doc_id", "text", limit=3000)])
+    assert got == pytest.approx(np.array([plain_features(t) for _, t in rows]))
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows)], "doc_id long, label int")
+    clash = spark.createDataFrame([(i, t, "x", "y") for i, t in rows] * 2, "doc_id long, text string, label string, raw string")
+    model = quality.learn(clash, labels)
+    assert quality.score(clash, model).columns == ["doc_id", "text", "label", "raw", "score", "predicted"]
+    alone = {i: model.score(quality.features(next(rolling.slices(table.slice(k, 1), "doc_id", "text"))))[0] for k, (i, _) in enumerate(rows)}
+    mixed = rows * 3
+    random.Random(1).shuffle(mixed)
+    together = pa.table([[i for i, _ in mixed], [t for _, t in mixed]], names=["doc_id", "text"])
+    for limit in (500, 1 << 20):
+        scores = np.concatenate([model.score(quality.features(s)) for s in rolling.slices(together, "doc_id", "text", limit=limit)])
+        assert [alone[i] for i, _ in mixed] == scores.tolist()  # equal bits
+
+
 def test_quality_uses_every_labelled_row(spark, monkeypatch):
     good, bad = np.arange(20_000), np.arange(20_000, 40_000)
     better, worse = quality.preference_pairs(good, bad, np.random.default_rng(7))

@@ -15,11 +15,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``; only a local master may do with a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lexloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -66,6 +68,22 @@ def sized(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of many rows to their group, when a group may hold a large part of them.
+
+    ``rows`` of ``right`` (which goes) counts the rows of ``left`` that a group
+    has, ``total`` all of them.  Groups of over a thousandth, a thousand at
+    most, are broadcast, so that their rows stay where they are; the others
+    are shuffled.  No key may be null, and both sides must be cheap to read
+    twice (cut tables).
+    """
+    many = F.col(rows) * 1000 > F.lit(total)
+    heavy, light = right.filter(many).drop(rows), right.filter(~many).drop(rows)
+    near = left.join(F.broadcast(heavy), keys)
+    far = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return near.unionByName(far)
+
+
 def prime(n: int) -> int:
     """The least prime from ``n`` on: a bucket count that no stride of ids divides."""
     n = max(2, n)

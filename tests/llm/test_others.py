@@ -97,9 +97,44 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def longest_first(sizes, shards):
+    """Loads of plain longest-processing-time scheduling, one item after another."""
+    load = [0] * shards
+    for x in sorted(sizes, reverse=True):
+        load[load.index(min(load))] += x
+    return load
+
+
 def test_schedule_is_longest_first():
-    got = sharding.schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2)
-    assert got == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+    assert sharding.schedule(np.array([5, 4, 3]), np.array([1, 1, 3]), 2) == [(5, [0], [1]), (4, [1], [1]), (3, [0, 1], [1, 3])]
+    rng = random.Random(8)
+    for _ in range(200):
+        shards = rng.randrange(1, 6)
+        items = Counter(rng.choices(range(1, 40), k=rng.randrange(0, 400)))
+        items[rng.randrange(1, 9)] += rng.randrange(0, 900)  # many of one size
+        sizes, counts = np.array(list(items)), np.array(list(items.values()))
+        plan = sharding.schedule(sizes[counts > 0], counts[counts > 0], shards)
+        load = [0] * shards
+        for size, used, ends in plan:
+            assert ends[-1] == items[size]
+            for s, n in zip(used, np.diff([0, *ends]).tolist(), strict=True):
+                load[s] += n * size
+        assert load == longest_first(list(items.elements()), shards)
+
+
+def test_sharding_schedules_every_group(spark):
+    """Far more groups than shards: the loads are those of plain scheduling over all groups; a hot text stays whole."""
+    rng = random.Random(6)
+    texts = ["x" * rng.randrange(0, 30) + str(i) for i in range(900)] + ["hot"] * 500 + [None] * 40 + [""] * 30
+    df = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    out = sharding.shard(df, shards=7).collect()
+    load, per = Counter(), Counter()
+    for r in out:
+        load[r.shard] += r["size"]
+    for t in texts:
+        per[t or ""] += len(t or "") + 16
+    assert len(out) == len(texts) and [load[s] for s in range(7)] == longest_first(per.values(), 7)
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(7) for k in range(sum(r.shard == s for r in out))]
 
 
 def test_language(spark):

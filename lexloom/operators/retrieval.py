@@ -140,11 +140,14 @@ def hydrate(hits: DataFrame, chunks: DataFrame, id_col: str, *columns: str) -> D
 
 
 def margins(hits: DataFrame) -> DataFrame:
-    """Per query: the two best scores, their margin, and how many the dominance rule keeps (2 from 1.30 times on, else 3)."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    two = hits.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
-    agg = two.groupBy("qid").agg(F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("top1"), F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("score"))), F.lit(0.0)).alias("top2"))
-    return agg.withColumn("margin", F.col("top1") - F.col("top2")).withColumn("keep", F.when(F.col("top1") >= 1.30 * F.col("top2"), 2).otherwise(3))
+    """Per query: the two best scores by rank, their margin, and how many the dominance rule keeps (2 from 1.30 times on, else 3).
+
+    Scores count to nine places, as they do for ranks, so that ties have no margin at all.
+    """
+    agg = hits.filter("rank < 2").groupBy("qid").agg(
+        F.max(F.when(F.col("rank") == 0, F.round("score", 9))).alias("top1"), F.coalesce(F.max(F.when(F.col("rank") == 1, F.round("score", 9))), F.lit(0.0)).alias("top2"),
+    )
+    return agg.withColumn("margin", F.round(F.col("top1") - F.col("top2"), 9) + 0.0).withColumn("keep", F.when(F.col("top1") >= F.round(1.30 * F.col("top2"), 9), 2).otherwise(3))
 
 
 def scope_violations(hits: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -246,8 +246,8 @@ def merge_by_chunk(spark, d):
     return V.merge_hits(hits(spark, d), vector_hits(spark, d), limit=12).select("qid", "id", F.round("score", 4).alias("score"), "rank")
 
 
-@query("margin_top2", BM25_SQL + """, two AS (SELECT qid, max(CASE WHEN rank = 0 THEN score END) AS a, coalesce(max(CASE WHEN rank = 1 THEN score END), 0) AS b FROM rk GROUP BY 1)
-SELECT qid, round(a, 4) AS top1, round(b, 4) AS top2, round(a - b, 4) AS margin, CASE WHEN a >= 1.3 * b THEN 2 ELSE 3 END AS keep FROM two""")
+@query("margin_top2", BM25_SQL + """, two AS (SELECT qid, max(CASE WHEN rank = 0 THEN round(score, 9) END) AS a, coalesce(max(CASE WHEN rank = 1 THEN round(score, 9) END), 0) AS b FROM rk GROUP BY 1)
+SELECT qid, round(a, 4) AS top1, round(b, 4) AS top2, round(a - b, 4) + 0.0 AS margin, CASE WHEN a >= round(1.3 * b, 9) THEN 2 ELSE 3 END AS keep FROM two""")
 def margin_top2(spark, d):
     return V.margins(hits(spark, d)).select("qid", F.round("top1", 4).alias("top1"), F.round("top2", 4).alias("top2"), F.round("margin", 4).alias("margin"), "keep")
 
@@ -257,16 +257,12 @@ def topk_cutoff(spark, d):
     return V.cutoff(hits(spark, d), 5)[1].select("qid", "id", "rank", "reason")
 
 
-UNITS_SQL = """WITH h AS (SELECT 0 AS qid, l_orderkey * 10 + l_linenumber AS id, CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE '' END AS article, '' AS clause, l_linestatus AS text, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS rank FROM lineitem WHERE l_orderkey < 2000),
+UNITS_SQL = """WITH h AS (SELECT 0 AS qid, l_orderkey * 10 + l_linenumber AS id, CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE '' END AS article, '' AS clause, l_linestatus AS text, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS rank FROM lineitem),
 k AS (SELECT *, CASE WHEN article <> '' OR clause <> '' THEN doc_id || '|a:' || article || '|c:' || clause ELSE doc_id || '|h:' || substr(sha1(text), 1, 16) END AS unit_key FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY unit_key ORDER BY rank) AS rn, first_value(id) OVER (PARTITION BY unit_key ORDER BY rank) AS kept_id FROM k)"""
 
 
-#: The same over every row of lineitem.
-ALL_UNITS_SQL = UNITS_SQL.replace(" WHERE l_orderkey < 2000", "")
-
-
-def unit_hits(spark, d, where="l_orderkey < 2000"):
-    li = t(spark, d, "lineitem").filter(where).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").cast("string").alias("doc_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise("").alias("article"), F.lit("").alias("clause"), F.col("l_linestatus").alias("text"))
+def unit_hits(spark, d):
+    li = t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").cast("string").alias("doc_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise("").alias("article"), F.lit("").alias("clause"), F.col("l_linestatus").alias("text"))
     return li.withColumn("qid", F.lit(0)).withColumn("rank", F.col("id"))
 
 
@@ -280,16 +276,6 @@ def dedup_rejects(spark, d):
     return V.dedup_units(unit_hits(spark, d))[1].select("id", "unit_key", "kept_id", "reason")
 
 
-@query("legal_unit_dedup_all", ALL_UNITS_SQL + " SELECT id, unit_key FROM r WHERE rn = 1")
-def legal_unit_dedup_all(spark, d):
-    return V.dedup_units(unit_hits(spark, d, "true"))[0].select("id", "unit_key")
-
-
-@query("dedup_rejects_all", ALL_UNITS_SQL + " SELECT id, unit_key, kept_id, 'duplicate_legal_unit' AS reason FROM r WHERE rn > 1")
-def dedup_rejects_all(spark, d):
-    return V.dedup_units(unit_hits(spark, d, "true"))[1].select("id", "unit_key", "kept_id", "reason")
-
-
 @query("merge_prefer_known", """WITH r AS (SELECT event_id, CAST(user_id AS VARCHAR) AS document_number, CASE WHEN event_id % 3 = 0 THEN 'Chưa rõ' WHEN event_id % 3 = 1 THEN event_type END AS status FROM events),
 k AS (SELECT *, row_number() OVER (PARTITION BY document_number ORDER BY CASE WHEN status = 'Chưa rõ' THEN 1 ELSE 0 END, event_id) AS n FROM r) SELECT document_number, event_id, status FROM k WHERE n = 1""")
 def merge_prefer_known(spark, d):

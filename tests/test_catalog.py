@@ -26,7 +26,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 8)
+        return "nan" if math.isnan(v) else round(v, 8) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 8)
     if isinstance(v, (list, tuple)):

@@ -162,7 +162,7 @@ def test_unit_dedup_covers_the_whole_table(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{d}/lineitem.parquet')")
     got = {}
-    for name in ("legal_unit_dedup_all", "dedup_rejects_all"):
+    for name in ("legal_unit_dedup", "dedup_rejects"):
         df = registry.QUERIES[name](spark, d)
         got[name] = sorted(map(tuple, df.collect()))
         assert got[name] == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES[name]})").fetchall())

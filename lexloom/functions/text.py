@@ -16,7 +16,6 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 WORD = "[0-9A-Za-zÀ-ỹĐđ]+"
-SEPARATORS = r"""[/\\|:;,.!?()\[\]{}"'“”‘’`~@#$%^&*=+<>-]+"""
 #: Letters that lose their stroke but have no decomposition (fixed values).
 STROKES = ("đĐ", "dD")
 BASES = "aAeEiIoOuUyYcCnN"
@@ -33,6 +32,15 @@ nfc = pandas_udf(_mapped(lambda x: unicodedata.normalize("NFC", x)), StringType(
 unescape_html = pandas_udf(_mapped(html.unescape), StringType())
 
 
+#: Blocks without a character that composing could change; text with any other goes through :func:`nfc`.
+COMPOSED = r"[^\x00-\u02FF\u1EA0-\u1EF9\u2010-\u2027\u2030-\u205E\u20A0-\u20BF]"
+
+
+def composed(x: Column) -> Column:
+    """NFC; only text that may need it leaves the JVM."""
+    return F.coalesce(nfc(F.when(x.rlike(COMPOSED), x)), x)
+
+
 def _fold_table() -> tuple[str, str]:
     """Precomposed letters up to U+1EF9 and their base letters, by the rule of canonical decomposition."""
     found = {}
@@ -102,8 +110,8 @@ def token_estimate(x: Column) -> Column:
 
 
 def tokens(x: Column, query: bool = False, normalise: bool = False) -> Column:
-    """Lower-cased index tokens; for queries without one-character tokens that are no digits."""
-    x = nfc(x) if normalise else x
+    """Lower-cased index tokens; for queries without one-character tokens that are no digits. Indexes and searches ask for NFC."""
+    x = composed(x) if normalise else x
     found = F.regexp_extract_all(F.lower(F.regexp_replace(x, "_", " ")), F.lit(WORD), F.lit(0))
     if query:
         found = F.filter(found, lambda t: (F.length(t) >= 2) | t.rlike("^[0-9]+$"))

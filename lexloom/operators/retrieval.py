@@ -2,86 +2,85 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 
 K1, B, RRF_K = 1.2, 0.75, 60
-#: A side is broadcast only when its counted rows times an estimate of their width stay below this.
+#: A side is broadcast only when its known rows times an estimate of their width stay below this.
 BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A broadcast hint if the counted rows fit; else the join shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
-def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, len): index tokens of each document."""
-    return docs.select(F.col(id_col).alias("id"), F.size(T.tokens(F.col(text_col))).alias("len"))
-
-
-def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, len); with ``terms`` only those, dropped before anything is shuffled."""
-    rows = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("ts"))
-    rows = rows.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term"))
-    if terms is not None:
-        rows = rows.join(small(terms.select("term").distinct(), 40), "term", "left_semi")
-    return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-
-
-def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
-    return queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(T.tokens(F.col(text), query=True))).alias("term"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", qid: str = "item_id", q_text: str = "text", allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score, rank): Okapi BM25 with OR semantics; rank from 0, ties by id. ``allowed`` (id) scopes the hits, not the statistics."""
-    terms = query_terms(queries, qid, q_text)
-    stats = lengths(docs, id_col, text_col).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    posts = postings(docs, id_col, text_col, terms)
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len")
-    weighted = terms.join(small(weight, 60), "term")
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    if allowed is not None:
-        posts = posts.join(allowed, "id", "left_semi")
-    hits = posts.join(small(weighted, 80), "term").groupBy("qid", "id").agg(F.sum(F.col("idf") * tf).alias("score"))
-    return top_k(hits, k)
-
-
 def top_k(hits: DataFrame, k: int, partition: str = "qid") -> DataFrame:
     """The k best rows of each query by (score, id), with rank from 0; the cut stands on the raw row number, so that it is pushed below the sort."""
     w = Window.partitionBy(partition).orderBy(F.desc(F.round("score", 9)), "id")
     return hits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).withColumn("rank", F.col("rn") - 1).drop("rn")
 
 
-def unit(x: Column) -> Column:
-    """An L2-normalised vector; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return F.transform(x, lambda v: F.when(norm > 0, v.cast("double") / norm).otherwise(F.lit(0.0)))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, id, score, rank) by cosine: a stated set of (qid, qv), in blocks of bounded size, against all (id, v)."""
-    n = queries.count()
-    base = vectors.select("id", unit(F.col("v")).alias("v"))
-    block_rows = max(1, BROADCAST_BYTES // 2048)
-    blocks = -(-n // block_rows) if n else 1
-    q = queries.select("qid", unit(F.col("qv")).alias("qv")).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    """(qid, id, score, rank) by cosine: a stated set of (qid, qv), in blocks of bounded bytes, against all (id, v).
+
+    A block of normalised queries is broadcast as one matrix; every Arrow batch
+    of vectors is multiplied with it and sends its k best rows of each query.
+    A zero or null vector has similarity 0 to all; vectors of another length
+    than the queries' are an error.
+    """
+    spark = vectors.sparkSession
+    width = queries.agg(F.max(F.size("qv"))).first()[0] or 0
+    rows = max(1, BROADCAST_BYTES // (8 * max(1, width)))
+    blocks = -(-queries.count() // rows) or 1
+    dealt = queries.select("qid", "qv").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    types = dict(vectors.dtypes), dict(queries.dtypes)
     out = None
     for b in range(blocks):
-        part = F.broadcast(q.filter(F.col("block") == b).drop("block"))
-        got = top_k(base.join(part).select("qid", "id", dot(F.col("v"), F.col("qv")).alias("score")), k)
-        out = got if out is None else out.unionByName(got)
+        got = dealt.filter(F.col("block") == b).toArrow()
+        held = spark.sparkContext.broadcast((got.column("qid").to_pylist(), _unit_rows(got.column("qv"), width)))
+
+        def go(batches, held=held):
+            names, q = held.value
+            for batch in batches:
+                s = _unit_rows(batch.column("v"), width) @ q.T
+                at = _best(s, batch.column("id").to_numpy(zero_copy_only=False), k)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([names[j] for j in at[1].tolist()], schema.field("qid").type), batch.column("id").take(pa.array(at[0])), pa.array(s[at]),
+                ], names=["qid", "id", "score"])
+
+        schema = pa.schema([got.schema.field("qid")])
+        part = top_k(vectors.select("id", "v").mapInArrow(go, f"qid {types[1]['qid']}, id {types[0]['id']}, score double"), k)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def _unit_rows(col, width: int) -> np.ndarray:
+    """Rows of an Arrow list column as L2-normalised doubles; null and zero rows stay zero."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    out = np.zeros((len(col), width))
+    some = np.flatnonzero(np.asarray(col.is_valid()))
+    if len(some):
+        flat = np.asarray(col.drop_null().flatten().to_numpy(zero_copy_only=False), float)
+        out[some] = np.nan_to_num(flat.reshape(len(some), -1))
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
+
+
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best rows of every column by (score to nine places, id)."""
+    n, m = s.shape
+    if n <= k:
+        return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+    s = np.round(s, 9)
+    least = np.partition(s, n - k, axis=0)[n - k]
+    rows, cols = np.nonzero(s >= least)  # ties with the last place too: the global cut decides among them
+    order = np.lexsort((ids[rows], -s[rows, cols], cols))
+    rows, cols = rows[order], cols[order]
+    starts = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]]))
+    turn = np.arange(len(cols)) - np.repeat(starts, np.diff(np.append(starts, len(cols))))
+    return rows[turn < k], cols[turn < k]
+
+
 def rrf(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of (qid, id, rank) lists with ranks from 0; equal scores keep the order of lists and ranks."""
     every = None
@@ -135,8 +134,8 @@ def cutoff(hits: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, id_col: str, *columns: str) -> DataFrame:
-    """Chunk columns joined to the few final hits, after ranking on narrow rows."""
-    return small(hits, 80).join(chunks.select(F.col(id_col).alias("id"), *columns), "id", "right").filter("qid IS NOT NULL")
+    """Chunk columns joined to the final hits, after ranking on narrow rows; Spark's own statistics choose the join."""
+    return hits.join(chunks.select(F.col(id_col).alias("id"), *columns), "id")
 
 
 def margins(hits: DataFrame) -> DataFrame:

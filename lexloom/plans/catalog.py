@@ -11,6 +11,7 @@ from lexloom.functions import refs as R
 from lexloom.functions import text as T
 from lexloom.operators import corpus as C
 from lexloom.operators import evaluate as E
+from lexloom.operators import index as IX
 from lexloom.operators import legal as L
 from lexloom.operators import retrieval as V
 from lexloom.operators import rewrite as Q
@@ -18,6 +19,7 @@ from lexloom.operators import routing as RT
 from lexloom.operators import scoring as S
 from lexloom.operators import trace as TR
 from lexloom.plans.registry import query
+from lexloom.sources.shared import kept
 
 WORDS = ("the", "and", "der", "que")
 DUCK_WORD = "[0-9A-Za-zÀ-ỹĐđ]+"
@@ -79,9 +81,9 @@ def token_index(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(T.tokens(F.col("text"), normalise=True), " ").alias("tokens"))
 
 
-@query("token_query", f"SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(replace(text, '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')), ' ') AS tokens FROM benchmark")
+@query("token_query", f"SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')), ' ') AS tokens FROM benchmark")
 def token_query(spark, d):
-    return t(spark, d, "benchmark").select("item_id", T.token_text(F.col("text"), query=True).alias("tokens"))
+    return t(spark, d, "benchmark").select("item_id", F.array_join(T.tokens(F.col("text"), query=True, normalise=True), " ").alias("tokens"))
 
 
 @query("accent_fold", "SELECT doc_id, translate(strip_accents(text), 'đĐ', 'dD') AS folded FROM documents")
@@ -114,7 +116,7 @@ def text_digest(spark, d):
     return t(spark, d, "documents").select("doc_id", T.text_digest(F.col("text")).alias("digest"))
 
 
-@query("query_phrases", f"""WITH q AS (SELECT item_id, list_filter(regexp_extract_all(lower(replace(text, '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')) AS ts FROM benchmark),
+@query("query_phrases", f"""WITH q AS (SELECT item_id, list_filter(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')) AS ts FROM benchmark),
 p AS (SELECT item_id, unnest(ts) AS phrase FROM q UNION SELECT item_id, ts[i] || ' ' || ts[i + 1] FROM (SELECT item_id, ts, unnest(range(1, len(ts))) AS i FROM q))
 SELECT DISTINCT item_id, phrase FROM p WHERE length(phrase) >= 6""")
 def query_phrases(spark, d):
@@ -175,9 +177,47 @@ def semi_scope(spark, d):
     return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(allowed, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("anti_incremental", "SELECT DISTINCT c_custkey AS chunk_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_incremental", "SELECT DISTINCT o_orderkey AS chunk_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
 def anti_incremental(spark, d):
-    return V.index_append(t(spark, d, "orders").select(F.col("o_custkey").alias("chunk_id")), t(spark, d, "customer").select(F.col("c_custkey").alias("chunk_id")))
+    known = t(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("chunk_id"))
+    return V.index_append(known, t(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id")))
+
+
+@query("index_append", """SELECT count(*) AS n, CAST(sum(len(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '[0-9A-Za-zÀ-ỹĐđ]+'))) AS BIGINT) AS tokens FROM documents""")
+def index_append(spark, d):
+    """A third of the documents builds the index, all of them are appended to it, twice: each counts once."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+
+    def grow(path):
+        IX.build(docs.filter("doc_id % 3 = 0"), path)
+        IX.append(docs, path)
+        IX.append(docs, path)
+
+    ix = IX.read(spark, kept(spark, "bm25-grown", f"{d}/documents.parquet", grow))
+    per = ix.postings.agg(F.sum("tf").alias("tokens"))
+    return IX.count(ix).crossJoin(F.broadcast(per))  # one row each
+
+
+@query("bm25_multifield", f"""WITH x AS (SELECT doc_id, unnest([{{'field': 'content', 'ts': regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}')}}, {{'field': 'title', 'ts': regexp_extract_all(lower(replace(nfc_normalize(substr(text, 1, 60)), '_', ' ')), '{DUCK_WORD}')}}]) AS x FROM documents),
+dt AS (SELECT doc_id, x.field AS field, x.ts AS ts FROM x), st AS (SELECT field, count(*) AS n, avg(len(ts)) AS al FROM dt GROUP BY 1),
+qt AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$'))) AS term FROM benchmark),
+po AS (SELECT doc_id, field, len(ts) AS dl, unnest(ts) AS term FROM dt), tf AS (SELECT term, field, doc_id, any_value(dl) AS dl, count(*) AS tf FROM po WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, field, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT qid, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term, field) JOIN st USING (field) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM sc) SELECT qid, doc_id AS id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM rk WHERE rank < 10""")
+def bm25_multifield(spark, d):
+    """Terms in the text or in its head, which stands for a title."""
+    docs = t(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
+    ix = IX.read(spark, kept(spark, "bm25-fields", f"{d}/documents.parquet", lambda path: IX.build(docs, path, fields={"content": "text", "title": "title"})))
+    return IX.search(ix, passages(spark, d), 10).select("qid", "id", F.round("score", 4).alias("score"), "rank")
+
+
+@query("bm25_debug", f"""WITH q AS (SELECT item_id AS qid, list_distinct(list_filter(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$'))) AS ts FROM benchmark),
+m AS (SELECT qid, count(DISTINCT doc_id) AS n FROM (SELECT qid, unnest(ts) AS term FROM q) JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}')) AS term FROM documents) USING (term) GROUP BY 1)
+SELECT qid, CAST(len(ts) AS INT) AS n_tokens, ['content'] AS fields, false AS wildcard, false AS fuzzy, least(coalesce(n, 0), 80) AS hits FROM q LEFT JOIN m USING (qid)""")
+def bm25_debug(spark, d):
+    ix = index_of(spark, d)
+    found = IX.search_debug(ix, passages(spark, d), hits(spark, d, 80))
+    return found.select("qid", F.size("tokens").alias("n_tokens"), "fields", "wildcard", "fuzzy", "hits")
 
 
 @query("missing_pages", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -187,16 +227,25 @@ def missing_pages(spark, d):
 
 # --- retrieval ----------------------------------------------------------------------------------
 
-BM25_SQL = f"""WITH dt AS (SELECT doc_id, regexp_extract_all(lower(replace(text, '_', ' ')), '{DUCK_WORD}') AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS al FROM dt),
-qt AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_extract_all(lower(replace(text, '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$'))) AS term FROM benchmark),
+BM25_SQL = f"""WITH dt AS (SELECT doc_id, regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}') AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS al FROM dt),
+qt AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$'))) AS term FROM benchmark),
 po AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM dt), tf AS (SELECT term, doc_id, any_value(dl) AS dl, count(*) AS tf FROM po WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 sc AS (SELECT qid, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM sc)"""
 
 
-def hits(spark, d, k=10):
-    return V.bm25(t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), k=k)
+def index_of(spark, d):
+    """The stored index of the documents' texts, built once in an application."""
+    return IX.read(spark, kept(spark, "bm25", f"{d}/documents.parquet", lambda path: IX.build(t(spark, d, "documents").select("doc_id", "text"), path)))
+
+
+def passages(spark, d):
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def hits(spark, d, k=10, allowed=None):
+    return IX.search(index_of(spark, d), passages(spark, d), k, allowed=allowed)
 
 
 @query("bm25_topk", BM25_SQL + " SELECT qid, doc_id AS id, round(score, 4) AS score, CAST(rank AS INT) AS rank, d.source, d.lang FROM rk JOIN documents d USING (doc_id) WHERE rank < 10")
@@ -204,15 +253,15 @@ def bm25_topk(spark, d):
     return V.hydrate(hits(spark, d), t(spark, d, "documents"), "doc_id", "source", "lang").select("qid", "id", F.round("score", 4).alias("score"), "rank", "source", "lang")
 
 
-@query("bm25_terms", f"""WITH po AS (SELECT doc_id, unnest(regexp_extract_all(lower(replace(text, '_', ' ')), '{DUCK_WORD}')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM po GROUP BY 1""")
+@query("bm25_terms", f"""WITH po AS (SELECT doc_id, unnest(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM po GROUP BY 1""")
 def bm25_terms(spark, d):
-    return V.postings(t(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return IX.postings_of(t(spark, d, "documents"), "doc_id", {"content": "text"}).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("bm25_scoped", BM25_SQL + ", s2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) - 1 AS r2 FROM rk WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT qid, doc_id AS id, round(score, 4) AS score, CAST(r2 AS INT) AS rank FROM s2 WHERE r2 < 5")
 def bm25_scoped(spark, d):
     allowed = t(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
-    return V.bm25(t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), k=5, allowed=allowed).select("qid", "id", F.round("score", 4).alias("score"), "rank")
+    return hits(spark, d, 5, allowed).select("qid", "id", F.round("score", 4).alias("score"), "rank")
 
 
 VEC_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),

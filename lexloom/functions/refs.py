@@ -108,6 +108,34 @@ def iso_date(x: Column, effective: bool = False) -> Column:
     return F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
 
 
+#: Head words of a title page (fixed values).
+TITLE_HEADS = r"(HIẾN\s*PHÁP|BỘ\s*LUẬT|\bLUẬT\b|NGHỊ\s*QUYẾT|NGHỊ\s*ĐỊNH|QUYẾT\s*ĐỊNH|THÔNG\s*TƯ|CHỈ\s*THỊ|CÔNG\s*VĂN)"
+
+
+def extracted_title(content: Column, doc_type: Column, number: Column) -> Column:
+    """The capital lines from a short line with the document's type on, up to the first other one, among 50 lines; else type and number.
+
+    A line is capital if it has no small letter, or over half of it (and more
+    than 5 characters) are capitals; blank lines end a title that has begun.
+    """
+    lines = F.transform(F.slice(F.split(F.coalesce(content, F.lit("")), "\n"), 1, 50), lambda x: F.trim(x))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("title"))  # 0 before the head line, 1 after it, 2 done
+
+    def capitals(x: Column) -> Column:
+        return F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
+
+    def add(s: Column, x: Column) -> Column:
+        at = F.when((s["at"] == 0) & (F.length(x) < 30) & F.upper(x).rlike(f"(?U){TITLE_HEADS}"), 1).otherwise(s["at"])
+        big = ((x == F.upper(x)) & (capitals(x) > 0)) | ((F.length(x) > 5) & (capitals(x) > F.length(x) * 0.5))
+        take = (at == 1) & (x != "") & big
+        done = (at == 1) & ~take & (F.size(s["title"]) > 0)
+        return F.struct(F.when(done, 2).otherwise(at).alias("at"), F.when(take, F.array_append(s["title"], x)).otherwise(s["title"]).alias("title"))
+
+    joined = F.regexp_replace(F.array_join(F.aggregate(lines, state, add)["title"], " "), r"\s+", " ")
+    named = F.when((F.coalesce(doc_type, F.lit("")) != "") & (F.coalesce(number, F.lit("")) != ""), F.concat_ws(" ", doc_type, number)).otherwise("")
+    return F.when(joined == "", named).when(joined == F.upper(joined), F.initcap(joined)).otherwise(joined)
+
+
 def leading_url(x: Column) -> Column:
     return F.regexp_extract(F.array_join(F.slice(F.split(x, "\n"), 1, 5), "\n"), r"(https?://\S+)", 1)
 

@@ -66,8 +66,9 @@ def crawl_filter(sectors: Column, title: Column, words: list[str], core: list[st
 def build_documents(content: DataFrame, metadata: DataFrame) -> DataFrame:
     """Content with its metadata (kept without any), cleaned; too short texts and empty ids go. Duplicate metadata ids are an error."""
     meta = metadata.withColumn("id", F.col("id").cast("string"))
-    check = meta.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.assert_true(F.col("n") == 1, "duplicate metadata id").isNull())
-    meta = meta.join(check.select("id"), "id")
+    columns = [c for c in meta.columns if c != "id"]
+    one = F.when(F.assert_true(F.count(F.lit(1)) == 1, "duplicate metadata id").isNull(), F.first(F.struct(*columns)))
+    meta = meta.groupBy("id").agg(one.alias("m")).select("id", "m.*")
     rows = content.select(F.col("id").cast("string").alias("id"), "content").join(meta, "id", "left")
     out = rows.select(
         F.concat(F.lit("doc_"), "id").alias("doc_id"), T.safe_string(F.col("title")).alias("title"), T.safe_string(F.col("document_number")).alias("document_number"),
@@ -77,11 +78,41 @@ def build_documents(content: DataFrame, metadata: DataFrame) -> DataFrame:
     return out.filter((F.length("content") >= MIN_LENGTH) & (F.col("doc_id") != "doc_"))
 
 
-def join_filtered(content: DataFrame, filtered: DataFrame, order: str = "id") -> DataFrame:
-    """Filtered metadata with its content, one row for each id, short contents dropped."""
-    w = Window.partitionBy("id").orderBy(F.col("content"))
+def join_filtered(content: DataFrame, filtered: DataFrame, order: str = "content") -> DataFrame:
+    """Filtered metadata with its content, one row for each id: the first by ``order`` of those that are long enough."""
     rows = content.withColumn("id", F.col("id").cast("string")).filter(F.length("content") >= MIN_LENGTH)
-    return rows.join(filtered.withColumn("id", F.col("id").cast("string")), "id").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    others = [c for c in rows.columns if c != "id"]
+    wanted = filtered.withColumn("id", F.col("id").cast("string"))
+    first = rows.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct(*others), F.struct(order, "content")).alias("c"))
+    return first.select("id", *(F.col(f"c.{c}") for c in others)).join(wanted, "id")
+
+
+def join_fallback(metadata: DataFrame, matched: DataFrame) -> DataFrame:
+    """Documents whose content stands in the metadata itself: every matched row of enough length, repeated ones too."""
+    meta = matched.select(
+        F.col("id").cast("string").alias("id"), *(T.safe_string(F.col(c)).alias(n) for c, n in (("title", "title"), ("document_number", "document_number"), ("legal_type", "doc_type"), ("issuing_authority", "issuer"), ("issuance_date", "issue_date"), ("url", "url"))),
+    ).groupBy("id").agg(F.max_by(F.struct("title", "document_number", "doc_type", "issuer", "issue_date", "url"), F.struct("title", "url")).alias("m"))
+    rows = metadata.select(F.col("id").cast("string").alias("id"), "content").filter(F.length("content") >= MIN_LENGTH)
+    return rows.join(meta, "id").select(F.concat(F.lit("doc_"), "id").alias("doc_id"), "m.*", "content")
+
+
+def join_crawl(content: DataFrame, matched: DataFrame) -> DataFrame:
+    """The crawl set: content with the matched metadata as a nested ``meta``; status and date of effect are left to the crawl."""
+    c = lambda name: T.clean_value(F.col(name))
+    meta = F.struct(
+        c("legal_type").alias("loai_van_ban"), c("document_number").alias("so_hieu"), c("issuing_authority").alias("co_quan"), c("signers").alias("nguoi_ky"), c("issuance_date").alias("ngay_ban_hanh"),
+        c("legal_sectors").alias("linh_vuc"), F.lit(None).cast("string").alias("tinh_trang"), F.lit(None).cast("string").alias("ngay_hieu_luc"),
+    )
+    rows = matched.select(F.col("id").cast("string").alias("id"), c("document_number").alias("document_number"), c("title").alias("title"), c("url").alias("url"), meta.alias("meta"))
+    return content.select(F.col("id").cast("string").alias("id"), T.clean_value(F.col("content")).alias("content")).join(rows, "id").select("document_number", "title", "url", "content", "meta")
+
+
+def exact_samples(chunks: DataFrame, targets: DataFrame, order: str = "chunk_id") -> DataFrame:
+    """The first chunk of each target (doc_id, article, clause): of that unit, or any of the article where the target names no clause."""
+    own = targets.select("doc_id", "article", "clause").distinct()
+    rows = chunks.select("doc_id", F.coalesce("article", F.lit("")).alias("article"), F.coalesce("clause", F.lit("")).alias("_clause"), F.col(order).alias("_order"))
+    hit = rows.join(own, ["doc_id", "article"]).filter((F.col("clause") == F.col("_clause")) | (F.col("clause") == ""))
+    return hit.groupBy("doc_id", "article", "clause").agg(F.min("_order").alias(order))
 
 
 def merge_known(rows: DataFrame, order: str = "file_order") -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions import refs as R
 from lexloom.functions import text as T
 
 ROUTES = ["structured_exact", "narrow_bm25", "law_anchored_hybrid", "hybrid_default"]
@@ -58,6 +59,67 @@ def first_ranks(matched: DataFrame, key: str = "case_id") -> DataFrame:
     return matched.groupBy(key).agg((F.min(ok) + 1).alias("rank_of_first_correct"), F.max(F.when((F.col("rank") < 5) & F.col("ok"), 1).otherwise(0)).alias("hit_top5"), F.max(F.when((F.col("rank") < 10) & F.col("ok"), 1).otherwise(0)).alias("hit_top10"))
 
 
+def hit_quality(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per case the ranks (from 1, among the first ten) of the first hit of the document, family, article, focus and topic, and the flags that follow.
+
+    ``cases`` holds (case_id, expected_route, expected_doc_id,
+    expected_doc_number, expected_family, expected_article, expected_clause,
+    focus_terms), empty where nothing is expected; ``hits`` (case_id, rank from
+    0, doc_id, document_number, family, title, path, article, clause, text).
+    """
+    c, empty = F.col, F.lit("")
+    norm = lambda x: T.match_normal(x.cast("string"))
+    number = lambda x: R.document_number(x.cast("string"))
+    j = hits.filter("rank < 10").join(cases, "case_id")
+    texts = [F.coalesce(c(x).cast("string"), empty) for x in ("doc_id", "document_number", "title", "path")]
+    want = number(c("expected_doc_number"))
+    doc = ((norm(c("expected_doc_id")) != "") & (norm(c("expected_doc_id")) == norm(c("doc_id")))) | ((want != "") & F.contains(number(F.concat_ws(" ", *texts)), want))
+    unit = lambda value, word: F.coalesce(F.nullif(F.regexp_extract(F.lower(F.coalesce(c(value).cast("string"), empty)), r"(\d+[a-z]?)", 1), empty), F.regexp_extract(T.ascii_normal(F.coalesce(c("path"), empty)), rf"\b{word}\s+(\d+[a-z]?)\b", 1))
+    article = (norm(c("expected_article")) != "") & (unit("article", "dieu") == norm(c("expected_article"))) & ((norm(c("expected_clause")) == "") | (unit("clause", "khoan") == norm(c("expected_clause"))))
+    hay = T.ascii_tokens(F.concat_ws(" ", *(F.coalesce(c(x).cast("string"), empty) for x in ("title", "path", "article", "clause")), F.coalesce(F.substring("text", 1, 1200), empty)))
+    matched = F.size(F.filter("focus_terms", lambda t: F.array_contains(F.col("_hay"), t)))
+    j = j.withColumn("_hay", hay).withColumns({"_doc": doc, "_family": T.family_match(F.coalesce("expected_family", empty), F.coalesce("family", empty)), "_article": article, "_n": matched})
+    terms = F.size("focus_terms")
+    topical, focus = (terms > 0) & (c("_n") >= 1), (terms > 0) & (c("_n") >= F.when(terms >= 2, 2).otherwise(1))
+    scoped = (c("expected_route") != "hybrid_default") & ((norm(c("expected_doc_id")) != "") | (want != ""))
+    tests = {
+        "law": c("_doc"), "family": c("_family"), "article": c("_doc") & c("_article"), "focus": focus & (~scoped | c("_doc")),
+        "focus_within_family": F.when(c("_article"), c("_family")).otherwise(focus & c("_family")), "topical": topical,
+    }
+    first = F.col("rank") == 0
+    grounded = first & ((F.trim(texts[0]) != "") | (F.trim(texts[1]) != "")) & ((F.trim(F.coalesce(c("article").cast("string"), empty)) != "") | (F.trim(texts[3]) != ""))
+    per = j.groupBy("case_id").agg(*((F.min(F.when(t, c("rank"))) + 1).alias(f"rank_first_{n}") for n, t in tests.items()), F.max(grounded.cast("int")).alias("answer_grounded"))
+    out = cases.select("case_id", "expected_route", norm(c("expected_article")).alias("_a"), terms.alias("_t")).join(per, "case_id", "left")
+    out = out.withColumn("rank_first_family", F.coalesce("rank_first_family", "rank_first_law"))
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("int")
+    default, by_article, by_focus = c("expected_route") == "hybrid_default", c("_a") != "", c("_t") > 0
+    kind = lambda a, b, d, e: F.when(default, a).when(by_article, b).when(by_focus, d).otherwise(e)
+    ranks = {n: c(f"rank_first_{n}") for n in tests}
+    correct = kind(ranks["topical"].isNotNull(), ranks["article"].isNotNull(), ranks["focus"].isNotNull(), ranks["law"].isNotNull())
+    top1 = kind(ranks["focus"] == 1, ranks["article"] == 1, ranks["focus"] == 1, ranks["law"] == 1)
+    law = ranks["law"].isNotNull()
+    return out.select(
+        "case_id", "expected_route", *ranks.values(), flag(law).alias("correct_law_top10"), flag(ranks["family"].isNotNull()).alias("correct_family_top10"), flag(law).alias("law_found_top10"), flag(correct).alias("correct_article_top10"),
+        flag(correct & law).alias("correct_article_top10_given_law_found"), flag(top1).alias("focus_top1"), flag(top1 & law).alias("focus_top1_given_law_found"), flag(ranks["focus"] <= 3).alias("focus_top3"),
+        flag(ranks["focus_within_family"] == 1).alias("focus_top1_within_family"), flag(ranks["topical"].isNotNull()).alias("topical_doc_top10"), F.coalesce("answer_grounded", F.lit(0)).alias("answer_grounded"),
+        flag(by_article).alias("article_case"), flag(by_focus).alias("focus_case"),
+    )
+
+
+#: Rates over all cases of a route, and rates over the cases that a flag names (fixed values).
+RATES = ["correct_law_top10", "correct_family_top10", "correct_article_top10", "law_found_top10", "focus_top1", "focus_top3", "focus_top1_within_family", "topical_doc_top10", "answer_grounded"]
+CONDITIONAL = {
+    "correct_article_top10_given_law_found": ("correct_article_top10", "law_found_top10"), "focus_top1_given_law_found": ("focus_top1", "law_found_top10"), "correct_article_top10_on_article_cases": ("correct_article_top10", "article_case"),
+    "focus_top1_on_focus_cases": ("focus_top1", "focus_case"), "focus_top3_on_focus_cases": ("focus_top3", "focus_case"),
+}
+
+
+def quality_rates(rows: DataFrame, by: str = "expected_route") -> DataFrame:
+    """Per route: cases, the quality rates, and the rates among the cases that their condition leaves (0 without any)."""
+    zero = lambda x: F.coalesce(F.round(x, 4), F.lit(0.0))
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("cases"), *(zero(F.avg(c)).alias(f"{c}_rate") for c in RATES), *(zero(F.avg(F.when(F.col(when) == 1, F.col(c)))).alias(f"{n}_rate") for n, (c, when) in CONDITIONAL.items()))
+
+
 def route_summary(rows: DataFrame, routes: list[str], rates: list[str], latency: str = "latency_ms") -> DataFrame:
     """Per route of a fixed list (zero rows too): cases, rates and latency."""
     base = rows.sparkSession.createDataFrame([(r,) for r in routes], "actual_route string")
@@ -67,30 +129,46 @@ def route_summary(rows: DataFrame, routes: list[str], rates: list[str], latency:
 
 def labels(tests: dict[str, Column]) -> tuple[Column, Column]:
     """Labels whose test holds, in order and once, and the primary one (PASS if none)."""
-    found = F.array_distinct(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items()))))
+    found = F.array_distinct(F.array_compact(F.array(*(F.when(t, F.lit(n.rstrip("#"))) for n, t in tests.items()))))
     return found, F.when(F.size(found) > 0, F.element_at(found, 1)).otherwise("PASS")
 
 
+#: Routes on which a hit of the same family counts as an equivalent (fixed values).
+SOFT_ROUTES = ("doc_scoped_hybrid_candidate_docs", "law_anchored_hybrid_loose", "law_anchored_hybrid", "hybrid_default")
+
+
 def failure_tests() -> dict[str, Column]:
-    """Tests over the benchmark row's columns, in the order in which labels are given."""
-    e, a = F.col("expected_route"), F.col("actual_route")
-    exact, family = F.col("correct_law_top10") == 1, F.col("correct_family_top10") == 1
-    tie = (e == "doc_scoped_hybrid_exact_doc") & (a == "doc_scoped_hybrid_candidate_docs") & exact & (F.col("selected_reason") == "candidate_low_margin_or_tie")
-    promoted = (e == "law_anchored_hybrid_loose") & (a == "doc_scoped_hybrid_candidate_docs") & (exact | family) & (F.col("allowed_docs") >= 1)
+    """Tests over the benchmark row's columns, in the order in which labels are given; a label may stand twice, by a name with ``#``."""
+    e, a, c = F.col("expected_route"), F.col("actual_route"), F.col
+    exact, family = c("correct_law_top10") == 1, c("correct_family_top10") == 1
+    tie = (e == "doc_scoped_hybrid_exact_doc") & (a == "doc_scoped_hybrid_candidate_docs") & exact & (c("selected_reason") == "candidate_low_margin_or_tie")
+    promoted = (e == "law_anchored_hybrid_loose") & (a == "doc_scoped_hybrid_candidate_docs") & (exact | family) & (c("allowed_docs") >= 1)
     wrong, default = (e != "") & (a != e), e == "hybrid_default"
     scoped = e.isin("doc_scoped_hybrid_exact_doc", "doc_scoped_hybrid_candidate_docs")
     in_scope = a.startswith("doc_scoped_hybrid")
-    topical = F.col("topical_doc_top10") == 1
+    topical, top1, top3, article = c("topical_doc_top10") == 1, c("focus_top1") == 1, c("focus_top3") == 1, c("correct_article_top10") == 1
+    structured, soft = e == "structured_exact", e.isin(*SOFT_ROUTES) & family
+    article_missed = ~default & exact & (c("expected_article") != "") & ~article
     return {
-        "ROUTE_ACCEPTABLE_ALIAS_TIE": wrong & tie, "ROUTE_ACCEPTABLE_SCOPE_PROMOTION": wrong & ~tie & promoted, "ROUTE_WRONG": wrong & ~tie & ~promoted, "SCOPED_FILTER_BROKEN": F.col("scoped_filter_broken"),
-        "PARSER_DOC_NUMBER_FAIL": e.isin("structured_exact", "narrow_bm25") & (F.col("expected_doc_number") != "") & ~F.col("has_doc_ref"),
-        "PARSER_LAW_NAME_FAIL": (scoped | e.isin("law_anchored_hybrid_loose", "law_anchored_hybrid")) & ~F.col("has_law_name"),
+        "ROUTE_ACCEPTABLE_ALIAS_TIE": wrong & tie, "ROUTE_ACCEPTABLE_SCOPE_PROMOTION": wrong & ~tie & promoted, "ROUTE_WRONG": wrong & ~tie & ~promoted, "SCOPED_FILTER_BROKEN": c("scoped_filter_broken"),
+        "PARSER_DOC_NUMBER_FAIL": e.isin("structured_exact", "narrow_bm25") & (c("expected_doc_number") != "") & ~c("has_doc_ref"),
+        "PARSER_LAW_NAME_FAIL": (scoped | e.isin("law_anchored_hybrid_loose", "law_anchored_hybrid")) & ~c("has_law_name"),
         "DOC_LOOKUP_CONFIDENCE_TOO_LOW": scoped & (a == "law_anchored_hybrid_loose"), "DOC_LOOKUP_SCOPE_WRONG": scoped & in_scope & ~exact & ~family, "DOC_FAMILY_EQUIVALENT": scoped & in_scope & ~exact & family,
-        "QUERY_TOO_VAGUE": default & F.col("query_too_vague"), "TOPICAL_FAMILY_EQUIVALENT": default & topical & ~exact & family, "TOPICAL_RETRIEVAL_OK_BUT_NOT_EXACT": default & topical & ~exact & ~family,
-        "BM25_NOT_FOCUSED": default & ~topical & (F.col("focus_top3") == 0), "RERANK_BAD_TOP1": default & (F.col("focus_top3") == 1) & (F.col("focus_top1") == 0), "LAW_NOT_FOUND": ~default & ~exact,
+        "QUERY_TOO_VAGUE": default & c("query_too_vague"), "TOPICAL_FAMILY_EQUIVALENT": default & topical & ~exact & family, "TOPICAL_RETRIEVAL_OK_BUT_NOT_EXACT": default & topical & ~exact & ~family,
+        "BM25_NOT_FOCUSED": default & ~topical & ~top3, "RERANK_BAD_TOP1": default & top3 & ~top1,
+        "DOC_FAMILY_EQUIVALENT#": ~default & ~exact & soft, "LOOKUP_DOC_MISS": ~default & ~exact & ~soft & structured, "BM25_NOT_FOCUSED#": ~default & ~exact & ~soft & ~structured,
+        "LOOKUP_ARTICLE_MISS": article_missed & structured, "BM25_NOT_FOCUSED##": article_missed & ~structured, "RERANK_BAD_TOP1#": ~default & exact & article & ~top1,
+        "VECTOR_NOISE": ~top1 & ~c("vector_skipped") & exact & ~default,
     }
 
 
+def mode_shares(rows: DataFrame, column: str = "primary_label") -> DataFrame:
+    """(label, n, share) of the primary labels; acceptable promotions and passes are no true failures."""
+    w = Window.partitionBy(F.lit(1))  # over the few labels
+    per = rows.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 4)).withColumn("true_failure", ~F.col("label").startswith("ROUTE_ACCEPTABLE") & (F.col("label") != "PASS"))
+
+
 def label_distribution(rows: DataFrame, column: str = "labels") -> DataFrame:
     return rows.select(F.explode(column).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

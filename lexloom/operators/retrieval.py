@@ -59,7 +59,7 @@ def _unit_rows(col, width: int) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     out = np.zeros((len(col), width))
     some = np.flatnonzero(np.asarray(col.is_valid()))
-    if len(some):
+    if width and len(some):
         flat = np.asarray(col.drop_null().flatten().to_numpy(zero_copy_only=False), float)
         out[some] = np.nan_to_num(flat.reshape(len(some), -1))
     norm = np.sqrt((out * out).sum(1, keepdims=True))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 
 # Filler phrases, repairs, phrase tables, concepts, priors.
-FILLERS = ["duoc xu ly nhu the nao", "khi ap dung thuc te", "quy dinh hien hanh", "quy dinh chung", "nhu the nao", "la gi", "trong thuc te", "cho toi biet", "tom tat", "mot cach ngan gon", "nhung gi", "ra sao"]
+FILLERS = ["quy dinh hien hanh", "quy dinh chung", "nhu the nao", "la gi", "trong thuc te", "khi ap dung thuc te", "cho toi biet", "tom tat", "mot cach ngan gon", "duoc xu ly nhu the nao", "nhung gi", "ra sao"]
 REPAIRS = {
     r"\bnhiem\s+quyen\s+han\b": "nhiem vu quyen han", r"\btham\s+quyen\s+cong\b": "tham quyen", r"\bpham\s+chinh\b": "pham vi dieu chinh", r"\bbao\s+dam\s+toan\b": "bao dam an toan",
     r"\bquyen\s+nghia\s+ban\s+cong\s+chuc\b": "quyen va nghia vu co ban cua cong chuc", r"\bquyet\s+hieu\s+luc\b": "thoi diem hieu luc", r"\blap\s+kinh\b": "lap ke hoach",
@@ -50,7 +50,8 @@ ANCHOR_RULES = [
     (r"cong chuc|can bo|vien chuc", ["can bo cong chuc", "cong chuc"]), (r"lao dong", ["lao dong", "hop dong lao dong"]),
     (r"xu phat|vi pham hanh chinh", ["xu ly vi pham hanh chinh", "xu phat vi pham hanh chinh"]), (r"bao hiem xa hoi", ["bao hiem xa hoi"]),
 ]
-STOP = ["khi", "nhu", "the", "nao", "can", "nhung", "chung", "ap", "thuc", "te", "cho", "toi", "biet", "tom", "tat", "hien", "nay", "ra", "sao"]
+STOP = ["khi", "nhu", "the", "nao", "can", "nhung", "chung", "ap", "thuc", "te", "cho", "toi", "biet", "tom", "tat", "hien", "nay", "ra", "sao", "luu", "gi", "la", "ve", "quy", "dinh", "duoc", "theo", "cua", "va", "mot", "so"]
+KEPT = ["dung", "co", "vu", "nghia", "quyen", "tuyen", "cong", "chuc", "lao", "dong", "hop", "tham", "pham", "vi", "hanh", "chinh", "an", "toan", "hieu", "luc", "trach", "nhiem", "thu", "tuc", "xet", "xu", "ly"]
 
 
 def _array(items: list[str]) -> Column:
@@ -73,14 +74,21 @@ def cleaned(query: Column) -> Column:
 
 
 def sanitised(tokens: Column) -> Column:
-    """Left to right: without stop words, short words, repeated letters, repeats and unstable pairs."""
+    """(tokens, flags): left to right without stop words, words of under three letters that are no numbers, repeated letters, repeats and unstable pairs; legal words always stay."""
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("flags"))
 
     def add(s: Column, t: Column) -> Column:
-        pair = F.concat_ws(" ", F.element_at(s, -1), t)
-        bad = t.isin(*STOP) | ((F.length(t) < 2) & ~t.rlike(r"^\d$")) | t.rlike(r"^(.)\1{3,}$") | F.array_contains(s, t) | ((F.size(s) > 0) & pair.isin(*UNSTABLE))
-        return F.when(bad, s).otherwise(F.array_append(s, t))
+        kept, pair = s["kept"], F.concat_ws(" ", F.try_element_at(s["kept"], F.lit(-1)), t)
+        legal = t.isin(*KEPT)
+        flag = (
+            F.when(t.isin(*STOP) & ~legal, F.concat(F.lit("blacklist:"), t)).when((F.length(t) < 3) & ~t.rlike(r"^\d+$") & ~legal, F.concat(F.lit("short:"), t))
+            .when(t.rlike(r"^(.)\1{3,}$"), "junk_token").when(F.array_contains(kept, t), "").when((F.size(kept) > 0) & pair.isin(*UNSTABLE), F.concat(F.lit("unstable_bigram:"), pair))
+        )
+        return F.when(flag.isNull(), F.struct(F.array_append(kept, t).alias("kept"), s["flags"].alias("flags"))).otherwise(
+            F.struct(kept.alias("kept"), F.when((flag == "") | F.array_contains(s["flags"], flag), s["flags"]).otherwise(F.array_append(s["flags"], flag)).alias("flags"))
+        )
 
-    return F.aggregate(tokens, F.array().cast("array<string>"), add)
+    return F.aggregate(tokens, start, add)
 
 
 def rewrite(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -105,7 +113,7 @@ def rewrite(queries: DataFrame, query: str = "query") -> DataFrame:
         + F.when(F.size("action_terms") > 0, 0.10).otherwise(0.0) + F.when(F.size("object_terms") > 0, 0.06).otherwise(0.0) - F.when(clean.rlike(r"\b(dieu|khoan|chuong)\s+\d+"), 0.10).otherwise(0.0)
     )
     out = out.withColumn("concept_confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)), 6))
-    out = out.withColumn("lexical_tokens", sanitised(F.filter(F.split("clean", " "), lambda t: t != "")))
+    out = out.withColumn("_words", sanitised(F.filter(F.split("clean", " "), lambda t: t != ""))).withColumns({"lexical_tokens": F.col("_words.kept"), "lexical_flags": F.col("_words.flags")}).drop("_words")
     words = lambda c: F.filter(F.flatten(F.transform(c, lambda p: F.split(p, " "))), lambda t: t != "")
     core = F.slice(F.col("lexical_tokens"), 1, 14)
     out = out.withColumns({
@@ -139,6 +147,6 @@ def rewrite(queries: DataFrame, query: str = "query") -> DataFrame:
 
 
 def recall_passes(plans: DataFrame) -> DataFrame:
-    """(qid, pass, query): the BM25 passes of each concept query, for one batched search."""
-    passes = F.array(*(F.struct(F.lit(n).alias("pass"), F.col(c).alias("query")) for n, c in (("core", "lexical_core"), ("expanded", "lexical_expanded"), ("title", "title_anchor"))))
+    """(qid, pass, query): the BM25 passes of each concept query, for one batched search; vague ones get a recovery pass over their concepts' words."""
+    passes = F.array(*(F.struct(F.lit(n).alias("pass"), F.col(c).alias("query")) for n, c in (("core", "lexical_core"), ("expanded", "lexical_expanded"), ("title", "title_anchor"))), F.struct(F.lit("recovery").alias("pass"), F.when(F.col("vagueness_level") != "none", F.col("concept_seed")).otherwise("").alias("query")))
     return plans.select("qid", F.explode(F.filter(passes, lambda p: p["query"] != "")).alias("p")).select("qid", "p.*")

@@ -15,6 +15,7 @@ from lexloom.functions import text as T
 from lexloom.functions.refs import document_number
 from lexloom.operators.retrieval import rrf_rank_score
 
+#: Fixed values of forms, places and kinds.
 LEGAL_FORMS = r"\b(luat|bo\s+luat|nghi\s+dinh|thong\s+tu|vbhn|van\s+ban\s+hop\s+nhat)\b"
 #: Words of pages that are no laws (fixed values).
 GARBAGE = r"\b(dang nhap|dang ky|mat khau|tin tuc|lien he|trang chu|menu|login)\b"
@@ -108,9 +109,12 @@ def role_prior(prior: Column, found: Column) -> tuple[Column, Column]:
     return score, lost
 
 
-def genericity(title: Column, path: Column) -> Column:
-    hay = T.folded_query(title, path)
-    return F.least(F.lit(1.0), sum((F.when(F.contains(hay, F.lit(m)), 0.5).otherwise(0.0) for m in GENERIC_TITLES), F.lit(0.0)))
+def genericity(title: Column, anchor: Column, concept: Column, actor_action_: Column) -> Column:
+    """Penalty of a title that says what an office does, more for every score that does not speak for it."""
+    hay = T.folded_query(title)
+    marked = hay.rlike("|".join(GENERIC_TITLES))
+    lost = F.when(anchor < 0.6, 0.5).otherwise(0.0) + F.when(concept < 0.7, 0.4).otherwise(0.0) + F.when(actor_action_ < 0.6, 0.3).otherwise(0.0)
+    return F.when(marked, F.least(F.lit(1.0), lost)).otherwise(0.0)
 
 
 def family_identity(key: Column, number: Column, doc_type: Column, title: Column, path: Column) -> Column:
@@ -201,10 +205,10 @@ def reference_bonus(doc_wanted: Column, doc_match: Column, article: Column, clau
 
 
 def focus_targets(hits: DataFrame, key: str = "doc_id", window: int = 12) -> DataFrame:
-    """Up to two keys per query that stand at least twice in the window, first among its first four."""
+    """Up to two keys per query, in order of appearance, that stand at least twice in the window, first among its first three."""
     per = hits.filter(F.col("rank") < window).groupBy("qid", key).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first_rank"))
-    w = Window.partitionBy("qid").orderBy(F.desc("n"), "first_rank", key)
-    return per.filter("n >= 2 AND first_rank <= 3").withColumn("rn", F.row_number().over(w)).filter("rn <= 2").drop("rn")
+    w = Window.partitionBy("qid").orderBy("first_rank", key)
+    return per.filter("n >= 2 AND first_rank <= 2").withColumn("rn", F.row_number().over(w)).filter("rn <= 2").drop("rn")
 
 
 def law_order(hits: DataFrame) -> DataFrame:
@@ -214,15 +218,6 @@ def law_order(hits: DataFrame) -> DataFrame:
     return hits.withColumn("new_rank", F.when(guard, F.row_number().over(w) - 1).otherwise(F.col("rank")))
 
 
-def early_exit(hits: DataFrame, min_hits: int = 2, confidence: float = 0.86, margin: float = 0.02, gap: float = 0.015) -> DataFrame:
-    """Per query (qid, score, rank, in_scope, confidence, margin): may vector search be skipped?"""
-    top = hits.filter(F.col("rank") < 4).groupBy("qid").agg(
-        F.count_if("in_scope").alias("scoped"), F.max("confidence").alias("c"), F.max("margin").alias("m"),
-        F.max(F.when(F.col("rank") == 0, F.col("score"))).alias("s1"), F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("score"))), F.lit(0.0)).alias("s2"),
-    )
-    return top.select("qid", ((F.col("scoped") >= min_hits) & (F.col("c") >= confidence) & ((F.col("m") >= margin) | (F.col("s1") - F.col("s2") >= gap))).alias("exit"))
-
-
 def implementation_bridge(candidates: DataFrame, trusted: DataFrame, docs: int, min_margin: float = 0.10) -> DataFrame:
     """Selected documents and up to two more of an implementing role, in candidate order, for trusted families of enough margin."""
     w = Window.partitionBy("qid").orderBy("rank")

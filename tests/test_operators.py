@@ -210,8 +210,8 @@ def test_focus_rerank(spark):
     df = spark.createDataFrame(hits, "qid int, id string, rank int, rerank_score double, doc_id string, family string, title string, path string, article string, clause string, text string")
     plan = spark.createDataFrame([(1, "phạm vi điều chỉnh", "concept_generic", ["pham vi dieu chinh"], ["cong chuc"], ["trach nhiem"], [], ["pham"])], "qid int, query string, subclass string, concept_phrases array<string>, actor_terms array<string>, action_terms array<string>, object_terms array<string>, focus_terms array<string>")
     got = {r.id: r for r in SE.focus_rerank(df, plan).collect()}
-    # b: document .006, concept .002, focus .001, query word "vi" .0007, article 1 .004; c: document .006, article 7 -.001, neither concept nor action -.001
-    assert got["a"].focus_bonus == 0 and got["b"].focus_bonus == pytest.approx(0.0137) and got["c"].focus_bonus == pytest.approx(0.004)
+    # b: document .006, concept .002, focus .001, query words "vi" and "điều" .0014, article 1 .004; c: document .006, "điều" .0007, article 7 -.001, neither concept nor action -.001
+    assert got["a"].focus_bonus == 0 and got["b"].focus_bonus == pytest.approx(0.0144) and got["c"].focus_bonus == pytest.approx(0.0047)
     assert [got[x].rank for x in "bca"] == [0, 1, 2]
 
 

@@ -4,6 +4,11 @@ Mappers send each window hash once per chunk, packed in sorted blobs to hash
 partitions of bounded size; a partition compares what it got and answers with
 the places that are repeated, addressed to buckets of documents.  A hot window
 costs one entry per chunk, however many rows hold it.
+
+A chunk is cut into at most ``FAN`` blobs, so that a blob keeps some hundred
+entries however large the input is.  With more partitions than that, chunks go
+to groups of partitions first, and a second exchange deals the groups out; both
+move a number of bytes in proportion to the input.
 """
 
 from __future__ import annotations
@@ -18,19 +23,33 @@ from lexloom.llm import rolling as r
 
 #: Entries that a mapper gathers before it sorts and sends them; entries that one hash partition should get.
 CHUNK, PER_PARTITION = 1_000_000, 1_000_000
+#: Blobs that a chunk is cut into at most.
+FAN = 4096
 
 ENTRIES = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("blob", pa.binary())])
 FLAGS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 ENTRIES_SQL, FLAGS_SQL = "part int, known boolean, blob binary", "bucket int, blob binary"
 
 
+def group_width(parts: int) -> int:
+    """Partitions of a group, 1 where they need no groups."""
+    return -(-parts // FAN)
+
+
 class Sender:
-    """Collects (hash, partition hash, id, offset) entries and yields packed rows."""
+    """Collects (hash, partition, id, offset) entries and yields packed rows for partitions, or for groups of ``width`` partitions.
 
-    def __init__(self, parts: int, hash_bytes: int = 8, both: bool = False, merge: bool = True):
+    An entry of a group carries its partition's number there in its offset.
+    """
+
+    def __init__(self, parts: int, hash_bytes: int = 8, both: bool = False, merge: bool = True, width: int = 1):
         self.parts, self.hash_bytes, self.both, self.merge, self.held, self.n = parts, hash_bytes, both, merge, [], 0
+        self.width = width
+
+    def add(self, h: np.ndarray, partition_hash: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
+        self.put(h, ((partition_hash >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int32), ids, offsets)
 
-    def add(self, *entry: np.ndarray) -> None:
+    def put(self, *entry: np.ndarray) -> None:
         self.held.append(entry)
         self.n += len(entry[0])
 
@@ -39,7 +58,6 @@ class Sender:
             return
         h, p, ids, off = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.n = [], 0
-        p = ((p >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int32)
         if self.hash_bytes < 8:
             h &= ~np.uint64((1 << (64 - 8 * self.hash_bytes)) - 1)
         order = np.lexsort((h, p))
@@ -67,6 +85,11 @@ class Sender:
                 part = int(r.mix(h[flagged[:1]])[0] % np.uint64(self.parts))  # known places go to any partition, evenly
                 yield pa.record_batch([[part], [True], [r.pack(None, ids[flagged], off[flagged])]], schema=ENTRIES)
         h, p, ids, off = h[send], p[send], ids[send], off[send]
+        if self.width > 1:
+            off = off * self.width + p % self.width
+            p = p // self.width
+            order = np.argsort(p * np.int64(1 << 16) + (h >> np.uint64(48)).astype(np.int64), kind="stable")  # blobs need only the upper bits in order
+            h, p, ids, off = h[order], p[order], ids[order], off[order]
         starts, sizes = r.runs(p)
         blobs = [r.pack(h[a : a + n], ids[a : a + n], off[a : a + n], self.hash_bytes) for a, n in zip(starts, sizes, strict=True)]
         out = pa.record_batch([pa.array(p[starts], pa.int32()), pa.array([False] * len(blobs)), pa.array(blobs, pa.binary())], schema=ENTRIES)
@@ -75,7 +98,28 @@ class Sender:
         yield out
 
 
-def compare(entries: DataFrame, buckets: int, both: bool = False) -> DataFrame:
+def regrouped(entries: DataFrame, parts: int, **sender) -> DataFrame:
+    """The entries of groups of partitions dealt to their partitions, chunk by chunk; as they are if there are no groups."""
+    width = group_width(parts)
+    if width == 1:
+        return entries
+
+    def go(batches):
+        out = Sender(parts, **sender)
+        for batch in batches:
+            for part, known, blob in zip(batch.column("part").to_pylist(), batch.column("known").to_pylist(), batch.column("blob"), strict=True):
+                if known:
+                    yield pa.record_batch([[part], [True], [blob.as_py()]], schema=ENTRIES)
+                    continue
+                h, i, o = r.unpack(blob.as_buffer())
+                out.put(h, (part * width + o % width).astype(np.int32), i, o // width)
+                yield from out.rows()
+        yield from out.rows(last=True)
+
+    return entries.repartition("part").mapInArrow(go, ENTRIES_SQL)
+
+
+def compare(entries: DataFrame, buckets: int, parts: int, both: bool = False, hash_bytes: int = 8) -> DataFrame:
     """Rows (bucket, blob) of the repeated places: all but the first of each hash, or with ``both`` the first too."""
 
     def answer(table: pa.Table) -> pa.Table:
@@ -109,7 +153,7 @@ def compare(entries: DataFrame, buckets: int, both: bool = False) -> DataFrame:
         r.give_back()
         return pa.table([pa.array(b[starts], pa.int32()), pa.array(blobs, pa.binary())], schema=FLAGS)
 
-    return entries.groupBy("part").applyInArrow(answer, FLAGS_SQL)
+    return regrouped(entries, parts, both=both, hash_bytes=hash_bytes).groupBy("part").applyInArrow(answer, FLAGS_SQL)
 
 
 def places(flags: pa.Table) -> tuple[np.ndarray, np.ndarray]:

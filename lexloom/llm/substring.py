@@ -8,7 +8,10 @@ repeated windows merge into maximal removal intervals.
 
 Edge cases: a null or empty text has no words and nothing is removed; texts
 shorter than a window are kept; rows that share an id count as one document
-for removal and each is returned; a null id sorts first.
+for removal and each is returned, repeated rows too; a null id sorts first; an
+empty table gives no rows.  Only the two named columns are read, so others may
+have any name.  A text is held whole: one of n bytes takes about 60 n bytes of
+a worker.
 """
 
 from __future__ import annotations
@@ -39,9 +42,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_words, n_removed, kept_text, removed): kept words joined by one space, removed word intervals."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts, buckets = plan_sizes(docs, "text", 6.0)
+    width = rep.group_width(parts)
 
     def send(batches):
-        out = rep.Sender(parts)
+        out = rep.Sender(parts, width=width)
         for batch in batches:
             for s in r.slices(batch, "doc_id", "text"):
                 starts, ends, bounds = r.words(s, r.NOT_SPACE)
@@ -55,7 +59,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield from out.rows()
         yield from out.rows(last=True)
 
-    flags = cluster.cut(rep.compare(docs.mapInArrow(send, rep.ENTRIES_SQL), buckets), "op3-flags")
+    flags = cluster.cut(rep.compare(docs.mapInArrow(send, rep.ENTRIES_SQL), buckets, parts), "op3-flags")
 
     def clean(rows: pa.Table, marks: pa.Table) -> pa.Table:
         ids, offs = rep.places(marks)

@@ -22,8 +22,11 @@ that depth replace the ranks of a full suffix array.
 
 Edge cases: null texts are empty; texts shorter than ``length`` are kept; an
 exact copy of an earlier text is removed whole (if long enough) without
-entering the comparison; rows that share an id count as one document; a null
-id sorts first; texts are compared as UTF-8 bytes.
+entering the comparison; rows that share an id count as one document, and each
+comes out; a null id sorts first; texts are compared as UTF-8 bytes; an empty
+table gives no rows.  ``suffix_dedup`` reads only the two named columns, so
+others may have any name.  A text is held whole: one of n bytes takes about
+60 n bytes of a worker.
 """
 
 from __future__ import annotations
@@ -66,11 +69,11 @@ def cover_for(length: int) -> tuple[int, np.ndarray]:
     return (v, np.array(COVERS[v])) if v else (1, np.array([0]))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """Ids of documents whose whole text an earlier id has too, from narrow rows only."""
-    narrow = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    first = narrow.groupBy("key", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return narrow.join(first, ["key", "n"]).filter("doc_id > first").select("doc_id").distinct()
+def copies(docs: DataFrame, rows: int) -> DataFrame:
+    """Ids of documents whose whole text an earlier id has too, from narrow rows only; ``rows`` counts ``docs``."""
+    narrow = cluster.cut(docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")), "op8-keys")
+    first = cluster.cut(narrow.groupBy("key", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "op8-first")
+    return cluster.join_heavy(narrow, first, ["key", "n"], "c", rows).filter("doc_id > first").select("doc_id").distinct()
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -100,8 +103,9 @@ def _dedup(docs: DataFrame, carried: list[str], length: int) -> DataFrame:
     buckets = cluster.prime(max(13, total // (8 << 20), n // 20_000))
     sample_parts = cluster.prime(max(13, total * len(cover) // v // rep.PER_PARTITION))
     window_parts = cluster.prime(max(13, total // 4 // rep.PER_PARTITION))
+    sample_width, window_width = rep.group_width(sample_parts), rep.group_width(window_parts)
 
-    same = cluster.cut(copies(docs), "op8-copies")
+    same = cluster.cut(copies(docs, n), "op8-copies")
     n_same = same.count()
     light = cluster.sized(same, 64, n_same)
     distinct = docs.select("doc_id", "text")
@@ -128,7 +132,7 @@ def _dedup(docs: DataFrame, carried: list[str], length: int) -> DataFrame:
         return h, r.mix(r.span_sums(r.BYTE_VALUE2[data], r.POWERS2, at, ends))
 
     def send_samples(batches):
-        out = rep.Sender(sample_parts, hash_bytes=5, both=True)
+        out = rep.Sender(sample_parts, hash_bytes=5, both=True, width=sample_width)
         for batch in batches:
             for s in r.slices(batch, "doc_id", "text"):
                 at, doc, num = sampled(s)
@@ -138,10 +142,10 @@ def _dedup(docs: DataFrame, carried: list[str], length: int) -> DataFrame:
                     yield from out.rows()
         yield from out.rows(last=True)
 
-    marks = cluster.cut(rep.compare(distinct.mapInArrow(send_samples, rep.ENTRIES_SQL), buckets, both=True), "op8-names")
+    marks = cluster.cut(rep.compare(distinct.mapInArrow(send_samples, rep.ENTRIES_SQL), buckets, sample_parts, both=True, hash_bytes=5), "op8-names")
 
     def send_windows(rows: pa.Table, found: pa.Table):
-        out = rep.Sender(window_parts)
+        out = rep.Sender(window_parts, width=window_width)
         ids, nums = rep.places(found)
         pieces = []
         for batch in rows.to_batches():
@@ -174,7 +178,7 @@ def _dedup(docs: DataFrame, carried: list[str], length: int) -> DataFrame:
         return df.withColumn("bucket", cluster.id_bucket(F.col("doc_id"), buckets)).groupBy("bucket")
 
     windows = dealt(distinct).cogroup(marks.groupBy("bucket")).applyInArrow(send_windows, rep.ENTRIES_SQL)
-    flags = cluster.cut(rep.compare(windows, buckets), "op8-flags")
+    flags = cluster.cut(rep.compare(windows, buckets, window_parts), "op8-flags")
     cluster.drop(marks)
 
     def clean(rows: pa.Table, found: pa.Table) -> pa.Table:

@@ -15,13 +15,18 @@ similar sets always has a non-empty common signature otherwise, none is lost.
 Candidates that share a signature are verified on their exact sets: first
 against the smallest id of their group, then, where a group still spans several
 components, all pairs across components whose sketches (a lower bound of the
-difference) allow a link.  Links are closed by large-star and small-star steps
+difference) allow a link; a large group is compared block by block, in as many
+tasks as it has pairs of blocks.  Links are closed by large-star and small-star steps
 on distributed edges.
 
 Edge cases: null and empty texts have no shingles, link with nothing and are
 their own component; shorter texts are one shingle; equal sets are one class
 whatever their texts; a null id is returned with a null component; rows that
-share an id are one document, linked by any of its texts.
+share an id are one document, linked by any of its texts; every row comes out,
+repeated ones too; an empty table gives no rows.  Only the two named columns
+are read, so others may have any name.  A text is held whole: one of n bytes
+takes about 50 n bytes of a worker.  Links inside a component that is already
+closed are not listed: the result is components, not pairs.
 """
 
 from __future__ import annotations
@@ -127,7 +132,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray, bands: Bands):
 GROUPS_SQL = "gid long, members array<long>"
 
 
-def candidate_groups(entries: DataFrame) -> DataFrame:
+def candidate_groups(entries: DataFrame, parts: int) -> DataFrame:
     """Distinct groups (gid, sorted members) of documents that share a signature."""
 
     def go(table: pa.Table) -> pa.Table:
@@ -160,19 +165,13 @@ def candidate_groups(entries: DataFrame) -> DataFrame:
         r.give_back()
         return pa.table([pa.array(gid[first]), lists], names=["gid", "members"])
 
-    return entries.groupBy("part").applyInArrow(go, GROUPS_SQL).groupBy("gid").agg(F.first("members").alias("members"))
+    dealt = rep.regrouped(entries, parts, hash_bytes=7, merge=False)
+    return dealt.groupBy("part").applyInArrow(go, GROUPS_SQL).groupBy("gid").agg(F.first("members").alias("members"))
 
 
 def star_pairs(groups: DataFrame) -> DataFrame:
     """Distinct (a, b): each group's smallest id with the others."""
-
-    def go(table: pa.Table) -> pa.Table:
-        b = np.unique(table.column("members").combine_chunks().flatten().to_numpy())
-        a = table.column("a")[0].as_py()
-        b = b[b != a]
-        return pa.table([pa.array(np.full(len(b), a)), pa.array(b)], names=["a", "b"])
-
-    return groups.withColumn("a", F.col("members")[0]).groupBy("a").applyInArrow(go, "a long, b long")
+    return groups.select(F.col("members")[0].alias("a"), F.explode("members").alias("b")).filter("a <> b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -202,20 +201,22 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every linked document, by alternating large-star and small-star steps."""
     edges = cluster.cut(links.filter("u <> v").distinct(), "op1-edges")
-    mark = None
-    while True:
+    mark, n = None, edges.count()
+    while n:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").filter("v > u").select("v", F.col("m").alias("u")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("m", "u"))
+        least = cluster.cut(least.select("u", "m", "c"), "op1-least")
+        large = cluster.join_heavy(both, least, ["u"], "c", 2 * n).filter("v > u").select("v", F.col("m").alias("u")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select("u", F.col("m").alias("v")).union(low.select(F.col("v").alias("u"), F.col("m").alias("v")))
         new = cluster.cut(small.filter("u <> v").distinct(), "op1-step")
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        cluster.drop(edges)
+        cluster.drop(edges, least)
         edges = new
         if now == mark:
-            return edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("component_id"))
-        mark = now
+            break
+        mark, n = now, now[0]
+    return edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("component_id"))
 
 
 def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -236,29 +237,49 @@ def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.filter(sizes).mapInArrow(go, "a long, b long, gap double").groupBy("a", "b").agg(F.min("gap").alias("gap"))
 
 
+#: Members of a group that one task compares with as many others.
+BLOCK = 2048
+
+
 def left_pairs(groups: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of a group across components that may link, beyond those with its smallest id."""
-    rows = groups.filter(F.size("members") > 2).select("gid", F.col("members")[0].alias("a"), F.explode("members").alias("doc_id"))
-    rows = rows.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    mixed = rows.groupBy("gid").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).filter("x <> y").select("gid")
-    some = rows.join(mixed, "gid").join(sketches.select("doc_id", "n_shingles", "parity"), "doc_id")
+    """Distinct pairs of a group across components that may link, beyond those with its smallest id.
+
+    Members outside a group's largest component are compared with all of it, a
+    block of at most ``BLOCK`` of them with a block of the group in each task.
+    """
+    rows = groups.filter(F.size("members") > 2).select("gid", F.size("members").alias("m"), F.col("members")[0].alias("a"), F.explode("members").alias("doc_id"))
+    rows = cluster.cut(rows.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")), "op1-members")
+    parts = rows.groupBy("gid", "component_id").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
+    mixed = parts.groupBy("gid").agg(F.max_by("component_id", F.struct("n", "component_id")).alias("largest"), (F.max("m") - F.max("n")).alias("open"), F.max("m").alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    mixed = cluster.cut(mixed.select("gid", "largest", "open", "c"), "op1-mixed")
+    total = mixed.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    some = cluster.join_heavy(rows.drop("m"), mixed.withColumn("m", F.col("c")), ["gid"], "c", total).join(sketches.select("doc_id", "n_shingles", "parity"), "doc_id")
+    # Open members lie in the left blocks of their group, all members in the right ones; every pair of blocks is a task.
+    lefts, rights = (F.ceil(F.col(x) / F.lit(BLOCK)).cast("int") for x in ("open", "m"))
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    is_open = (F.col("component_id") != F.col("largest")) & (F.col("doc_id") != F.col("a"))
+    spots = F.concat(
+        F.transform(F.sequence(F.lit(0), lefts - 1), lambda i: F.struct(i.alias("i"), place(rights).alias("j"), F.lit(False).alias("left"))),
+        F.when(is_open, F.transform(F.sequence(F.lit(0), rights - 1), lambda j: F.struct(place(lefts).alias("i"), j.alias("j"), F.lit(True).alias("left")))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean>>")),
+    )
+    dealt = some.select("gid", "a", "doc_id", "component_id", "n_shingles", "parity", F.explode(spots).alias("s")).select("*", "s.*").drop("s")
 
     def go(table: pa.Table) -> pa.Table:
-        ids, comp, size = (table.column(c).to_numpy() for c in ("doc_id", "component_id", "n_shingles"))
+        ids, comp, size, left = (table.column(c).to_numpy() for c in ("doc_id", "component_id", "n_shingles", "left"))
         bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
         star = table.column("a")[0].as_py()
         out = [np.zeros((0, 2), np.int64)]
-        top = np.unique(comp, return_counts=True)
-        largest = top[0][top[1].argmax()]
-        for j in np.flatnonzero((comp != largest) & (ids != star)):
-            gap = np.bitwise_count(bits ^ bits[j]).sum(1, dtype=np.int64)
-            ok = (comp != comp[j]) & (ids != star) & (gap * (100 + percent) <= (size + size[j]) * (100 - percent))
-            b = ids[ok]
+        right = np.flatnonzero(~left & (ids != star))
+        ids_r, comp_r, size_r, bits_r = ids[right], comp[right], size[right], bits[right]
+        for j in np.flatnonzero(left):
+            ok = np.flatnonzero(comp_r != comp[j])
+            gap = np.bitwise_count(bits_r[ok] ^ bits[j]).sum(1, dtype=np.int64)
+            b = ids_r[ok][gap * (100 + percent) <= (size_r[ok] + size[j]) * (100 - percent)]
             out.append(np.stack([np.minimum(ids[j], b), np.maximum(ids[j], b)], 1))
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return some.groupBy("gid").applyInArrow(go, "a long, b long").distinct()
+    return dealt.groupBy("gid", "i", "j").applyInArrow(go, "a long, b long").distinct()
 
 
 NODES_SQL = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, parity binary"
@@ -287,17 +308,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     nodes = cluster.cut(docs.mapInArrow(summarise, NODES_SQL), "op1-nodes")
     live = nodes.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    top = live.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
+    top = live.agg(F.max("n_shingles"), F.sum("n_shingles"), F.count(F.lit(1))).first()
     bands = Bands(percent, int(top[0] or 1))
-    classes = live.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    same = cluster.cut(live.join(classes, ["n_shingles", "h1", "h2"]).filter("doc_id > rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "op1-same")
-    many_sets = live.groupBy("doc_id").agg(F.count_distinct("n_shingles", "h1", "h2").alias("c")).filter("c > 1").select("doc_id")
+    keys = ["n_shingles", "h1", "h2"]
+    classes = cluster.cut(live.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "op1-classes")
+    narrow = live.select("doc_id", *keys)
+    same = cluster.cut(cluster.join_heavy(narrow, classes, keys, "c", top[2]).filter("doc_id > rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "op1-same")
+    many_sets = cluster.cut(live.groupBy("doc_id").agg(F.count_distinct(*keys).alias("c")).filter("c > 1").select("doc_id"), "op1-several")
     copies = same.select(F.col("u").alias("doc_id")).distinct().join(many_sets, "doc_id", "left_anti")
     distinct = docs.filter("doc_id IS NOT NULL").join(cluster.sized(copies, 64), "doc_id", "left_anti")
     parts = cluster.prime(max(13, int(top[1] or 0) // rep.PER_PARTITION))
 
+    width = rep.group_width(parts)
+
     def sign(batches):
-        out = rep.Sender(parts, hash_bytes=7, merge=False)
+        out = rep.Sender(parts, hash_bytes=7, merge=False, width=width)
         for batch in batches:
             for s in r.slices(batch, "doc_id", "text"):
                 h, doc = shingle_sets(s, shingle)
@@ -306,7 +331,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     yield from out.rows()
         yield from out.rows(last=True)
 
-    groups = cluster.cut(candidate_groups(distinct.mapInArrow(sign, rep.ENTRIES_SQL)), "op1-groups")
+    groups = cluster.cut(candidate_groups(distinct.mapInArrow(sign, rep.ENTRIES_SQL), parts), "op1-groups")
     outlines = live.select("doc_id", "n_shingles", "sketch", "parity")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
@@ -321,14 +346,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for turn, most in enumerate((2, 32, None)):
         side = [found.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"c_{c}")) for c in "ab"]
         open_ = left.join(side[0], "a", "left").join(side[1], "b", "left").withColumn("x", F.coalesce("c_a", "a")).withColumn("y", F.coalesce("c_b", "b")).filter("x <> y")
-        w = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy("gap", "a", "b")
-        open_ = cluster.cut(open_.withColumn("rn", F.row_number().over(w)).filter("TRUE" if most is None else f"rn <= {most}").select("a", "b", "gap"), "op1-open")
+        if most is not None:
+            w = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy("gap", "a", "b")
+            open_ = open_.withColumn("rn", F.row_number().over(w)).filter(f"rn <= {most}")
+        open_ = cluster.cut(open_.select("a", "b", "gap"), "op1-open")
         if not open_.limit(1).count():
             break
         links = links.union(linked(open_, f"turn{turn}"))
         if most is not None:
             left = cluster.cut(left.join(open_.select("a", "b"), ["a", "b"], "left_anti"), "op1-left")
             found = cluster.cut(components(links), "op1-found")
-    final = cluster.cut(components(links.union(same)), "op1-final")
+    # A copy of one set alone follows its class; only ids of several sets tie classes together.
+    ties = same.join(many_sets.select(F.col("doc_id").alias("u")), "u", "left_semi").select("u", "v")
+    final = cluster.cut(components(links.union(ties)), "op1-final")
+    of_class = classes.join(final.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*keys, F.coalesce("component_id", "rep").alias("component_id"), "c")
+    members = cluster.join_heavy(narrow, cluster.cut(of_class, "op1-of-class"), keys, "c", top[2]).select("doc_id", "component_id")
+    every = cluster.cut(final.union(members).groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "op1-every")
     cluster.drop(groups)
-    return nodes.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return nodes.join(every, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -44,6 +44,35 @@ def test_jaccard(docs, rows):
     assert len({c for _, c in want.values()}) < len(want)
 
 
+def test_many_blocks_and_groups(spark, docs, rows, monkeypatch):
+    """Tiny blocks, chunks and fans: the results are those of one task."""
+    from lexloom.llm import repeats
+
+    want = brute.components(rows)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(repeats, "FAN", 4)
+    monkeypatch.setattr(repeats, "CHUNK", 50)
+    monkeypatch.setattr(repeats, "PER_PARTITION", 40)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == want
+    check_substring(docs, rows, 20)
+    got = {r.doc_id: r.n_removed for r in suffix.suffix_dedup(docs, length=100).collect()}
+    assert got == {i: sum(g) for (i, _), (_, g) in zip(sorted(rows), brute.windows(rows, lambda t: list((t or "").encode()), 100), strict=True)}
+
+
+def test_large_group_of_near_copies(spark):
+    """One family of texts that share most signatures, in parts that do not link; exact copies and ids of several texts among them."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = base[:]
+        for k in rng.sample(range(120), rng.choice((0, 1, 2, 3, 4, 5))):
+            words[k] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == brute.components(rows)
+
+
 def test_signatures_lose_no_link():
     """Random pairs at the threshold always share a signature, whatever the sizes."""
     rng = np.random.default_rng(1)

@@ -9,7 +9,10 @@ a backslash after their first character (one more if some are there), which
 
 Edge cases: null roles and texts are empty strings; turns are ordered by
 (turn, role, text), null turns first; repeated turns are kept; a null conv_id
-is a conversation of its own; an empty table gives no examples.
+is a conversation of its own; an empty table gives no examples.  Only the four
+named columns are read, so others may have any name.  A conversation is put
+together in one row, and each of its examples repeats the turns before: n
+replies of m characters take about n * n * m / 2 characters.
 """
 
 from __future__ import annotations

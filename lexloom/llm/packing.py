@@ -12,7 +12,9 @@ nothing.  The programme keeps 8 bytes for each distinct length and bucket.
 
 Edge cases: null and empty texts have no tokens and go to the first bucket;
 equal lengths share a bucket; an empty table gives no rows; repeated rows are
-packed each.
+packed each; a null id comes first in its bucket.  Only the two named columns
+are read, so others may have any name.  A text is held whole by the JVM, nowhere
+else.
 """
 
 from __future__ import annotations

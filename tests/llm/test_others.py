@@ -334,3 +334,18 @@ def test_pipeline(spark):
     bad = {i for i, (n, h, _) in brute.contamination(rows, bench).items() if h and 20 * h >= n}
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - bad
     assert p.pack_batches(spark, clean, SF).count() == clean.count()
+
+
+def test_one_of_near_duplicates_stays(spark):
+    import corpus_pipeline as p
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, words), (3, words), (3, words + " x"), (5, words + " y"), (9, "quite another text of eight words here"), (9, "quite another text of eight words here"), (None, words), (None, words)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or -1, r.text) for r in p.keep_one_of_near_duplicates(spark, df, "").collect())
+    assert got == [(-1, words), (-1, words), (3, words), (9, rows[4][1])]
+
+
+def test_chat_ignores_other_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", "x", 7), (1, 1, "assistant", "b", "y", 8)], "conv_id long, turn long, role string, text string, formatted string, n_turns int")
+    assert [(r.conv_id, r.n_turns, r.formatted[r.loss_start : r.loss_start + r.loss_length]) for r in chat.expand(df).collect()] == [(1, 2, "b")]

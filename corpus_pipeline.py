@@ -21,10 +21,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every near-duplicate component, once."""
+    """The document of the smallest id of every near-duplicate component, once: of rows that share an id the least stays; rows without an id all stay."""
     found = jaccard.jaccard_components(docs)
     rest = cluster.cut(found.filter("component_id <> doc_id").select("doc_id").distinct(), "pipeline-near")
-    return docs.join(cluster.sized(rest, 64), "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(cluster.sized(rest, 64), "doc_id", "left_anti").select(*COLUMNS)
+    twice = cluster.cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-twice")
+    n = twice.count()
+    if not n:
+        return kept
+    few = cluster.sized(twice, 64, n)
+    once = kept.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return kept.join(few, "doc_id", "left_anti").unionByName(once)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ learning rows without a language or text are left out; ties go to the label
 that sorts first; repeated rows count each and come out each, null ids too;
 without learning rows everything is ``und``; an empty table gives no rows.
 Only doc_id, text and (to learn) lang are read, so other columns may have any
-name.  A text is held whole: one of n bytes takes about 120 n bytes of a worker.
+name.  A text is held whole: one of n bytes takes about 55 n bytes of a worker
+(measured at 8 MB).
 """
 
 from __future__ import annotations

@@ -141,11 +141,6 @@ def json_props(spark, d):
     return t(spark, d, "events").select("event_type", T.json_object(F.col("props"), "k string")["k"].alias("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("with_k"))
 
 
-@query("query_language")
-def query_language(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.query_language(F.col("text")).alias("language"))
-
-
 @query("mojibake")
 def mojibake(spark, d):
     return t(spark, d, "documents").select("doc_id", T.mend_mojibake(F.col("text")).alias("text"))
@@ -360,104 +355,18 @@ def laws(spark):
     return spark.createDataFrame(LAWS, LAW_COLUMNS)
 
 
-def _values(rows, names) -> str:
-    quoted = ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in r) + ")" for r in rows)
-    return f"(VALUES {quoted}) AS t({', '.join(names)})"
-
-
-LAW_SQL = _values([r[:6] for r in LAWS], ["doc_id", "title", "document_number", "doc_type", "issuer", "issue_date"])
-
-
-@query("parse_articles")
-def parse_articles(spark, d):
-    return L.articles(laws(spark))
-
-
-@query("legal_chunks")
-def legal_chunks(spark, d):
-    return L.chunks(laws(spark))
-
-
-@query("footer_cut")
-def footer_cut(spark, d):
-    return laws(spark).select("doc_id", L.header_end(F.col("content")).alias("header_end"), L.footer_start(F.col("content")).alias("footer_start"))
-
-
-@query("breadcrumb", f"SELECT doc_id, CASE WHEN length(title) > 60 THEN substr(title, 1, 57) || '...' ELSE title END || ' > Chương I > Điều 1 > Khoản 2' AS path FROM {LAW_SQL}")
-def breadcrumb(spark, d):
-    return laws(spark).select("doc_id", L.breadcrumb(F.col("title"), F.lit("Chương I. QUY ĐỊNH CHUNG"), F.lit(""), F.lit("1"), F.lit("2")).alias("path"))
-
-
-@query("doc_type_bucket", f"SELECT doc_id, CASE WHEN contains(document_number, 'QĐ-UBND') THEN 'quyet_dinh_ubnd' WHEN contains(document_number, 'NĐ-CP') THEN 'nghi_dinh' WHEN regexp_matches(document_number, '/QH[0-9]{{1,2}}$') THEN 'luat' WHEN contains(lower(doc_type), 'hợp nhất') THEN 'vbhn' ELSE '' END AS kind FROM {LAW_SQL}")
-def doc_type_bucket(spark, d):
-    return laws(spark).select("doc_id", S.bucket(F.col("document_number"), F.col("doc_type"), F.col("title"), F.lit("")).alias("kind"))
-
-
-@query("family_key", rf"""WITH a AS (SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(translate(strip_accents(title), 'đĐ', 'dD')), '[0-9a-z]+'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')), ' ') AS v FROM {LAW_SQL}),
-b AS (SELECT doc_id, regexp_replace(regexp_replace(v, '\bvan ban hop nhat\b', ' ', 'g'), '\b(sua doi|bo sung|hop nhat)\b', ' ', 'g') AS v FROM a), c AS (SELECT doc_id, CASE WHEN regexp_matches(v, '\b(bo luat|luat)\b\s+.+') THEN regexp_extract(v, '\b((?:bo luat|luat)\b\s+.+)', 1) ELSE v END AS v FROM b)
-SELECT doc_id, trim(regexp_replace(regexp_replace(v, '\b(19|20)[0-9][0-9]\b', ' ', 'g'), '\s+', ' ', 'g')) AS family FROM c""")
-def family_key(spark, d):
-    return laws(spark).select("doc_id", T.family_key(F.col("title")).alias("family"))
-
-
-@query("doc_roles")
-def doc_roles(spark, d):
-    n, dt, ti, p = F.col("document_number"), F.col("doc_type"), F.col("title"), F.lit("")
-    kind = S.bucket(n, dt, ti, p)
-    return laws(spark).select("doc_id", S.role(kind, ti, p).alias("role"), S.local_admin(n, dt, ti, p).alias("local"), S.preferred(kind, ti, dt, p).alias("preferred"), S.drafting(ti, dt).alias("drafting"), S.family_identity(T.family_key(ti), n, dt, ti, p).alias("identity"))
-
-
 # --- queries, routes, rewriting ------------------------------------------------------------------------
 
 QUESTIONS = [
     (1, "Điều 5 Nghị định 12/2022/NĐ-CP quy định gì?", "structured_exact"), (2, "Nội dung 80/2025/QĐ-UBND", "narrow_bm25"), (3, "Luật Đất đai", "narrow_bm25"),
     (4, "Luật Đất đai quy định thế nào về bồi thường khi thu hồi đất", "law_anchored_hybrid"), (5, "thẩm quyền xử phạt vi phạm hành chính của công chức như thế nào", "hybrid_default"), (6, "", "hybrid_default"), (7, "aaaa lap quan kinh", "hybrid_default"),
 ]
-QUESTION_SQL = "(VALUES " + ", ".join(f"({i}, '{r}')" for i, _, r in QUESTIONS) + ") AS t(qid, route)"
 
 
 def questions(spark):
     return spark.createDataFrame([x[:2] for x in QUESTIONS], "qid int, query string")
 
 
-@query("route_decision", f"SELECT qid, route FROM {QUESTION_SQL}")
-def route_decision(spark, d):
-    return questions(spark).select("qid", RT.route(F.col("query")).alias("route"))
-
-
-@query("legal_refs")
-def legal_refs(spark, d):
-    return questions(spark).select("qid", R.legal_refs(F.col("query")).alias("refs")).select("qid", "refs.*")
-
-
-@query("rewrite_plan")
-def rewrite_plan(spark, d):
-    return Q.rewrite(questions(spark))
-
-
-@query("recall_passes")
-def recall_passes(spark, d):
-    return Q.recall_passes(Q.rewrite(questions(spark)))
-
-
-@query("law_lookup")
-def law_lookup(spark, d):
-    q = questions(spark).select("qid", R.legal_refs(F.col("query"))["law_name"].alias("law_name"))
-    return RT.law_lookup(q, laws(spark))
-
-
-@query("structured_lookup")
-def structured_lookup(spark, d):
-    q = questions(spark).select("qid", R.legal_refs(F.col("query")).alias("refs"))
-    return RT.structured_lookup(q, L.chunks(laws(spark)))
-
-
-@query("imported_fields")
-def imported_fields(spark, d):
-    x = laws(spark)
-    return x.select("doc_id", R.extracted_number(F.concat_ws(" ", F.lit("Số:"), F.col("document_number"))).alias("number"), R.document_type(F.col("doc_type"), F.lit("x.txt")).alias("doc_type"), R.issuer(F.col("issuer")).alias("issuer"), R.iso_date(F.lit("Hà Nội, ngày 5 tháng 3 năm 2024")).alias("issue_date"))
-
-
 # --- evaluation -----------------------------------------------------------------------------------------
 
 RESULT_SQL = "(SELECT CASE WHEN quality = 1 THEN 1 ELSE 0 END AS hit_top5, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE quality END AS hit_top10, toxic AS hit_expected_source, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 5 END AS rank, quality AS citation_correct, 1 - toxic AS grounded, toxic AS hallucination, doc_id AS ms, doc_id % 4 AS route FROM labels)"
@@ -569,11 +478,6 @@ def page_fields(spark, d):
     return C.page_fields(t(spark, d, "pages"))
 
 
-@query("page_links")
-def page_links(spark, d):
-    return t(spark, d, "pages").select("page_id", F.posexplode(C.page_links(F.col("html"), "https://example.org")).alias("i", "url"))
-
-
 @query("event_window_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_window_counts(spark, d):
     return t(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
@@ -618,14 +522,6 @@ def focus_targets(spark, d):
     return S.focus_targets(h, "source")
 
 
-@query("document_gate")
-def document_gate(spark, d):
-    i = F.col("id")
-    kinds = F.element_at(F.array(*map(F.lit, ["luat", "nghi_dinh", "cong_van", "quyet_dinh_ubnd"])), (i % 4 + 1).cast("int"))
-    h = hits(spark, d, 20).withColumns({"kind": kinds, "local": i % 4 == 3, "preferred": i % 4 < 2, "allow": F.array(F.lit("luat")), "exclude": F.array(F.lit("cong_van")), "prior": F.array(F.lit("luat"), F.lit("nghi_dinh"))})
-    return S.document_gate(h).select("qid", "id", "rank", "kind")
-
-
 @query("hybrid_search", FUSED_SQL + " SELECT qid, id, round(score, 8) AS score, CAST(rank AS INT) AS rank, substr(d.text, 1, 1200) AS text FROM rf JOIN documents d ON d.doc_id = rf.id WHERE rank < 10")
 def hybrid_search(spark, d):
     fused = V.rrf(hits(spark, d), vector_hits(spark, d))
@@ -890,3 +786,187 @@ def exact_samples(spark, d):
 def extracted_title(spark, d):
     head = F.concat(F.lit("QUỐC HỘI\nLUẬT\n"), F.upper(F.substring("text", 1, 40)), F.lit("\n\n"), F.col("text"))
     return t(spark, d, "documents").select("doc_id", R.extracted_title(head, F.lit("Luật"), F.col("doc_id").cast("string")).alias("title"))
+
+
+# --- legal texts and questions over all documents -------------------------------------------------------
+# The driver's prose has no articles, so every document lends its words to a law of a known form; each fifth stays as it is.
+
+PIECES_SQL = """WITH p AS (SELECT doc_id, text, trim(regexp_replace(substr(text, 1, 40), '[^a-zA-Z]+', ' ', 'g')) AS t1, trim(regexp_replace(substr(text, 41, 80), '[^a-zA-Z]+', ' ', 'g')) AS a, trim(regexp_replace(substr(text, 121, 80), '[^a-zA-Z]+', ' ', 'g')) AS b FROM documents),
+l AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN text ELSE 'Chương I. Chung' || chr(10) || 'Mục 1. ' || a || 'v' || chr(10) || 'Điều 1. ' || t1 || '.' || chr(10) || '1. ' || a || 'x' || chr(10) || 'a) ' || b || 'y' || chr(10) || '2. ' || b || 'z' || chr(10) || 'Chương II' || chr(10) || 'Điều 2a. ' || b || 'w' || chr(10) || 'Nội dung ' || a || 'k' END AS content FROM p)"""
+
+
+def pieces(spark, d):
+    part = lambda a, n: F.trim(F.regexp_replace(F.substring("text", a, n), "[^a-zA-Z]+", " "))
+    return t(spark, d, "documents").select("doc_id", "text", part(1, 40).alias("t1"), part(41, 80).alias("a"), part(121, 80).alias("b"))
+
+
+def law_docs(spark, d):
+    c = F.col
+    made = F.concat(
+        F.lit("Chương I. Chung\nMục 1. "), c("a"), F.lit("v\nĐiều 1. "), c("t1"), F.lit(".\n1. "), c("a"), F.lit("x\na) "), c("b"), F.lit("y\n2. "), c("b"), F.lit("z\nChương II\nĐiều 2a. "), c("b"), F.lit("w\nNội dung "), c("a"), F.lit("k"),
+    )
+    return pieces(spark, d).select(
+        "doc_id", c("t1").alias("title"), F.concat((c("doc_id") % 9 + 1).cast("string"), F.lit("/2024/NĐ-CP")).alias("document_number"), F.lit("Nghị định").alias("doc_type"), F.lit("").alias("issuer"), F.lit("").alias("issue_date"),
+        F.when(c("doc_id") % 5 == 0, c("text")).otherwise(made).alias("content"), "t1", "a", "b",
+    )
+
+
+@query("parse_articles", PIECES_SQL + """ SELECT CAST(doc_id AS VARCHAR) AS doc_id, 0 AS article_no, '1' AS article, t1 AS title, 'Chương I. Chung' AS chapter, 'Mục 1. ' || a || 'v' AS section, 2 AS clauses, b || 'y' AS point FROM l WHERE doc_id % 5 > 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, '2a', b || 'w', 'Chương II', 'Mục 1. ' || a || 'v', 0, NULL FROM l WHERE doc_id % 5 > 0""")
+def parse_articles(spark, d):
+    found = L.articles(law_docs(spark, d))
+    point = F.regexp_replace(F.get(F.get("clauses", F.lit(0))["points"], F.lit(0))["text"], r"^a\) ", "")
+    return found.select("doc_id", "article_no", "article", "title", "chapter", "section", F.size("clauses").alias("clauses"), point.alias("point"))
+
+
+@query("legal_chunks", PIECES_SQL + r""", w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM l WHERE doc_id % 5 = 0), n AS (SELECT *, CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= 682 THEN 1 ELSE 1 + CAST(ceil((len(ws) - 682) / 640.0) AS INT) END AS c FROM w), x AS (SELECT doc_id, ws, c, unnest(range(0, c)) AS i FROM n),
+r AS (SELECT doc_id || '_d1_k1' AS chunk_id, '1' AS article, '1' AS clause, trim('Điều 1. ' || t1) || chr(10) || chr(10) || '1. ' || a || 'x' || chr(10) || 'a) ' || b || 'y' AS text FROM l WHERE doc_id % 5 > 0
+UNION ALL SELECT doc_id || '_d1_k2', '1', '2', trim('Điều 1. ' || t1) || chr(10) || chr(10) || '2. ' || b || 'z' || chr(10) || 'Chương II' FROM l WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id || '_d2a', '2a', '', 'Điều 2a. ' || b || 'w' || chr(10) || 'Nội dung ' || a || 'k' FROM l WHERE doc_id % 5 > 0
+UNION ALL SELECT doc_id || CASE WHEN c = 1 THEN '_full' ELSE '_w' || i END, '', '', array_to_string(ws[i * 640 + 1 : i * 640 + 682], ' ') FROM x) SELECT *, CAST(floor(len(regexp_extract_all(text, '\S+')) * 1.5) AS INT) AS token_count FROM r""")
+def legal_chunks(spark, d):
+    return L.chunks(law_docs(spark, d)).select("chunk_id", "article", "clause", "text", "token_count")
+
+
+@query("footer_cut", PIECES_SQL + " SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN length(content) + 1 ELSE length(content) END AS INT) AS footer_start, CAST(strpos(content, 'Điều 1.') - 1 AS INT) AS header_end FROM l WHERE doc_id % 5 > 0")
+def footer_cut(spark, d):
+    x = law_docs(spark, d).filter("doc_id % 5 > 0").withColumn("content", F.concat("content", F.when(F.col("doc_id") % 3 == 0, "\nNơi nhận:\n- A").otherwise("")))
+    return x.select("doc_id", L.footer_start(F.col("content")).alias("footer_start"), L.header_end(F.col("content")).alias("header_end"))
+
+
+@query("breadcrumb", PIECES_SQL + " SELECT doc_id, CASE WHEN length(a) > 60 THEN substr(a, 1, 57) || '...' ELSE a END || ' > Chương I' || CASE WHEN t1 = '' THEN '' ELSE ' > ' || t1 END || ' > Điều ' || (doc_id % 7) || CASE WHEN doc_id % 2 = 0 THEN ' > Khoản 2' ELSE '' END AS path FROM l")
+def breadcrumb(spark, d):
+    i = F.col("doc_id")
+    return law_docs(spark, d).select("doc_id", L.breadcrumb(F.col("a"), F.lit("Chương I. QUY ĐỊNH CHUNG"), F.col("t1"), (i % 7).cast("string"), F.when(i % 2 == 0, "2").otherwise("")).alias("path"))
+
+
+#: Forms of number and title, and the kind of document that each stands for: every rule once, in order.
+KINDS = [
+    ("1/2024/QĐ-UBND", "", "quyet_dinh_ubnd"), ("2/NQ-HĐND", "", "van_ban_dia_phuong"), ("CV-3", "", "cong_van"), ("4/VBHN-VPQH", "", "vbhn"), ("5/2024/NĐ-CP", "", "nghi_dinh"), ("6/2024/TT-BTC", "", "thong_tu"), ("7/2024/QH15", "", "luat"),
+    ("8/L-CTN", "", "bo_luat"), ("", "Công văn", "cong_van"), ("", "Quyết định UBND", "quyet_dinh_ubnd"), ("", "Nghị quyết tỉnh", "van_ban_dia_phuong"), ("", "Văn bản hợp nhất", "vbhn"), ("", "Nghị định", "nghi_dinh"), ("", "Bộ luật", "bo_luat"),
+    ("", "Luật", "luat"), ("", "Thông tư", "thong_tu"), ("", "khác", ""),
+]
+
+
+def _sql_list(items) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+def _pick(items, k):
+    return F.element_at(F.array(*map(F.lit, items)), (k + 1).cast("int"))
+
+
+def kinds_of(spark, d):
+    k = F.col("doc_id") % len(KINDS)
+    return pieces(spark, d).select("doc_id", _pick([x[0] for x in KINDS], k).alias("number"), F.concat_ws(" ", _pick([x[1] for x in KINDS], k), F.concat("t1", F.lit("q"))).alias("title"))
+
+
+@query("doc_type_bucket", f"SELECT doc_id, {_sql_list([x[2] for x in KINDS])}[doc_id % {len(KINDS)} + 1] AS kind FROM documents")
+def doc_type_bucket(spark, d):
+    return kinds_of(spark, d).select("doc_id", S.bucket(F.col("number"), F.lit(""), F.col("title"), F.lit("")).alias("kind"))
+
+
+ROLES = {"luat": "law_core", "bo_luat": "law_core", "vbhn": "consolidated", "nghi_dinh": "implementation", "thong_tu": "implementation", "quyet_dinh_ubnd": "local_admin", "van_ban_dia_phuong": "local_admin", "cong_van": "guidance", "": "unknown"}
+
+
+@query("doc_roles", f"SELECT doc_id, {_sql_list([ROLES[x[2]] for x in KINDS])}[doc_id % {len(KINDS)} + 1] AS role, {_sql_list([x[2] for x in KINDS])}[doc_id % {len(KINDS)} + 1] IN ('luat', 'bo_luat', 'nghi_dinh', 'vbhn', 'thong_tu') AS preferred, doc_id % {len(KINDS)} IN (0, 1, 8, 9) AS local FROM documents")
+def doc_roles(spark, d):
+    n, ti, e = F.col("number"), F.col("title"), F.lit("")
+    kind = S.bucket(n, e, ti, e)
+    return kinds_of(spark, d).select("doc_id", S.role(kind, ti, e).alias("role"), S.preferred(kind, ti, e, e).alias("preferred"), S.local_admin(n, e, ti, e).alias("local"))
+
+
+TITLES_SQL = PIECES_SQL + """, h AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Luật ' || t1 || ' sửa đổi năm 2019' WHEN 1 THEN 'Văn bản hợp nhất Bộ luật ' || t1 ELSE t1 || ' nghị định 1999' END AS title FROM l)"""
+
+
+@query("family_key", TITLES_SQL + r""", a AS (SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(translate(strip_accents(title), 'đĐ', 'dD')), '[0-9a-z]+'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')), ' ') AS v FROM h),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(v, '\bvan ban hop nhat\b', ' ', 'g'), '\b(sua doi|bo sung|hop nhat)\b', ' ', 'g') AS v FROM a), c AS (SELECT doc_id, CASE WHEN regexp_matches(v, '\b(bo luat|luat)\b\s+.+') THEN regexp_extract(v, '\b((?:bo luat|luat)\b\s+.+)', 1) ELSE v END AS v FROM b)
+SELECT doc_id, trim(regexp_replace(regexp_replace(v, '\b(19|20)[0-9][0-9]\b', ' ', 'g'), '\s+', ' ', 'g')) AS family FROM c""")
+def family_key(spark, d):
+    k, x = F.col("doc_id") % 3, F.col("t1")
+    title = F.when(k == 0, F.concat(F.lit("Luật "), x, F.lit(" sửa đổi năm 2019"))).when(k == 1, F.concat(F.lit("Văn bản hợp nhất Bộ luật "), x)).otherwise(F.concat(x, F.lit(" nghị định 1999")))
+    return pieces(spark, d).select("doc_id", T.family_key(title).alias("family"))
+
+
+ASKED_SQL = """WITH q AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'structured_exact' WHEN 1 THEN 'narrow_bm25' WHEN 2 THEN 'narrow_bm25' WHEN 3 THEN 'narrow_bm25' WHEN 4 THEN 'law_anchored_hybrid' ELSE 'hybrid_default' END AS route,
+CASE doc_id % 6 WHEN 0 THEN doc_id || '/2022/ND-CP' WHEN 1 THEN doc_id || '/2025/QD-UBND' ELSE '' END AS number, CASE doc_id % 6 WHEN 0 THEN CAST(doc_id % 50 + 1 AS VARCHAR) WHEN 2 THEN '12a' ELSE '' END AS article, CASE WHEN doc_id % 6 = 2 THEN '3' ELSE '' END AS clause, CASE doc_id % 6 WHEN 3 THEN 'luat dat dai' WHEN 4 THEN 'luat dat dai giai quyet tranh chap boi thuong' ELSE '' END AS law FROM documents)"""
+
+
+def doc_questions(spark, d):
+    i = F.col("doc_id")
+    n = i.cast("string")
+    return t(spark, d, "documents").select("doc_id", (
+        F.when(i % 6 == 0, F.concat(F.lit("Điều "), (i % 50 + 1).cast("string"), F.lit(" Nghị định "), n, F.lit("/2022/NĐ-CP quy định gì?"))).when(i % 6 == 1, F.concat(F.lit("Nội dung "), n, F.lit("/2025/QĐ-UBND")))
+        .when(i % 6 == 2, F.lit("khoản 3 Điều 12a")).when(i % 6 == 3, F.lit("Luật Đất đai")).when(i % 6 == 4, F.lit("Luật Đất đai giải quyết tranh chấp bồi thường quy định thế nào")).otherwise(F.lit("ai được xét tặng huân chương hạng nhất"))
+    ).alias("query"))
+
+
+@query("route_decision", ASKED_SQL + " SELECT doc_id, route FROM q")
+def route_decision(spark, d):
+    return doc_questions(spark, d).select("doc_id", RT.route(F.col("query")).alias("route"))
+
+
+@query("legal_refs", ASKED_SQL + " SELECT doc_id, number AS document_number, article AS article_number, clause AS clause_number, law AS law_name FROM q")
+def legal_refs(spark, d):
+    return doc_questions(spark, d).select("doc_id", R.legal_refs(F.col("query")).alias("refs")).select("doc_id", "refs.document_number", "refs.article_number", "refs.clause_number", "refs.law_name")
+
+
+@query("rewrite_plan")
+def rewrite_plan(spark, d):
+    return Q.rewrite(doc_questions(spark, d).withColumnRenamed("doc_id", "qid"))
+
+
+@query("recall_passes")
+def recall_passes(spark, d):
+    return Q.recall_passes(rewrite_plan(spark, d))
+
+
+@query("law_lookup", PIECES_SQL + r""", q AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(translate(strip_accents(text), 'đĐ', 'dD')), '[a-z0-9]+')[1:4]) AS ws FROM benchmark), qw AS (SELECT qid, len(ws) AS n, unnest(ws) AS w FROM q), tw AS (SELECT doc_id, len(ws) AS size, unnest(ws) AS w FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(a || ' ' || b), '[a-z0-9]+')) AS ws FROM l)),
+s AS (SELECT qid, doc_id, count(*) / max(n) AS confidence, max(size) AS size FROM qw JOIN tw USING (w) GROUP BY ALL HAVING count(*) / max(n) >= 0.65), r AS (SELECT *, row_number() OVER v AS rank, confidence - coalesce(lead(confidence) OVER v, 0) AS margin FROM s WINDOW v AS (PARTITION BY qid ORDER BY confidence DESC, size, doc_id)) SELECT qid, doc_id, round(confidence, 6) AS confidence, round(margin, 6) AS margin, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""")
+def law_lookup(spark, d):
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.ascii_tokens(F.col("text")), 1, 4), " ").alias("law_name"))
+    found = RT.law_lookup(q, pieces(spark, d).select("doc_id", F.concat_ws(" ", "a", "b").alias("title")))
+    return found.select("qid", "doc_id", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"), "rank")
+
+
+@query("structured_lookup", PIECES_SQL + """, c AS (SELECT doc_id || '_d1_k1' AS chunk_id, doc_id, '1' AS article, '1' AS clause FROM l WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id || '_d1_k2', doc_id, '1', '2' FROM l WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id || '_d2a', doc_id, '2a', '' FROM l WHERE doc_id % 5 > 0),
+q AS (SELECT item_id AS qid, item_id % 9 AS n, CASE WHEN item_id % 4 = 0 THEN '' WHEN item_id % 4 = 3 THEN '2a' ELSE '1' END AS qa, CASE WHEN item_id % 4 = 2 THEN '2' ELSE '' END AS qc FROM benchmark)
+SELECT qid, chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN qa <> '' AND qa = article AND qc <> '' AND qc = clause THEN 'clause' WHEN qa <> '' AND qa = article THEN 'article' ELSE 'document' END AS match_type FROM q JOIN c ON c.doc_id % 9 = n WHERE qa = '' OR qa = article""")
+def structured_lookup(spark, d):
+    i = F.col("item_id")
+    named = F.concat(F.when(i % 4 == 2, "Khoản 2 ").otherwise(""), F.when(i % 4 == 0, "").when(i % 4 == 3, "Điều 2a ").otherwise("Điều 1 "), F.lit("Nghị định "), (i % 9 + 1).cast("string"), F.lit("/2024/NĐ-CP"))
+    q = t(spark, d, "benchmark").select(i.alias("qid"), R.legal_refs(named).alias("refs"))
+    return RT.structured_lookup(q, L.chunks(law_docs(spark, d).filter("doc_id % 5 > 0")))
+
+
+HEADS = [("QUỐC HỘI", "Luật"), ("CHÍNH PHỦ", "Nghị định"), ("BỘ NỘI VỤ", "Thông tư"), ("CHÍNH PHỦ", "Nghị quyết")]
+
+
+@query("imported_fields", f"""SELECT doc_id, doc_id || '/2024/NĐ-CP' AS number, {_sql_list([x[1] for x in HEADS])}[doc_id % 4 + 1] AS doc_type, {_sql_list([x[0] for x in HEADS])}[doc_id % 4 + 1] AS issuer, '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS issue_date FROM documents""")
+def imported_fields(spark, d):
+    i, n = F.col("doc_id"), F.lit("\n")
+    head = F.concat(_pick([x[0] for x in HEADS], i % 4), n, F.lit("Số: "), i.cast("string"), F.lit("/2024/NĐ-CP\nHà Nội, ngày "), (i % 28 + 1).cast("string"), F.lit(" tháng "), (i % 12 + 1).cast("string"), F.lit(" năm 2024\n"), F.upper(_pick([x[1] for x in HEADS], i % 4)), n, F.col("text"))
+    x = t(spark, d, "documents").select("doc_id", head.alias("c"))
+    return x.select("doc_id", R.extracted_number(F.col("c")).alias("number"), R.document_type(F.col("c"), F.lit("x.txt")).alias("doc_type"), R.issuer(F.col("c")).alias("issuer"), R.iso_date(F.col("c")).alias("issue_date"))
+
+
+@query("query_language", r"""WITH x AS (SELECT doc_id, text, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(lower(text), '[^ăâđêôơưà-ãè-éì-íò-õù-úýẠ-ỹ]', '', 'g')) AS marked, regexp_extract_all(lower(translate(strip_accents(text), 'đĐ', 'dD')), '[a-z0-9]+') AS ts FROM documents)
+SELECT doc_id, CASE WHEN letters = 0 THEN 'mixed' WHEN marked / letters > 0.05 THEN 'vi' WHEN len(list_filter(ts, lambda w: list_contains(%s, w))) / greatest(len(ts), 1) > 0.35 OR regexp_matches(array_to_string(ts, ' '), '\b(luat|nghi dinh|thong tu|dieu|khoan|quy dinh)\b') THEN 'vi_no_accent' ELSE 'en' END AS language FROM x""" % _sql_list(T.KNOWN_UNACCENTED))
+def query_language(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.query_language(F.col("text")).alias("language"))
+
+
+@query("page_links", r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?i)href\s*=\s*["\x27]([^"\x27]+)["\x27]', 1) AS hs FROM pages), x AS (SELECT page_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM h),
+n AS (SELECT page_id, i, regexp_replace(regexp_replace(trim(CASE WHEN regexp_matches(h, '^[a-z]+://') THEN h WHEN starts_with(h, '/') THEN 'https://example.org' || h ELSE 'https://example.org/' || h END), '[#?].*$', ''), '/+$', '') AS url FROM x), f AS (SELECT page_id, url, min(i) AS i FROM n GROUP BY ALL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS i, url FROM f""")
+def page_links(spark, d):
+    return t(spark, d, "pages").select("page_id", F.posexplode(C.page_links(F.col("html"), "https://example.org")).alias("i", "url"))
+
+
+@query("document_gate", BM25_SQL + """, h AS (SELECT qid, doc_id AS id, rank, ['luat', 'nghi_dinh', 'cong_van', 'quyet_dinh_ubnd'][doc_id % 4 + 1] AS kind, doc_id % 4 = 3 AS loc, doc_id % 4 < 2 AS pre FROM rk WHERE rank < 20), g AS (SELECT *, NOT (kind = 'cong_van' OR (loc AND NOT pre)) AS p1 FROM h),
+f AS (SELECT *, count(*) FILTER (p1) OVER (PARTITION BY qid) AS k1, count(*) FILTER (pre) OVER (PARTITION BY qid) AS np, row_number() OVER (PARTITION BY qid ORDER BY pre DESC, rank) AS rp, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rr FROM g),
+s AS (SELECT *, p1 OR (k1 = 0 AND CASE WHEN np > 0 THEN pre AND rp <= 5 ELSE rr <= 3 END) AS p2 FROM f), o AS (SELECT *, p2 AND (kind IN ('luat', 'nghi_dinh') OR pre) AS good FROM s), n AS (SELECT *, count(*) FILTER (good) OVER (PARTITION BY qid) >= 3 AS narrow FROM o)
+SELECT qid, id, CAST(rank AS INT) AS rank, kind FROM n WHERE CASE WHEN narrow THEN good ELSE p2 END""")
+def document_gate(spark, d):
+    i = F.col("id")
+    h = hits(spark, d, 20).withColumns({"kind": _pick(["luat", "nghi_dinh", "cong_van", "quyet_dinh_ubnd"], i % 4), "local": i % 4 == 3, "preferred": i % 4 < 2, "allow": F.array(F.lit("luat")), "exclude": F.array(F.lit("cong_van")), "prior": F.array(F.lit("luat"), F.lit("nghi_dinh"))})
+    return S.document_gate(h).select("qid", "id", "rank", "kind")

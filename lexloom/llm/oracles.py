@@ -47,3 +47,14 @@ k AS (SELECT *, row_number() OVER w AS k, sum(n) OVER w AS upto, count(*) OVER (
 SELECT conv_id, max(m) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(upto) FILTER (role = 'assistant' OR k = m) AS BIGINT) AS formatted_chars FROM k GROUP BY 1
 """
+
+ORACLES["op8_suffix_array_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents), n AS (SELECT *, length(hx) // 2 AS n FROM d),
+c AS (SELECT doc_id, n, k * 1000 AS base, substr(hx, 2000 * k + 1, 2198) AS part FROM (SELECT *, unnest(range(0, (n + 900) // 1000)) AS k FROM n WHERE n >= 100)),
+x AS (SELECT doc_id, base + i AS i, md5(substr(part, 2 * i + 1, 200)) AS g FROM (SELECT *, unnest(range(0, least(1000, n - 99 - base))) AS i FROM c)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS turn FROM x) WHERE turn > 1),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM f)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM r GROUP BY doc_id, run), p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT p.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(hx), 2 * max(b) + 1) AS kept FROM p JOIN n USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256 FROM n LEFT JOIN k USING (doc_id)
+"""

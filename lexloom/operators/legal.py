@@ -98,31 +98,43 @@ def breadcrumb(title: Column, chapter: Column, section: Column, article: Column,
 
 
 def windows(words: Column, size: int = WINDOW_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
-    """Windows of ``size`` words that start every ``size - overlap`` words; the last ends with the text."""
+    """Windows of ``size`` words that start every ``size - overlap`` words; the last ends with the text.
+
+    ``words`` should be a plain column: an expression would be evaluated again for every window.
+    """
     n, step = F.size(words), size - overlap
     count = F.when(n <= size, F.when(n > 0, 1).otherwise(0)).otherwise(1 + F.ceil((n - size) / F.lit(step)).cast("int"))
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
 
 
+def window_rows(docs: DataFrame, text: str, *columns: str) -> DataFrame:
+    """(columns, pieces, i, body): the windows of each text, whose words are split once."""
+    return docs.select(*columns, split_words(F.col(text)).alias("_ws")).select(*columns, windows(F.col("_ws")).alias("_ws")).select(*columns, F.size("_ws").alias("pieces"), F.posexplode("_ws").alias("i", "body"))
+
+
 def split_words(x: Column) -> Column:
     return F.filter(F.split(F.coalesce(x, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 
 
 def pack_paragraphs(x: Column, limit: int = MAX_TOKENS) -> Column:
-    """Paragraphs joined greedily while the estimate stays within ``limit``; a longer paragraph stays whole."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Paragraphs joined greedily while the estimate stays within ``limit``; a longer paragraph stays whole.
+
+    Words are counted once for each paragraph and carried as numbers, and open
+    paragraphs as a list, so that the work grows with the text.
+    """
+    none = F.array().cast("array<string>")
+    empty = F.struct(none.alias("done"), none.alias("open"), F.lit(0).cast("int").alias("n"))
 
     def add(s: Column, p: Column) -> Column:
-        both = F.concat(s["open"], F.lit("\n\n"), p)
-        return (
-            F.when(s["open"] == "", F.struct(s["done"].alias("done"), p.alias("open")))
-            .when(T.token_estimate(both) <= limit, F.struct(s["done"].alias("done"), both.alias("open")))
-            .otherwise(F.struct(F.array_append(s["done"], s["open"]).alias("done"), p.alias("open")))
+        fits = (F.size(s["open"]) == 0) | (F.floor((s["n"] + p["n"]) * 1.5) <= limit)
+        return F.when(fits, F.struct(s["done"].alias("done"), F.array_append(s["open"], p["text"]).alias("open"), (s["n"] + p["n"]).alias("n"))).otherwise(
+            F.struct(F.array_append(s["done"], F.array_join(s["open"], "\n\n")).alias("done"), F.array(p["text"]).alias("open"), p["n"].alias("n"))
         )
 
     parts = F.filter(F.transform(F.split(x, "\n\n"), lambda p: T.trim_unicode(p)), lambda p: p != "")
-    return F.aggregate(parts, empty, add, lambda s: F.when(s["open"] != "", F.array_append(s["done"], s["open"])).otherwise(s["done"]))
+    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), T.word_count(p).cast("int").alias("n")))
+    return F.aggregate(counted, empty, add, lambda s: F.when(F.size(s["open"]) > 0, F.array_append(s["done"], F.array_join(s["open"], "\n\n"))).otherwise(s["done"]))
 
 
 CHUNK_COLUMNS = ("chunk_id", "doc_id", "title", "document_number", "doc_type", "issuer", "issue_date", "chapter", "section", "article", "clause", "point", "path", "text", "text_for_keyword", "token_count")
@@ -147,7 +159,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         F.when(F.col("pieces") > 1, F.concat(F.lit(" (phần "), (F.col("i") + 1).cast("string"), F.lit(")"))).otherwise("").alias("suffix"),
     )
     plain = body.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    w = plain.select("doc_id", windows(split_words(F.col("content"))).alias("ws")).select("doc_id", F.size("ws").alias("pieces"), F.posexplode("ws").alias("i", "body"))
+    w = window_rows(plain, "content", "doc_id")
     empty = F.lit("")
     unstructured = w.select(
         "doc_id", empty.alias("chapter"), empty.alias("section"), empty.alias("article"), empty.alias("clause"), F.lit(0).alias("n1"), F.lit(0).alias("n2"), "i", "body",

@@ -334,7 +334,7 @@ def merge_prefer_known(spark, d):
 @query("sliding_window_chunks", r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents), n AS (SELECT doc_id, ws, CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= 682 THEN 1 ELSE 1 + CAST(ceil((len(ws) - 682) / 640.0) AS INT) END AS c FROM w),
 x AS (SELECT doc_id, ws, unnest(range(0, c)) AS i FROM n) SELECT doc_id, CAST(i AS INT) AS i, array_to_string(ws[i * 640 + 1 : i * 640 + 682], ' ') AS body FROM x""")
 def sliding_window_chunks(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.posexplode(L.windows(L.split_words(F.col("text")))).alias("i", "body"))
+    return L.window_rows(t(spark, d, "documents"), "text", "doc_id").select("doc_id", "i", "body")
 
 
 @query("paragraph_pack")

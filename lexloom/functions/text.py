@@ -37,8 +37,8 @@ COMPOSED = r"[^\x00-\u02FF\u1EA0-\u1EF9\u2010-\u2027\u2030-\u205E\u20A0-\u20BF]"
 
 
 def composed(x: Column) -> Column:
-    """NFC; only text that may need it leaves the JVM."""
-    return F.coalesce(nfc(F.when(x.rlike(COMPOSED), x)), x)
+    """NFC; only text that may need it leaves the JVM. Latin text is told by one range, which costs far less than the whole class."""
+    return F.coalesce(nfc(F.when(x.rlike(r"[^\x00-\u02FF]") & x.rlike(COMPOSED), x)), x)
 
 
 def _fold_table() -> tuple[str, str]:

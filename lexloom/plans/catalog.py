@@ -20,7 +20,7 @@ from lexloom.operators import scoring as S
 from lexloom.operators import search as SE
 from lexloom.operators import trace as TR
 from lexloom.plans.registry import query
-from lexloom.sources.shared import kept
+from lexloom.sources.shared import kept, spread
 
 WORDS = ("the", "and", "der", "que")
 DUCK_WORD = "[0-9A-Za-zÀ-ỹĐđ]+"
@@ -30,6 +30,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on: over all cores even if it is one small file."""
+    return spread(t(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
+
+
 # --- scans, filters, statistics ---------------------------------------------------------------
 
 
@@ -40,7 +45,7 @@ def doc_min_length_filter(spark, d):
 
 @query("doc_keyword_filter", """SELECT doc_id FROM documents WHERE (lang IN ('en','fr') OR lang IS NULL) AND (regexp_matches(text, '(?i)the|and|der|que') OR regexp_matches(source, '(?i)src1') OR regexp_matches(lang, '(?i)fr'))""")
 def doc_keyword_filter(spark, d):
-    df = t(spark, d, "documents")
+    df = texts(spark, d)
     tests = C.domain_tests(F.col("lang"), F.col("text"), F.col("source"), F.col("lang"), types=["en", "fr"], sectors=list(WORDS), issuers=["src1"], titles=["fr"])
     return df.filter(C.domain_filter(tests)).select("doc_id")
 
@@ -49,7 +54,7 @@ def doc_keyword_filter(spark, d):
 SELECT count(*) AS scanned, count(*) FILTER (NOT t) AS removed_by_type, count(*) FILTER (s) AS by_sector, count(*) FILTER (i) AS by_issuer, count(*) FILTER (ti) AS by_title, count(*) FILTER (t AND (s OR i OR ti)) AS kept FROM f""")
 def filter_stats(spark, d):
     tests = C.domain_tests(F.col("lang"), F.col("text"), F.col("source"), F.col("lang"), types=["en", "fr"], sectors=list(WORDS), issuers=["src1"], titles=["fr"])
-    return C.filter_stats(t(spark, d, "documents"), tests)
+    return C.filter_stats(texts(spark, d), tests)
 
 
 @query("crawl_filter", "SELECT doc_id FROM documents WHERE contains(lower(source), 'src3') OR contains(lower(text), 'mentaire')")
@@ -71,7 +76,7 @@ def length_stats(spark, d):
 SELECT CASE WHEN n < 50 THEN '<50' WHEN n < 200 THEN '50-200' WHEN n < 500 THEN '200-500' WHEN n < 1024 THEN '500-1024' ELSE '>1024' END AS bucket, count(*) AS n FROM x GROUP BY 1""")
 def token_histogram(spark, d):
     n = T.token_estimate(F.col("text"))
-    return t(spark, d, "documents").select(n.alias("k")).groupBy(C.token_bucket(F.col("k")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, d).select(n.alias("k")).groupBy(C.token_bucket(F.col("k")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- text functions -----------------------------------------------------------------------------
@@ -79,7 +84,7 @@ def token_histogram(spark, d):
 
 @query("token_index", f"SELECT doc_id, array_to_string(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}'), ' ') AS tokens FROM documents")
 def token_index(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.array_join(T.tokens(F.col("text"), normalise=True), " ").alias("tokens"))
+    return texts(spark, d).select("doc_id", F.array_join(T.tokens(F.col("text"), normalise=True), " ").alias("tokens"))
 
 
 @query("token_query", f"SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')), ' ') AS tokens FROM benchmark")
@@ -89,27 +94,27 @@ def token_query(spark, d):
 
 @query("accent_fold", "SELECT doc_id, translate(strip_accents(text), 'đĐ', 'dD') AS folded FROM documents")
 def accent_fold(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+    return texts(spark, d).select("doc_id", T.fold(F.col("text")).alias("folded"))
 
 
 @query("ascii_normal", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(strip_accents(text), 'đĐ', 'dD')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS value FROM documents")
 def ascii_normal(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.ascii_normal(F.col("text")).alias("value"))
+    return texts(spark, d).select("doc_id", T.ascii_normal(F.col("text")).alias("value"))
 
 
 @query("whitespace_clean", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS value FROM documents""")
 def whitespace_clean(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.clean_text_native(F.col("text")).alias("value"))
+    return texts(spark, d).select("doc_id", T.clean_text_native(F.col("text")).alias("value"))
 
 
 @query("clean_text")
 def clean_text(spark, d):
-    return t(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("value"))
+    return texts(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("value"))
 
 
 @query("token_estimate", r"SELECT doc_id, CAST(floor(len(regexp_extract_all(text, '\S+')) * 1.5) AS INT) AS n FROM documents")
 def token_estimate(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("n"))
+    return texts(spark, d).select("doc_id", T.token_estimate(F.col("text")).alias("n"))
 
 
 @query("text_digest", "SELECT doc_id, substr(sha1(text), 1, 16) AS digest FROM documents")
@@ -143,7 +148,7 @@ def json_props(spark, d):
 
 @query("mojibake")
 def mojibake(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.mend_mojibake(F.col("text")).alias("text"))
+    return texts(spark, d).select("doc_id", T.mend_mojibake(F.col("text")).alias("text"))
 
 
 @query("parse_list", "SELECT event_id, string_split(replace(event_type || ',' || user_id, ' ', ''), ',') AS items FROM events")
@@ -182,7 +187,7 @@ def anti_incremental(spark, d):
 @query("index_append", """SELECT count(*) AS n, CAST(sum(len(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '[0-9A-Za-zÀ-ỹĐđ]+'))) AS BIGINT) AS tokens FROM documents""")
 def index_append(spark, d):
     """A third of the documents builds the index, all of them are appended to it, twice: each counts once."""
-    docs = t(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d).select("doc_id", "text")
 
     def grow(path):
         IX.build(docs.filter("doc_id % 3 = 0"), path)
@@ -202,7 +207,7 @@ sc AS (SELECT qid, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM sc) SELECT qid, doc_id AS id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM rk WHERE rank < 10""")
 def bm25_multifield(spark, d):
     """Terms in the text or in its head, which stands for a title."""
-    docs = t(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
+    docs = texts(spark, d).select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
     ix = IX.read(spark, kept(spark, "bm25-fields", f"{d}/documents.parquet", lambda path: IX.build(docs, path, fields={"content": "text", "title": "title"})))
     return IX.search(ix, passages(spark, d), 10).select("qid", "id", F.round("score", 4).alias("score"), "rank")
 
@@ -233,7 +238,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DE
 
 def index_of(spark, d):
     """The stored index of the documents' texts, built once in an application."""
-    return IX.read(spark, kept(spark, "bm25", f"{d}/documents.parquet", lambda path: IX.build(t(spark, d, "documents").select("doc_id", "text"), path)))
+    return IX.read(spark, kept(spark, "bm25", f"{d}/documents.parquet", lambda path: IX.build(texts(spark, d).select("doc_id", "text"), path)))
 
 
 def passages(spark, d):
@@ -251,7 +256,7 @@ def bm25_topk(spark, d):
 
 @query("bm25_terms", f"""WITH po AS (SELECT doc_id, unnest(regexp_extract_all(lower(replace(nfc_normalize(text), '_', ' ')), '{DUCK_WORD}')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM po GROUP BY 1""")
 def bm25_terms(spark, d):
-    return IX.postings_of(t(spark, d, "documents"), "doc_id", {"content": "text"}).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return IX.postings_of(texts(spark, d), "doc_id", {"content": "text"}).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("bm25_scoped", BM25_SQL + ", s2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) - 1 AS r2 FROM rk WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT qid, doc_id AS id, round(score, 4) AS score, CAST(r2 AS INT) AS rank FROM s2 WHERE r2 < 5")
@@ -334,12 +339,12 @@ def merge_prefer_known(spark, d):
 @query("sliding_window_chunks", r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents), n AS (SELECT doc_id, ws, CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= 682 THEN 1 ELSE 1 + CAST(ceil((len(ws) - 682) / 640.0) AS INT) END AS c FROM w),
 x AS (SELECT doc_id, ws, unnest(range(0, c)) AS i FROM n) SELECT doc_id, CAST(i AS INT) AS i, array_to_string(ws[i * 640 + 1 : i * 640 + 682], ' ') AS body FROM x""")
 def sliding_window_chunks(spark, d):
-    return L.window_rows(t(spark, d, "documents"), "text", "doc_id").select("doc_id", "i", "body")
+    return L.window_rows(texts(spark, d), "text", "doc_id").select("doc_id", "i", "body")
 
 
 @query("paragraph_pack")
 def paragraph_pack(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.posexplode(L.pack_paragraphs(F.regexp_replace("text", "\n", "\n\n"), 200)).alias("i", "body"))
+    return texts(spark, d).select("doc_id", F.posexplode(L.pack_paragraphs(F.regexp_replace("text", "\n", "\n\n"), 200)).alias("i", "body"))
 
 
 LAWS = [
@@ -475,7 +480,7 @@ def missing_urls(spark, d):
 
 @query("page_fields")
 def page_fields(spark, d):
-    return C.page_fields(t(spark, d, "pages"))
+    return C.page_fields(texts(spark, d, "pages"))
 
 
 @query("event_window_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -785,7 +790,7 @@ def exact_samples(spark, d):
 @query("extracted_title")
 def extracted_title(spark, d):
     head = F.concat(F.lit("QUỐC HỘI\nLUẬT\n"), F.upper(F.substring("text", 1, 40)), F.lit("\n\n"), F.col("text"))
-    return t(spark, d, "documents").select("doc_id", R.extracted_title(head, F.lit("Luật"), F.col("doc_id").cast("string")).alias("title"))
+    return texts(spark, d).select("doc_id", R.extracted_title(head, F.lit("Luật"), F.col("doc_id").cast("string")).alias("title"))
 
 
 # --- legal texts and questions over all documents -------------------------------------------------------
@@ -797,7 +802,7 @@ l AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN text ELSE 'Chương I. Chung' || c
 
 def pieces(spark, d):
     part = lambda a, n: F.trim(F.regexp_replace(F.substring("text", a, n), "[^a-zA-Z]+", " "))
-    return t(spark, d, "documents").select("doc_id", "text", part(1, 40).alias("t1"), part(41, 80).alias("a"), part(121, 80).alias("b"))
+    return texts(spark, d).select("doc_id", "text", part(1, 40).alias("t1"), part(41, 80).alias("a"), part(121, 80).alias("b"))
 
 
 def law_docs(spark, d):
@@ -952,14 +957,14 @@ def imported_fields(spark, d):
 @query("query_language", r"""WITH x AS (SELECT doc_id, text, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(lower(text), '[^ăâđêôơưà-ãè-éì-íò-õù-úýẠ-ỹ]', '', 'g')) AS marked, regexp_extract_all(lower(translate(strip_accents(text), 'đĐ', 'dD')), '[a-z0-9]+') AS ts FROM documents)
 SELECT doc_id, CASE WHEN letters = 0 THEN 'mixed' WHEN marked / letters > 0.05 THEN 'vi' WHEN len(list_filter(ts, lambda w: list_contains(%s, w))) / greatest(len(ts), 1) > 0.35 OR regexp_matches(array_to_string(ts, ' '), '\b(luat|nghi dinh|thong tu|dieu|khoan|quy dinh)\b') THEN 'vi_no_accent' ELSE 'en' END AS language FROM x""" % _sql_list(T.KNOWN_UNACCENTED))
 def query_language(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.query_language(F.col("text")).alias("language"))
+    return texts(spark, d).select("doc_id", T.query_language(F.col("text")).alias("language"))
 
 
 @query("page_links", r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?i)href\s*=\s*["\x27]([^"\x27]+)["\x27]', 1) AS hs FROM pages), x AS (SELECT page_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM h),
 n AS (SELECT page_id, i, regexp_replace(regexp_replace(trim(CASE WHEN regexp_matches(h, '^[a-z]+://') THEN h WHEN starts_with(h, '/') THEN 'https://example.org' || h ELSE 'https://example.org/' || h END), '[#?].*$', ''), '/+$', '') AS url FROM x), f AS (SELECT page_id, url, min(i) AS i FROM n GROUP BY ALL)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS i, url FROM f""")
 def page_links(spark, d):
-    return t(spark, d, "pages").select("page_id", F.posexplode(C.page_links(F.col("html"), "https://example.org")).alias("i", "url"))
+    return texts(spark, d, "pages").select("page_id", F.posexplode(C.page_links(F.col("html"), "https://example.org")).alias("i", "url"))
 
 
 @query("document_gate", BM25_SQL + """, h AS (SELECT qid, doc_id AS id, rank, ['luat', 'nghi_dinh', 'cong_van', 'quyet_dinh_ubnd'][doc_id % 4 + 1] AS kind, doc_id % 4 = 3 AS loc, doc_id % 4 < 2 AS pre FROM rk WHERE rank < 20), g AS (SELECT *, NOT (kind = 'cong_van' OR (loc AND NOT pre)) AS p1 FROM h),

@@ -6,7 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Files below this size in all may be a single row group, which one task reads however many splits it is given.
+ONE_GROUP = 128 << 20
 
 _KEPT: dict[tuple, str] = {}
 
@@ -35,3 +38,11 @@ def kept(spark: SparkSession, name: str, source: str, build: Callable[[str], Non
         fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(fs_path(path))
         _KEPT[key] = path
     return _KEPT[key]
+
+
+def spread(df: DataFrame, source: str) -> DataFrame:
+    """``df`` of the files of ``source`` over all cores before heavy work on texts: dealt out anew only if the files are small."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < ONE_GROUP else df

@@ -164,6 +164,11 @@ def answer_citations(x: Column, limit: int = 10) -> Column:
     return F.slice(F.array_distinct(F.transform(F.concat(a, b), lambda v: F.lower(v))), 1, limit)
 
 
+def context_citations(titles: Column, limit: int = 5) -> Column:
+    """Distinct citations of contexts in order, with regard to case; blank ones are none."""
+    return F.slice(F.array_distinct(F.filter(F.transform(titles, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")), 1, limit)
+
+
 def reference_numbers(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(T.fold(x)), F.lit(r"\b(\d+[a-z]?)\b"), F.lit(1))
 

@@ -231,6 +231,12 @@ def normal_url(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(x), r"[#?].*$", ""), r"/+$", "")
 
 
+def url_parts(x: Column) -> Column:
+    """(org, page) of a listing URL: its ``org`` parameter and its page number, 1 without one."""
+    org = F.regexp_extract(x, r"[?&]org=([^&#]*)", 1)
+    return F.struct(org.alias("org"), F.coalesce(F.nullif(F.regexp_extract(x, r"[?&]page=(\d+)", 1), F.lit("")).try_cast("int"), F.lit(1)).alias("page"))
+
+
 def text_digest(x: Column) -> Column:
     return F.substring(F.sha1(F.encode(x, "UTF-8")), 1, 16)
 

@@ -224,9 +224,17 @@ def page_fields(pages: DataFrame) -> DataFrame:
 
 
 def interleave(cases: DataFrame, route: str = "route", order: str = "case_id") -> DataFrame:
-    """Round-robin over routes: the n-th case of every route before the next."""
-    w = Window.partitionBy(route).orderBy(order)
-    return cases.withColumn("turn", F.row_number().over(w) - 1)
+    """Round-robin over routes: the n-th case (``turn``) of every route before the next; inside a turn routes go by name.
+
+    Sorting by (turn, route) is the merged order; a position is the count of cases of earlier turns and, in its turn, of earlier routes.
+    """
+    return cases.withColumn("turn", F.row_number().over(Window.partitionBy(route).orderBy(order)) - 1).withColumn("place", F.row_number().over(Window.partitionBy("turn").orderBy(route)) - 1)
+
+
+def integrity_totals(manifest: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
+    """One row: manifest pages, those done, those missing."""
+    both = manifest.select(key).distinct().join(done.select(key).distinct().withColumn("_done", F.lit(1)), key, "left")
+    return both.agg(F.count(F.lit(1)).alias("pages"), F.count("_done").alias("done"), F.count_if(F.col("_done").isNull()).alias("missing"))
 
 
 def missing_pages(manifest: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:

@@ -20,6 +20,7 @@ from lexloom.operators import scoring as S
 from lexloom.operators import search as SE
 from lexloom.operators import trace as TR
 from lexloom.plans.registry import query
+from lexloom.sources import writers as W
 from lexloom.sources.shared import kept, spread
 
 WORDS = ("the", "and", "der", "que")
@@ -669,7 +670,7 @@ def focus_rerank(spark, d):
     return SE.focus_rerank(h, plans_of(spark, d)).select("qid", "id", "rank", "original_rank", "focus_bonus")
 
 
-@query("search_snapshot", FUSED_SQL.replace("FROM rk WHERE rank < 10 UNION", "FROM rk WHERE rank < 20 UNION") + """, sta AS (SELECT qid, 'bm25' AS stage, doc_id AS id, rank, score FROM rk WHERE rank < 20 UNION ALL SELECT qid, 'vector', id, rank, score FROM rv WHERE rank < 10 UNION ALL SELECT qid, 'rrf', id, rank, score FROM rf) SELECT qid, stage, id, CAST(rank AS INT) AS rank, round(score, 4) AS score, 1 AS kept, NULL AS filter_reason FROM sta""")
+@query("search_snapshot", FUSED_SQL.replace("FROM rk WHERE rank < 10 UNION", "FROM rk WHERE rank < 20 UNION") + """, sta AS (SELECT qid, 'bm25' AS stage, doc_id AS id, rank, score FROM rk WHERE rank < 20 UNION ALL SELECT qid, 'vector', id, rank, score FROM rv WHERE rank < 10 UNION ALL SELECT qid, 'rrf', id, rank, score FROM rf) SELECT qid, stage, id, CAST(rank AS INT) AS rank, round(score, 4) AS score, 1 AS kept, CAST(NULL AS VARCHAR) AS filter_reason FROM sta""")
 def search_snapshot(spark, d):
     return snapshot_of(spark, d).filter("stage IN ('bm25', 'vector', 'rrf')").withColumn("score", F.round("score", 4))
 
@@ -773,7 +774,7 @@ def join_fallback(spark, d):
     return C.join_fallback(content, matched_meta(spark, d)).select("doc_id", "title", "doc_type", F.length("content").cast("long").alias("n"))
 
 
-@query("join_crawl", r"SELECT 't ' || doc_id AS title, 'u' AS url, lang AS loai_van_ban, source AS co_quan, NULL AS tinh_trang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("join_crawl", r"SELECT 't ' || doc_id AS title, 'u' AS url, lang AS loai_van_ban, source AS co_quan, CAST(NULL AS VARCHAR) AS tinh_trang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def join_crawl(spark, d):
     content = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return C.join_crawl(content, matched_meta(spark, d)).select("title", "url", "meta.loai_van_ban", "meta.co_quan", "meta.tinh_trang")
@@ -975,3 +976,144 @@ def document_gate(spark, d):
     i = F.col("id")
     h = hits(spark, d, 20).withColumns({"kind": _pick(["luat", "nghi_dinh", "cong_van", "quyet_dinh_ubnd"], i % 4), "local": i % 4 == 3, "preferred": i % 4 < 2, "allow": F.array(F.lit("luat")), "exclude": F.array(F.lit("cong_van")), "prior": F.array(F.lit("luat"), F.lit("nghi_dinh"))})
     return S.document_gate(h).select("qid", "id", "rank", "kind")
+
+
+# --- smaller operators over hits, cases and logs -----------------------------------------------------------
+
+
+@query("scope_violations", BM25_SQL + " SELECT qid, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS outside FROM rk WHERE rank < 10 AND doc_id % 3 <> qid % 3 GROUP BY 1")
+def scope_violations(spark, d):
+    h = hits(spark, d)
+    return V.scope_violations(h, h.filter(F.col("id") % 3 == F.col("qid") % 3)).select("qid", F.array_join("outside", ",").alias("outside"))
+
+
+@query("final_positions", BM25_SQL + " SELECT qid, doc_id AS id, CAST(row_number() OVER (PARTITION BY qid ORDER BY doc_id) - 1 AS INT) AS rank, CASE WHEN rank < 3 THEN round(score, 4) ELSE 0 END AS score FROM rk WHERE rank < 6")
+def final_positions(spark, d):
+    h = hits(spark, d, 6)
+    ids = h.groupBy("qid").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return V.final_positions(ids, h.filter("rank < 3")).withColumn("score", F.round("score", 4))
+
+
+@query("case_hits", BM25_SQL + """ SELECT qid AS case_id, doc_id AS id, contains(lower(doc_id || ' Luật ' || source || ' 2020 ' || (doc_id % 9 + 1) || '/2024/NĐ-CP'), CAST(qid % 40 AS VARCHAR)) AS doc_ok, contains(trim(CASE WHEN doc_id % 6 > 0 THEN doc_id % 6 || ' ' ELSE ' ' END || CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 4 AS VARCHAR) ELSE '' END), CAST(qid % 5 + 1 AS VARCHAR)) AND qid % 2 = 0 AS article_ok,
+contains(lower(doc_id || ' Luật ' || source || ' 2020 ' || (doc_id % 9 + 1) || '/2024/NĐ-CP'), CAST(qid % 40 AS VARCHAR)) AND (qid % 2 <> 0 OR contains(trim(CASE WHEN doc_id % 6 > 0 THEN doc_id % 6 || ' ' ELSE ' ' END || CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 4 AS VARCHAR) ELSE '' END), CAST(qid % 5 + 1 AS VARCHAR))) AS ok FROM rk JOIN documents USING (doc_id) WHERE rank < 10""")
+def case_hits(spark, d):
+    q = F.col("qid")
+    cases = passages(spark, d).select(q.alias("case_id"), (q % 40).cast("string").alias("expected_doc_id"), F.when(q % 2 == 0, (q % 5 + 1).cast("string")).otherwise("").alias("expected_article_ref"))
+    h = hits(spark, d).join(units(spark, d).withColumn("path", F.lit("")), "id").withColumnRenamed("qid", "case_id")
+    return E.case_hits(cases, h).select("case_id", "id", "doc_ok", "article_ok", "ok")
+
+
+@query("context_blocks", BM25_SQL + " SELECT qid, string_agg('[' || (rank + 1) || '] Luật ' || source || ' 2020' || chr(10) || substr(text, 1, 100), chr(10) || chr(10) ORDER BY rank) AS context FROM rk JOIN documents USING (doc_id) WHERE rank < 3 GROUP BY 1")
+def context_blocks(spark, d):
+    h = hits(spark, d, 3).join(units(spark, d).withColumn("text", F.substring("text", 1, 100)), "id")
+    return TR.context_blocks(h)
+
+
+@query("hit_sources", BM25_SQL + " SELECT qid, doc_id % 7 AS doc_id, CAST(min(rank) AS INT) AS rank FROM rk WHERE rank < 10 GROUP BY ALL")
+def hit_sources(spark, d):
+    return TR.sources(hits(spark, d).withColumn("doc_id", F.col("id") % 7)).select("qid", "doc_id", "rank")
+
+
+@query("law_order", BM25_SQL + " SELECT qid, doc_id AS id, CAST(CASE WHEN max(p) OVER (PARTITION BY qid) > 0 THEN row_number() OVER (PARTITION BY qid ORDER BY p DESC, s DESC, rank) - 1 ELSE rank END AS INT) AS new_rank FROM (SELECT *, round(score, 6) AS s, CASE WHEN qid % 4 = 0 THEN 0 ELSE doc_id % 3 END AS p FROM rk WHERE rank < 10)")
+def law_order(spark, d):
+    h = hits(spark, d).withColumns({"score": F.round("score", 6), "priority": F.when(F.col("qid") % 4 == 0, 0).otherwise(F.col("id") % 3)})
+    return S.law_order(h).select("qid", "id", "new_rank")
+
+
+@query("refined_route", """WITH x AS (SELECT doc_id AS qid, (doc_id % 20) * 0.05 + 0.02 AS c, (doc_id % 3) * 0.1 AS m FROM documents), k AS (SELECT *, CASE WHEN c >= 0.92 AND m >= 0.10 THEN 'exact_doc' WHEN c >= 0.75 THEN 'candidate_docs' ELSE 'loose' END AS refined FROM x)
+SELECT qid, refined, CASE refined WHEN 'exact_doc' THEN 'd1' WHEN 'candidate_docs' THEN 'd1,d2' ELSE '' END AS allowed FROM k""")
+def refined_route(spark, d):
+    q = t(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    h = q.withColumns({"doc_id": F.concat(F.lit("d"), F.col("rank").cast("string")), "confidence": F.round((F.col("qid") % 20) * 0.05 + 0.02, 4), "margin": F.round((F.col("qid") % 3) * 0.1, 4)})
+    return RT.refined_route(h).withColumn("allowed", F.array_join("allowed", ","))
+
+
+@query("implementation_bridge", BM25_SQL + """, c AS (SELECT qid, doc_id, rank + 1 AS rank, doc_id % 2 = 1 AS im FROM rk WHERE rank < 10), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM c WHERE im AND rank > 3 AND qid % 3 = 0)
+SELECT qid, doc_id, CAST(rank AS INT) AS rank FROM c WHERE rank <= 3 UNION ALL SELECT qid, doc_id, CAST(rank AS INT) FROM m WHERE n <= 2""")
+def implementation_bridge(spark, d):
+    c = hits(spark, d).select("qid", F.col("id").alias("doc_id"), (F.col("rank") + 1).alias("rank"), F.struct(F.when(F.col("id") % 2 == 1, "implementation").otherwise("law_core").alias("role")).alias("s"))
+    trusted = passages(spark, d).select("qid", (F.col("qid") % 3 == 0).alias("trusted"), F.lit(0.2).alias("margin"))
+    return S.implementation_bridge(c, trusted, 3)
+
+
+@query("acceptance_gates", "WITH m AS (SELECT 'grounded' AS metric, round(avg(quality), 4) AS value FROM labels UNION ALL SELECT 'garbage_rate', round(avg(toxic), 4) FROM labels UNION ALL SELECT 'p95_ms', CAST(max(doc_id) AS DOUBLE) FROM labels) SELECT metric, value, CAST(CASE metric WHEN 'grounded' THEN 0.75 WHEN 'garbage_rate' THEN 0.5 ELSE 5000 END AS DOUBLE) AS threshold, CASE metric WHEN 'grounded' THEN value >= 0.75 WHEN 'garbage_rate' THEN value <= 0.5 ELSE value <= 5000 END AS met FROM m")
+def acceptance_gates(spark, d):
+    one = t(spark, d, "labels").agg(F.round(F.avg("quality"), 4).alias("grounded"), F.round(F.avg("toxic"), 4).alias("garbage_rate"), F.max("doc_id").cast("double").alias("p95_ms"))
+    return E.gates(one.select(F.explode(F.create_map(*[x for c in one.columns for x in (F.lit(c), F.col(c))])).alias("metric", "value")))
+
+
+@query("sector_tags", "SELECT doc_id, coalesce(nullif(array_to_string(list_sort(list_filter([CASE WHEN contains(lower(text), 'the') THEN 'english' END, CASE WHEN contains(lower(text), 'und') OR contains(lower(text), 'der') THEN 'german' END, CASE WHEN contains(lower(source), 'src1') THEN 'first' END], lambda x: x IS NOT NULL)), ','), ''), 'other') AS tags FROM documents")
+def sector_tags(spark, d):
+    found = R.sectors(F.col("text"), F.col("source"), {"english": ["the"], "german": ["und", "der"]}, "other")
+    own = F.when(F.contains(F.lower("source"), F.lit("src1")), F.array(F.lit("first"))).otherwise(F.array().cast("array<string>"))
+    tags = F.array_sort(F.concat(F.filter(found, lambda x: x != "other"), own))
+    return texts(spark, d).select("doc_id", F.when(F.size(tags) > 0, F.array_join(tags, ",")).otherwise("other").alias("tags"))
+
+
+@query("answer_citations", "SELECT doc_id, 'khoản ' || (doc_id % 3 + 1) || ' điều ' || doc_id || ',điều 7,' || doc_id || '/2024/nđ-cp' AS citations, 'B,a,A' AS contexts FROM documents WHERE doc_id <> 7")
+def answer_citations(spark, d):
+    n = F.col("doc_id").cast("string")
+    x = F.concat(F.lit("Theo Khoản "), (F.col("doc_id") % 3 + 1).cast("string"), F.lit(" Điều "), n, F.lit(" và điều 7, ĐIỀU 7 của "), n, F.lit("/2024/NĐ-CP"))
+    contexts = R.context_citations(F.array(F.lit("B"), F.lit(" a"), F.lit("A"), F.lit("B"), F.lit(""), F.lit(None).cast("string")))
+    return t(spark, d, "documents").filter("doc_id <> 7").select("doc_id", F.array_join(R.answer_citations(x), ",").alias("citations"), F.array_join(contexts, ",").alias("contexts"))
+
+
+@query("plan_rows", "SELECT doc_id, 'o' || doc_id AS org, CAST(doc_id AS INT) AS docs, CAST(ceil(doc_id / 20.0) AS INT) AS pages FROM documents UNION ALL SELECT doc_id, 'x', 41, 3 FROM documents")
+def plan_rows(spark, d):
+    n = F.col("doc_id").cast("string")
+    plan = F.concat(n, F.lit(",https://e.org/list?org=o"), n, F.lit("&page=1;41, https://e.org/list?org=x; "))
+    return t(spark, d, "documents").select("doc_id", F.explode(R.plan_rows(plan)).alias("p")).select("doc_id", "p.*")
+
+
+@query("url_parts", "SELECT page_id, 'o' || page_id AS org, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS INT) ELSE 1 END AS page FROM pages")
+def url_parts(spark, d):
+    n = F.col("page_id").cast("string")
+    url = F.concat(F.lit("https://e.org/list?org=o"), n, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("&page="), n)).otherwise(F.lit("&x=1")))
+    return t(spark, d, "pages").select("page_id", T.url_parts(url).alias("u")).select("page_id", "u.*")
+
+
+@query("url_pages", "SELECT page_id FROM pages WHERE page_id % 3 = 0")
+def url_pages(spark, d):
+    url = F.concat(F.col("url"), F.when(F.col("page_id") % 3 == 0, "/van-ban/x.aspx").otherwise("/tin-tuc/x.aspx"))
+    return t(spark, d, "pages").filter(C.url_tests(url)["document_page"]).select("page_id")
+
+
+@query("trace_detail", """WITH r AS (SELECT user_id AS trace_id, min(ts) AS started FROM events GROUP BY 1), e AS (SELECT user_id AS trace_id, string_agg(event_id || ':' || event_type, ',' ORDER BY event_id) AS events FROM events GROUP BY 1), h AS (SELECT user_id AS trace_id, string_agg(event_type || ':' || (event_id % 5), ',' ORDER BY event_type, event_id % 5, event_id) AS hits FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT trace_id, events, hits FROM r LEFT JOIN e USING (trace_id) LEFT JOIN h USING (trace_id)""")
+def trace_detail(spark, d):
+    e = t(spark, d, "events").withColumnRenamed("user_id", "trace_id")
+    stages = e.select("trace_id", "event_id", F.col("event_type").alias("stage"), F.lit("").alias("payload"))
+    h = e.filter("event_id % 2 = 0").select("trace_id", F.col("event_type").alias("stage"), (F.col("event_id") % 5).alias("rank"), F.col("event_id").alias("chunk_id"), F.col("value").alias("score"))
+    found = TR.detail(e.groupBy("trace_id").agg(F.min("ts").alias("started_at")), stages, h)
+    show = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat(x[a].cast("string"), F.lit(":"), x[b].cast("string"))), ",")
+    return found.select("trace_id", show("events", "event_id", "stage").alias("events"), F.when(F.col("hits").isNotNull(), show("hits", "stage", "rank")).alias("hits"))
+
+
+@query("stage_hits", BM25_SQL + " SELECT qid, doc_id AS id, CAST(rank AS INT) AS rank, 'bm25' AS stage, NULL AS reason FROM rk WHERE rank < 5 UNION ALL SELECT qid, doc_id, CAST(rank AS INT), 'cut', 'top_k_cutoff' FROM rk WHERE rank >= 3 AND rank < 5")
+def stage_hits(spark, d):
+    h = hits(spark, d, 5).select("qid", "id", "rank")
+    return TR.stage_hits({"bm25": h, "cut": V.cutoff(h, 3)[1]}).select("qid", "id", "rank", "stage", "reason")
+
+
+@query("run_manifest", "SELECT count(*) AS total, CAST(round_even(avg(length(text)), 0) AS BIGINT) AS avg_length, CAST(min(length(text)) AS INT) AS min_length, CAST(max(length(text)) AS INT) AS max_length, (SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT coalesce(nullif(lang, ''), 'unknown') AS v, count(*) AS n FROM documents GROUP BY 1)) AS types, (SELECT string_agg(v || ':' || n, ',' ORDER BY n DESC, v) FROM (SELECT coalesce(nullif(source, ''), 'unknown') AS v, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, v LIMIT 10)) AS issuers FROM documents")
+def run_manifest(spark, d):
+    m = W.manifest(t(spark, d, "documents").select(F.col("text").alias("content"), F.col("lang").alias("doc_type"), F.col("source").alias("issuer")))
+    pair = lambda a, b: F.concat(a, F.lit(":"), b.cast("string"))
+    types = F.array_join(F.transform(F.array_sort(F.map_entries("by_type")), lambda x: pair(x["key"], x["value"])), ",")
+    return m.select("total", "avg_length", "min_length", "max_length", types.alias("types"), F.array_join(F.transform("top_issuers", lambda x: pair(x["value"], x["n"])), ",").alias("issuers"))
+
+
+@query("integrity_totals", "SELECT count(*) AS pages, count(*) FILTER (p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) AS done, count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) AS missing FROM part")
+def integrity_totals(spark, d):
+    return C.integrity_totals(t(spark, d, "part"), t(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+
+
+@query("merged_order", "WITH n AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS turn FROM events) SELECT event_id, turn, row_number() OVER (PARTITION BY turn ORDER BY event_type) - 1 AS place FROM n")
+def merged_order(spark, d):
+    return C.interleave(t(spark, d, "events"), "event_type", "event_id").select("event_id", F.col("turn").cast("long").alias("turn"), F.col("place").cast("long").alias("place"))
+
+
+@query("chunk_stats", PIECES_SQL + r""", w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM l WHERE doc_id % 5 = 0), n AS (SELECT *, CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= 682 THEN 1 ELSE 1 + CAST(ceil((len(ws) - 682) / 640.0) AS INT) END AS c FROM w), x AS (SELECT doc_id, ws, unnest(range(0, c)) AS i FROM n),
+r AS (SELECT doc_id, 1 AS s, len(regexp_extract_all(trim('Điều 1. ' || t1) || ' 1. ' || a || 'x a) ' || b || 'y', '\S+')) AS k FROM l WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id, 1, len(regexp_extract_all(trim('Điều 1. ' || t1) || ' 2. ' || b || 'z Chương II', '\S+')) FROM l WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id, 1, len(regexp_extract_all('Điều 2a. ' || b || 'w Nội dung ' || a || 'k', '\S+')) FROM l WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id, 0, len(ws[i * 640 + 1 : i * 640 + 682]) FROM x),
+k AS (SELECT *, CAST(floor(k * 1.5) AS INT) AS n FROM r) SELECT count(DISTINCT CASE WHEN s = 1 THEN doc_id END) AS with_articles, count(DISTINCT CASE WHEN s = 0 THEN doc_id END) AS fallback, count(*) AS chunks, CAST(0 AS BIGINT) AS collisions, round_even(avg(n), 1) AS avg_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM k""")
+def chunk_stats(spark, d):
+    return C.chunk_stats(L.chunks(law_docs(spark, d)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -491,15 +489,22 @@ def event_window_counts(spark, d):
 
 # --- scoring ------------------------------------------------------------------------------------------------
 
-PASSES_SQL = BM25_SQL + """, p AS (SELECT qid, doc_id, 'core' AS pass, rank + 1 AS rank FROM rk WHERE rank < 20 UNION ALL SELECT qid, doc_id, 'expanded', rank + 1 FROM rk WHERE rank < 20 AND doc_id % 2 = 0 UNION ALL SELECT qid, doc_id, 'vector', rank + 1 FROM rk WHERE rank < 20 AND doc_id % 3 = 0),
-c AS (SELECT qid, doc_id, coalesce(1.0::DOUBLE / (60 + min(CASE WHEN pass = 'core' THEN rank END)), 0) + 0.85::DOUBLE * coalesce(1.0::DOUBLE / (60 + min(CASE WHEN pass = 'expanded' THEN rank END)), 0) + 0.55::DOUBLE * coalesce(1.0::DOUBLE / (60 + min(CASE WHEN pass = 'vector' THEN rank END)), 0) + 0.8 * (0.62 * (doc_id % 5) / 4 + 0.38 * (doc_id % 3) / 2) + 0.18 * 0.5 + 0.2 * (doc_id % 2) + 0.28 * (doc_id % 4) / 4 + 0.55 * 0.3 AS score, count(DISTINCT pass) AS sources FROM p GROUP BY qid, doc_id)"""
+#: BM25 over three passes of each passage: the whole of it, its head and its tail.
+PASS_SQL = (
+    BM25_SQL.replace("WITH dt AS", "WITH ps AS (SELECT item_id * 10 AS qid, text FROM benchmark UNION ALL SELECT item_id * 10 + 1, substr(text, 1, 60) FROM benchmark UNION ALL SELECT item_id * 10 + 2, right(text, 60) FROM benchmark), dt AS", 1)
+    .replace("SELECT DISTINCT item_id AS qid,", "SELECT DISTINCT qid,").replace("AS term FROM benchmark)", "AS term FROM ps)")
+)
+PASSES_SQL = PASS_SQL + """, p AS (SELECT qid // 10 AS qid, doc_id, ['core', 'expanded', 'title'][qid % 10 + 1] AS pass, rank + 1 AS rank FROM rk WHERE rank < CASE WHEN qid % 10 = 2 THEN 12 ELSE 20 END),
+c AS (SELECT qid, doc_id, coalesce(1.0::DOUBLE / (60 + min(CASE WHEN pass = 'core' THEN rank END)), 0) + 0.85::DOUBLE * coalesce(1.0::DOUBLE / (60 + min(CASE WHEN pass = 'expanded' THEN rank END)), 0) + 1.10::DOUBLE * coalesce(1.0::DOUBLE / (60 + min(CASE WHEN pass = 'title' THEN rank END)), 0) + 0.8 * (0.62 * (doc_id % 5) / 4 + 0.38 * (doc_id % 3) / 2) + 0.18 * 0.5 + 0.2 * (doc_id % 2) + 0.28 * (doc_id % 4) / 4 + 0.55 * 0.3 AS score, count(DISTINCT pass) AS sources FROM p GROUP BY qid, doc_id)"""
 
 
 def passes(spark, d):
-    h = hits(spark, d, 20).select("qid", F.col("id").alias("doc_id"), (F.col("rank") + 1).alias("rank"))
-    every = [h.withColumn("pass", F.lit("core")), h.filter("doc_id % 2 = 0").withColumn("pass", F.lit("expanded")), h.filter("doc_id % 3 = 0").withColumn("pass", F.lit("vector"))]
+    """Hits of three recall passes, searched at once, with components that follow from the id."""
+    q = passages(spark, d)
+    parts = {"core": F.col("query"), "expanded": F.substring("query", 1, 60), "title": F.right(F.col("query"), F.lit(60))}
+    rows = q.select("qid", F.explode(F.array(*(F.struct(F.lit(n).alias("pass"), c.alias("query")) for n, c in parts.items()))).alias("p")).select("qid", "p.*")
     i = F.col("doc_id")
-    return reduce(DataFrame.unionByName, every).withColumns({
+    return SE.pass_hits(index_of(spark, d), rows).select("qid", "pass", F.col("id").alias("doc_id"), (F.col("rank") + 1).alias("rank")).withColumns({
         "family": F.concat(F.lit("luat so "), (i % 7).cast("string")), "role": F.when(i % 2 == 0, "law_core").otherwise("implementation"), "concept": (i % 5) / 4, "actor_action": (i % 3) / 2, "type_prior": F.lit(0.5),
         "role_prior": (i % 2).cast("double"), "title_anchor": (i % 4) / 4, "identity": F.lit(0.3), "wrong_role": F.lit(0.0), "genericity": F.lit(0.0),
     })
@@ -515,13 +520,6 @@ def family_resolution(spark, d):
     return S.families(S.candidate_documents(passes(spark, d)))
 
 
-@query("heuristic_rerank", BM25_SQL + ", h AS (SELECT qid, doc_id AS id, rank, 0.001 * score + 0.0005 * (doc_id % 5) + 0.0015 * (doc_id % 3) + CASE WHEN doc_id % 2 = 0 THEN 0.004 ELSE -0.0015 END AS s FROM rk WHERE rank < 20) SELECT qid, id, round(s, 7) AS rerank_score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, rank) - 1 AS INT) AS rank FROM h")
-def heuristic_rerank(spark, d):
-    i, null = F.col("id"), F.lit(None).cast("boolean")
-    h = hits(spark, d, 20).withColumns({"rrf_score": F.lit(0.0), "token_hits": i % 5, "phrase_hits": i % 3, "bonus": S.reference_bonus(F.lit(True), i % 2 == 0, null, null, null)})
-    return S.heuristic_rerank(h).select("qid", "id", F.round("rerank_score", 7).alias("rerank_score"), "rank")
-
-
 @query("focus_targets", BM25_SQL + ", f AS (SELECT qid, source, count(*) AS n, min(rank) AS first_rank FROM rk JOIN documents USING (doc_id) WHERE rank < 12 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_rank, source) AS rn FROM f WHERE n >= 2 AND first_rank <= 2) SELECT qid, source, n, CAST(first_rank AS INT) AS first_rank FROM r WHERE rn <= 2")
 def focus_targets(spark, d):
     h = hits(spark, d, 12).join(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
@@ -1117,3 +1115,21 @@ r AS (SELECT doc_id, 1 AS s, len(regexp_extract_all(trim('Điều 1. ' || t1) ||
 k AS (SELECT *, CAST(floor(k * 1.5) AS INT) AS n FROM r) SELECT count(DISTINCT CASE WHEN s = 1 THEN doc_id END) AS with_articles, count(DISTINCT CASE WHEN s = 0 THEN doc_id END) AS fallback, count(*) AS chunks, CAST(0 AS BIGINT) AS collisions, round_even(avg(n), 1) AS avg_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM k""")
 def chunk_stats(spark, d):
     return C.chunk_stats(L.chunks(law_docs(spark, d)))
+
+
+RERANK_SQL = BM25_SQL + f""", qs AS (SELECT item_id AS qid, list_filter(regexp_extract_all(lower(replace(text, '_', ' ')), '{DUCK_WORD}'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')) AS ts FROM benchmark),
+qp AS (SELECT qid, list_distinct(ts) AS ws, list_filter(list_distinct(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))), lambda x: length(x) >= 6) AS ps FROM qs),
+h AS (SELECT rk.qid, doc_id, rank, score, ws, ps, regexp_extract_all(lower(replace('Luật ' || source || ' 2020 ' || substr(text, 1, 1200), '_', ' ')), '{DUCK_WORD}') AS hay, rk.qid % 3 > 0 AND rk.qid % 9 = doc_id % 9 AS m FROM rk JOIN documents USING (doc_id) JOIN qp ON qp.qid = rk.qid WHERE rank < 20),
+x AS (SELECT qid, doc_id, rank, 0.001 * score + 0.0005 * len(list_intersect(ws, hay)) + 0.0015 * len(list_filter(ps, lambda p: contains(array_to_string(hay, ' '), p))) + CASE WHEN qid % 3 > 0 AND m THEN 0.004 WHEN qid % 3 > 0 THEN -0.0015 ELSE 0 END
++ CASE WHEN doc_id % 6 > 0 AND doc_id % 6 = qid % 6 THEN 0.006 WHEN m THEN -0.002 ELSE 0 END + CASE WHEN doc_id % 4 > 0 AND doc_id % 4 = qid % 4 THEN 0.004 WHEN m THEN -0.0015 ELSE 0 END AS s FROM h)"""
+
+
+@query("heuristic_rerank", RERANK_SQL + " SELECT qid, doc_id AS id, round(s, 7) AS rerank_score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, rank) - 1 AS INT) AS rank FROM x")
+def heuristic_rerank(spark, d):
+    """Token, phrase and reference hits of the texts themselves."""
+    words = passages(spark, d).select("qid", F.array_distinct(T.tokens(F.col("query"), query=True)).alias("ws"), T.phrases(F.col("query"), 6).alias("ps"))
+    rows = unit_rows(spark, d, 20).join(words, "qid").withColumn("hay", T.tokens(F.concat_ws(" ", "title", F.substring("text", 1, 1200)))).withColumn("hay_text", F.array_join("hay", " "))
+    is_unit = lambda value, word, ref: SE.unit_number(F.col(value), F.col("path"), word) == R.numeric_ref(F.col(f"refs.{ref}"))
+    bonus = S.reference_bonus(SE.has_document(F.col("refs")), F.col("in_document"), is_unit("article", "dieu", "article_number"), is_unit("clause", "khoan", "clause_number"), F.lit(None).cast("boolean"))
+    rows = rows.withColumns({"rrf_score": F.lit(0.0), "token_hits": F.size(F.array_intersect("ws", "hay")), "phrase_hits": F.size(F.filter("ps", lambda p: F.contains(F.col("hay_text"), p))), "bonus": bonus})
+    return S.heuristic_rerank(rows).select("qid", "id", F.round("rerank_score", 7).alias("rerank_score"), "rank")

@@ -159,68 +159,98 @@ def page_links(html: Column, base: str) -> Column:
     return F.array_distinct(F.transform(absolute, lambda h: T.normal_url(h)))
 
 
-class _Page(HTMLParser):
-    """Title and visible text of the first main block with more than 200 characters, else of the body."""
+# Where a page's title, content and metadata stand, what ends the content, and the labels of metadata rows.
+TITLE_PLACES = ["h1", ".doc-title", ".title", "title"]
+CONTENT_PLACES = ["div.content1 div.content1", "div.content1", ".box-content-vb", ".toan-van-container", "#toanvancontent", "article"]
+META_PLACES = [".boxTTVB .item", ".right-col p", ".ttvb .item"]
+CONTENT_ENDS = ["Luu tru\nGhi chu\nY kien", "Bai lien quan:", "Hoi dap phap luat", "Ban an lien quan", "Facebook\nEmail\nIn"]
+META_LABELS = {
+    "loai_van_ban": ["Loai van ban", "Loại văn bản"], "so_hieu": ["So hieu", "Số hiệu"], "co_quan": ["Co quan ban hanh", "Cơ quan ban hành"], "nguoi_ky": ["Nguoi ky", "Người ký"],
+    "ngay_ban_hanh": ["Ngay ban hanh", "Ngày ban hành"], "ngay_hieu_luc": ["Ngay hieu luc", "Ngày hiệu lực"], "tinh_trang": ["Tinh trang", "Tình trạng"], "linh_vuc": ["Linh vuc", "Lĩnh vực"],
+}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
 
-    MAIN = ("article", "main", "section", "div", "body")
+class _Page(HTMLParser):
+    """Elements in document order, each as (tag, id, classes, parent, first text, last text): texts are kept once, whatever the nesting."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.stack, self.blocks, self.skip, self.in_title = "", [], [], 0, False
+        self.elements, self.open, self.texts = [], [], []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += 1
-        if tag in ("title", "h1") and not self.title:
-            self.in_title = True
-        if tag in self.MAIN:
-            self.stack.append((tag, []))
+        named = dict(attrs)
+        self.elements.append([tag, named.get("id") or "", (named.get("class") or "").split(), self.open[-1] if self.open else -1, len(self.texts), None])
+        if tag not in VOID:
+            self.open.append(len(self.elements) - 1)
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        if tag in ("title", "h1"):
-            self.in_title = False
-        if self.stack and self.stack[-1][0] == tag:
-            name, parts = self.stack.pop()
-            self.blocks.append((name, "".join(parts)))
-            if self.stack:
-                self.stack[-1][1].extend(parts)
+        if any(self.elements[k][0] == tag for k in self.open):
+            while self.elements[k := self.open.pop()][0] != tag:
+                self.elements[k][5] = len(self.texts)
+            self.elements[k][5] = len(self.texts)
 
     def handle_data(self, data):
-        if self.skip:
+        if (self.open and self.elements[self.open[-1]][0] in ("script", "style")) or not data.strip():
             return
-        if self.in_title:
-            self.title += data
-        elif self.stack:
-            self.stack[-1][1].append(data)
-
-
-#: Where the content of a page ends (fixed values).
-NOISE = ["Lưu trữ", "Ghi chú", "Ý kiến"]
+        self.texts.append(data.strip())
+
+    def text(self, k: int) -> str:
+        return " ".join(self.texts[self.elements[k][4] : self.elements[k][5]])
+
+    def found(self, place: str) -> list[int]:
+        """Elements of a place: ``tag``, ``.class``, ``#id``, ``tag.class``, or one of these inside another."""
+        *outer, last = place.split()
+
+        def fits(k: int, simple: str) -> bool:
+            tag, name, classes = self.elements[k][:3]
+            if simple.startswith("#"):
+                return name == simple[1:]
+            want, _, kind = simple.partition(".")
+            return want in ("", tag) and (not kind or kind in classes)
+
+        def inside(k: int) -> bool:
+            while (k := self.elements[k][3]) >= 0:
+                if fits(k, outer[0]):
+                    return True
+            return False
+
+        return [k for k in range(len(self.elements)) if fits(k, last) and (not outer or inside(k))]
+
+
+def read_page(html: str | None) -> tuple[str, str, dict[str, str]]:
+    """Title (first place with a text), content (first text of over 200 characters, by place) and metadata of a raw page."""
+    p = _Page()
+    p.feed(html or "")
+    p.close()
+    for e in p.elements:
+        e[5] = len(p.texts) if e[5] is None and e[0] not in VOID else e[5]
+    title = next((t for place in TITLE_PLACES for k in p.found(place) if (t := " ".join(p.text(k).split()))), "")
+    content = next((t for place in CONTENT_PLACES for k in p.found(place) if len(t := p.text(k)) > 200), "")
+    for end in CONTENT_ENDS:
+        if (at := content.find(end)) > 0:
+            content = content[:at].rstrip()
+    meta: dict[str, str] = {}
+    for place in META_PLACES:
+        for row in map(p.text, p.found(place)):
+            for key, labels in META_LABELS.items():
+                for label in labels:
+                    if label in row and (value := row.replace(label, "").strip().lstrip(":").strip()):
+                        meta[key] = value
+        if meta:
+            break
+    return title, content, meta
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
-    """(page_id, title, content) of raw HTML pages."""
-
-    def one(html: str) -> tuple[str, str]:
-        p = _Page()
-        p.feed(html or "")
-        while p.stack:
-            p.handle_endtag(p.stack[-1][0])
-        blocks = sorted((p.MAIN.index(n), k, t) for k, (n, t) in enumerate(p.blocks))
-        content = next((t for _, _, t in blocks if len(t.strip()) > 200), blocks[-1][2] if blocks else "")
-        for marker in NOISE:
-            if (at := content.find(marker)) > 200:
-                content = content[:at]
-        return " ".join(p.title.split()), re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", content)).strip()
+    """(page_id, title, content, meta) of raw HTML pages."""
 
     def go(batches):
         for pdf in batches:
-            found = [one(h) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "title": [f[0] for f in found], "content": [f[1] for f in found]})
+            found = [read_page(h) for h in pdf["html"]]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "title": [f[0] for f in found], "content": [f[1] for f in found], "meta": [f[2] for f in found]})
 
-    return pages.select("page_id", "html").mapInPandas(go, "page_id long, title string, content string")
+    return pages.select("page_id", "html").mapInPandas(go, "page_id long, title string, content string, meta map<string,string>")
 
 
 def interleave(cases: DataFrame, route: str = "route", order: str = "case_id") -> DataFrame:

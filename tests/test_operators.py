@@ -231,3 +231,13 @@ def test_vector_edges(spark):
     got = {(r.qid, r["rank"]): r.id for r in V.vector_search(v, q, 3).collect()}
     assert got == {("x", 0): 29, ("x", 1): 28, ("x", 2): 27, ("y", 0): 0, ("y", 1): 1, ("y", 2): 2}
     assert V.vector_search(v, q.limit(0), 3).count() == 0
+
+
+def test_page_fields(spark):
+    long = "chữ " * 60
+    page = f"""<html><head><title>Trang - x</title><style>p{{}}</style></head><body><div class="content1">ngắn<div class="content1 y">{long}<br>cuối Bai lien quan: thừa</div></div>
+    <script>var t = "<p>";</script><div class="boxTTVB"><p class="item">Số hiệu: <b>12/2022/NĐ-CP</b></p><p class="item">Tình trạng:</p></div><article>khác</article>"""
+    rows = [(1, page), (2, "<title> Tên   trang </title><article>ngắn</article>"), (3, None), (4, "<h1></h1><h1>A<b>B</b></h1><p>x"), (5, f"<article>{long}")]
+    got = {r.page_id: (r.title, r.content, r.meta) for r in C.page_fields(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got[1] == ("Trang - x", long.strip() + " cuối", {"so_hieu": "12/2022/NĐ-CP"})
+    assert got[2] == ("Tên trang", "", {}) and got[3] == ("", "", {}) and got[4] == ("A B", "", {}) and got[5][1] == long.strip()

@@ -64,12 +64,17 @@ def crawl_filter(sectors: Column, title: Column, words: list[str], core: list[st
 
 
 def build_documents(content: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Content with its metadata (kept without any), cleaned; too short texts and empty ids go. Duplicate metadata ids are an error."""
+    """Content with its metadata (kept without any; by id, else by the id as a number), cleaned; too short texts and empty ids go. Duplicate metadata ids are an error."""
     meta = metadata.withColumn("id", F.col("id").cast("string"))
     columns = [c for c in meta.columns if c != "id"]
     one = F.when(F.assert_true(F.count(F.lit(1)) == 1, "duplicate metadata id").isNull(), F.first(F.struct(*columns)))
-    meta = meta.groupBy("id").agg(one.alias("m")).select("id", "m.*")
-    rows = content.select(F.col("id").cast("string").alias("id"), "content").join(meta, "id", "left")
+    meta = meta.groupBy("id").agg(one.alias("m"))
+    body = content.select(F.col("id").cast("string").alias("id"), "content").withColumn("number", F.col("id").try_cast("long").cast("string"))
+    plain = F.coalesce(F.col("number") == F.col("id"), F.lit(True))
+    same = body.filter(plain).join(meta, "id", "left").select("id", "content", "m")
+    # An id like 007 is looked up as it is, then as the number it stands for; such ids are few.
+    other = body.filter(~plain).join(meta, "id", "left").join(meta.select(F.col("id").alias("number"), F.col("m").alias("m2")), "number", "left")
+    rows = same.unionByName(other.select("id", "content", F.coalesce("m", "m2").alias("m"))).select("id", "content", "m.*")
     out = rows.select(
         F.concat(F.lit("doc_"), "id").alias("doc_id"), T.safe_string(F.col("title")).alias("title"), T.safe_string(F.col("document_number")).alias("document_number"),
         T.safe_string(F.col("legal_type")).alias("doc_type"), T.safe_string(F.col("issuing_authority")).alias("issuer"), T.safe_string(F.col("issuance_date")).alias("issue_date"),

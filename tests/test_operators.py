@@ -108,6 +108,10 @@ def test_documents(spark):
     meta = spark.createDataFrame([("1", "n", "t", "u", "Luật", "['a','b']", "i", "d", None)], "id string, document_number string, title string, url string, legal_type string, legal_sectors string, issuing_authority string, issuance_date string, signers string")
     rows = {r.doc_id: r for r in C.build_documents(content, meta).collect()}
     assert set(rows) == {"doc_1", "doc_3"} and rows["doc_1"].legal_sectors == ["a", "b"] and rows["doc_3"].title == ""
+    padded = spark.createDataFrame([("001", "x" * 60), ("x1", "y" * 60)], "id string, content string")
+    assert {r.doc_id: r.title for r in C.build_documents(padded, meta).collect()} == {"doc_001": "t", "doc_x1": ""}
+    with pytest.raises(Exception, match="duplicate metadata id"):
+        C.build_documents(content, meta.union(meta)).collect()
 
 
 def test_upsert(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, jaccard, language, media, oracles, packing, quality, sharding, substring, suffix
+from lexloom.llm import chat, decontaminate, divergence, jaccard, language, media, oracles, packing, quality, sharding, substring, suffix
 
 QUERIES = {}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
@@ -87,3 +87,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir, "text", "lang", "source"), min_docs=30, top=50)
+
+
+QUERIES["op13_source_divergence"] = op13_source_divergence

@@ -74,3 +74,20 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f
       UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 50
 """
+
+ORACLES["op12_conversation_trie"] = r"""
+WITH RECURSIVE o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth FROM conversations WHERE conv_id IS NOT NULL),
+u(x) AS (SELECT unnest(range(0, 256))), tab AS (SELECT list(c ORDER BY x) AS t FROM (SELECT x, list_reduce([CAST(x AS UBIGINT)] || [CAST(0 AS UBIGINT) FOR i IN range(0, 8)], lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN CAST(3988292384 AS UBIGINT) ELSE 0 END)) AS c FROM u)),
+n AS (SELECT conv_id, max(nth) AS own, xor(list_reduce([CAST(4294967295 AS UBIGINT)] || [CAST(ord(ch) AS UBIGINT) FOR ch IN string_split(CAST(conv_id AS VARCHAR), '')], lambda a, b: xor(a >> 8, t[CAST(xor(a & 255, b) AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) % 9 AS h, conv_id - conv_id % 5 AS base FROM o, tab GROUP BY conv_id, t),
+c AS (SELECT n.conv_id, n.own, CAST(n.h AS BIGINT) AS h, n.base, least(CAST(n.h AS BIGINT), coalesce(b.own, 0)) AS taken FROM n LEFT JOIN n b ON b.conv_id = n.base),
+r AS (SELECT c.conv_id, o.nth AS depth, o.role, o.text FROM c JOIN o ON o.conv_id = c.base AND o.nth <= c.taken UNION ALL SELECT c.conv_id, o.nth - c.h + c.taken, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.nth > c.h),
+p AS (SELECT conv_id, 0 AS depth, '' AS key, '' AS before, '' AS text FROM c
+      UNION ALL SELECT r.conv_id, r.depth, sha256(p.key || chr(10) || sha256(r.role) || sha256(r.text)), p.key, r.text FROM p JOIN r ON r.conv_id = p.conv_id AND r.depth = p.depth + 1),
+g AS (SELECT depth, key, any_value(before) AS before, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * octet_length(encode(any_value(text))) AS v FROM p GROUP BY ALL),
+k AS (SELECT depth - 1 AS depth, before AS key, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT g.*, coalesce(k.n_children, 0) AS n_children FROM g LEFT JOIN k USING (depth, key)),
+s AS (SELECT p.depth, p.key, sum(w.v) AS saved, count(*) FILTER (w.n_children = 0) AS leaves FROM p JOIN w ON w.conv_id = p.conv_id AND w.depth >= p.depth GROUP BY ALL),
+l AS (SELECT depth, key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, depth, key FROM p QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY ALL)
+SELECT w.conv_id, w.depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(l.ends, sha256('')) AS ends_sha256
+FROM w JOIN s USING (depth, key) LEFT JOIN l USING (depth, key) LEFT JOIN g q ON q.depth = w.depth - 1 AND q.key = w.before
+"""

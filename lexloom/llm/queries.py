@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, divergence, jaccard, language, media, oracles, packing, quality, sharding, substring, suffix
+from lexloom.llm import chat, decontaminate, divergence, jaccard, language, media, oracles, packing, quality, sharding, substring, suffix, trie
 
 QUERIES = {}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
@@ -94,3 +94,10 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_source_divergence"] = op13_source_divergence
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES["op12_conversation_trie"] = op12_conversation_trie

@@ -141,13 +141,13 @@ def _block_row(block: int, cells: np.ndarray) -> pa.RecordBatch:
 def possible_counts(docs: DataFrame, table: np.ndarray, min_docs: int) -> DataFrame:
     """(lang, source, term, docs, n): exact counts, in parts, of every term that the sketch does not rule out."""
     held = docs.sparkSession.sparkContext.broadcast(table)
-    cells = table.shape[1]
+    cells, words, slice_bytes = table.shape[1], WORDS, SLICE
 
     def count(batches):
         sketched, parts = held.value, Words()
         for batch in batches:
             langs = _lang_keys(batch.column("lang"))
-            for s in r.slices(batch, "at", "text", SLICE):
+            for s in r.slices(batch, "at", "text", slice_bytes):
                 data, starts, ends, doc, key = _keys(s, langs[s.rows])
                 distinct, code = np.unique(key, return_inverse=True)
                 may = np.ones(len(distinct), bool)
@@ -157,7 +157,7 @@ def possible_counts(docs: DataFrame, table: np.ndarray, min_docs: int) -> DataFr
                 if stays.any():
                     size = ends - starts
                     parts.add(data[LETTERS[data]][np.repeat(stays, size)], size[stays], doc[stays], batch.column("lang").slice(s.rows.start, len(s.ids)), batch.column("source").slice(s.rows.start, len(s.ids)))
-                    if parts.n >= WORDS:
+                    if parts.n >= words:
                         yield parts.rows()
         if parts.n:
             yield parts.rows()
@@ -213,6 +213,7 @@ def share(n: str, total: str, kept: str) -> Column:
 
 def shared_terms(entries: DataFrame) -> DataFrame:
     """(lang, lo, hi, value): C(lo, hi) in parts, from rows (lang, term, i, p, b) of a term's sources."""
+    size = TILE
     tiles = entries.groupBy("lang", "term", F.expr("i DIV " + str(TILE)).alias("tile")).agg(F.sort_array(F.collect_list(F.struct((F.col("i") % TILE).cast("int").alias("i"), "p", "b"))).alias("xs"))
     if (entries.agg(F.max("i")).first()[0] or 0) < TILE:
         met = tiles.select("lang", F.col("tile").alias("ta"), F.col("tile").alias("tb"), F.col("xs").alias("xa"), F.lit(None).cast(tiles.schema["xs"].dataType).alias("xb"))
@@ -233,25 +234,25 @@ def shared_terms(entries: DataFrame) -> DataFrame:
             for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "ta", "tb")), strict=True)):
                 if key not in held:
                     if len(held) >= 32:
-                        yield from _matrix_rows(held)
-                    held[key] = np.zeros((TILE, TILE), np.int64)
+                        yield from _matrix_rows(held, size)
+                    held[key] = np.zeros((size, size), np.int64)
                 a = slice(at[k], at[k + 1])
                 i, p, b = ia[a], pa_[a, None], ba[a, None]
                 j, q, c = (ib[to[k] : to[k + 1]], pb[to[k] : to[k + 1]], bb[to[k] : to[k + 1]]) if key[1] != key[2] else (i, p[:, 0], b[:, 0])
                 held[key][np.ix_(i, j)] += np.abs(p - q) - np.abs(p - c) - np.abs(b - q) + np.abs(b - c)
-        yield from _matrix_rows(held)
+        yield from _matrix_rows(held, size)
 
     return met.mapInArrow(add, "lang string, lo long, hi long, value long")
 
 
-def _matrix_rows(held: dict):
+def _matrix_rows(held: dict, size: int):
     """The pairs lo < hi of every matrix, which go."""
     for (lang, ta, tb), m in held.items():
         if ta == tb:
             m = np.triu(m, 1)
         lo, hi = np.nonzero(m)
         if len(lo):
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(lo), pa.string()), pa.array(lo + ta * TILE), pa.array(hi + tb * TILE), pa.array(m[lo, hi])], schema=PAIRS)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(lo), pa.string()), pa.array(lo + ta * size), pa.array(hi + tb * size), pa.array(m[lo, hi])], schema=PAIRS)
     held.clear()
 
 

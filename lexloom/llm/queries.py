@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, divergence, jaccard, language, media, oracles, packing, quality, sharding, substring, suffix, trie
+from lexloom.llm import chat, decontaminate, divergence, extract, jaccard, language, media, oracles, packing, quality, sharding, substring, suffix, trie
 
 QUERIES = {}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
@@ -101,3 +101,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_conversation_trie"] = op12_conversation_trie
+
+
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op11_html_extraction"] = op11_html_extraction

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Files below this size in all may be a single row group, which one task reads however many splits it is given.
 ONE_GROUP = 128 << 20
@@ -25,13 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def state(spark: SparkSession, source: str) -> str:
+    """A digest of the path, length and time of every file below ``source``; folders have no times in many stores."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "length", "modificationTime")
+    row = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{row[0]}:{row[1]}"
+
+
 def kept(spark: SparkSession, name: str, source: str, build: Callable[[str], None]) -> str:
     """The path of what ``build`` wrote for the files of ``source``, once per application and state of the files; it goes with the driver."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    at = fs_path(source)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    status = fs.getFileStatus(at)
-    key = (spark.sparkContext.applicationId, name, source, status.getLen(), status.getModificationTime())
+    key = (spark.sparkContext.applicationId, name, source, state(spark, source))
     if key not in _KEPT:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         build(path)

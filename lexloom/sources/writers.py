@@ -1,4 +1,4 @@
-"""Sinks: JSON lines, manifests, indexes with incremental append, configs, event logs and benchmark outputs."""
+"""Sinks: JSON lines, manifests, event logs and benchmark outputs; indexes are written by their operators through :mod:`versions`."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.operators.corpus import frequencies, token_bucket
-from lexloom.operators.retrieval import index_append
 
 
 def documents_jsonl(docs: DataFrame, path: str) -> None:
@@ -26,21 +25,6 @@ def chunk_manifest(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(token_bucket(F.col("token_count")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_index(new: DataFrame, path: str, rebuild: bool, key: str = "chunk_id") -> None:
-    """Rebuild an index table, or append the rows that it does not hold."""
-    if rebuild:
-        new.dropDuplicates([key]).write.mode("overwrite").parquet(path)
-        return
-    index_append(new.sparkSession.read.parquet(path), new, key).write.mode("append").parquet(path)
-
-
-def index_config(new: DataFrame, old: DataFrame | None) -> DataFrame:
-    """The new config with the old one's ``created_at``."""
-    if old is None:
-        return new
-    return new.withColumnRenamed("created_at", "_now").crossJoin(F.broadcast(old.select("created_at").limit(1))).withColumn("created_at", F.coalesce("created_at", "_now")).drop("_now")
-
-
 def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 

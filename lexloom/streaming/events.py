@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexloom.operators.retrieval import index_append
+from lexloom.operators import index, vectors
+from lexloom.sources.versions import Store
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -30,17 +31,25 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 ho
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def incremental_index(chunks: DataFrame, path: str, checkpoint: str, key: str = "chunk_id") -> StreamingQuery:
-    """Every micro-batch appends the rows that the index does not hold yet; a replayed batch adds nothing."""
+def incremental_index(docs: DataFrame, path: str, checkpoint: str, name: str = "stream", id_col: str = "doc_id", fields: dict[str, str] | None = None) -> StreamingQuery:
+    """Every micro-batch appends its documents to the BM25 index at ``path``, which the first one builds; a replayed batch adds nothing."""
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-        new = index_append(spark.read.parquet(path), batch, key) if exists else batch.dropDuplicates([key])
-        new.write.mode("append").parquet(path)
+    def add(batch: DataFrame, epoch: int) -> None:
+        if Store(batch.sparkSession, path).manifest() is None:
+            index.build(batch, path, id_col, fields, batch=(name, epoch))
+        else:
+            index.append(batch, path, batch=(name, epoch))
 
-    return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def incremental_vectors(rows: DataFrame, path: str, checkpoint: str, name: str = "stream", id_col: str = "id", vector_col: str = "v") -> StreamingQuery:
+    """Every micro-batch puts its vectors into the lists of the index at ``path``, which must be there; a replayed batch adds nothing."""
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        vectors.append(batch, path, id_col, vector_col, batch=(name, epoch))
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def session_history(turns: DataFrame, last: int = 5) -> DataFrame:

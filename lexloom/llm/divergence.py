@@ -49,7 +49,7 @@ ROW_KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 #: Cells of a sketch row: 16 for each document, within these bounds (64 MB in all at most).
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
 #: Sketch bytes of one shuffled block, text bytes worked on at once, and words of one exact count.
-BLOCK, SLICE, WORDS = 1 << 18, 1 << 20, 1 << 21
+BLOCK, SLICE, WORDS = 1 << 18, 1 << 19, 1 << 20
 TILE = 512
 SMOOTH, SCALE = 5, 1_000_000_000
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])

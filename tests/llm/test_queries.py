@@ -1,6 +1,7 @@
 """Every registered query of the training-data operators on the smallest tables: against SQL, brute force or the contract's own words."""
 
 import hashlib
+import html
 import os
 import zlib
 from collections import Counter, defaultdict
@@ -22,6 +23,8 @@ TYPES = {
     "op6_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int", "op7_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
     "op8_suffix_array_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", "op9_chat_formatting": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op10_media_columns": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op11_html_extraction": "page_id bigint, url string, text string, n_chars bigint", "op13_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
+    "op12_conversation_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 
@@ -136,6 +139,18 @@ def test_op8_against_brute_force(results, texts):
         assert tuple(got[i]) == (i, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_op11_reads_the_article(results):
+    """The pages of these tables have one article of headings and paragraphs, which the page's own tags tell."""
+    pages = pq.read_table(f"{SF}/pages.parquet")
+    raw = dict(zip(pages.column("page_id").to_pylist(), pages.column("html").to_pylist(), strict=True))
+    rows = results("op11_html_extraction")
+    assert sorted(r.page_id for r in rows) == sorted(raw)
+    for r in rows:
+        inner = brute.re.search(r"<article>(.*)</article>", raw[r.page_id], brute.re.S)[1]
+        blocks = (" ".join(html.unescape(brute.re.sub(r"<br>|</?b>", " ", b)).split()) for b in brute.re.split(r"</?(?:h1|p)>", inner))
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
 def test_op10_reads_its_media_back(results, texts):
     """Payload by its definition; media, histogram and shots by decoding every block on its own, pixel by pixel."""
     k = np.arange(8)

@@ -25,6 +25,8 @@ from lexloom.llm import rolling as r
 CHUNK, PER_PARTITION = 1_000_000, 1_000_000
 #: Blobs that a chunk is cut into at most.
 FAN = 4096
+#: Known places that go to one partition together.
+KNOWN = 50_000
 
 ENTRIES = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("blob", pa.binary())])
 FLAGS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -81,9 +83,10 @@ class Sender:
             send[sub[~head]] = False
             flagged = sub if self.both else sub[r.after_head(head, ids[sub], off[sub])]
             flagged = flagged[np.lexsort((off[flagged], ids[flagged]))]
-            if len(flagged):
-                part = int(r.mix(h[flagged[:1]])[0] % np.uint64(self.parts))  # known places go to any partition, evenly
-                yield pa.record_batch([[part], [True], [r.pack(None, ids[flagged], off[flagged])]], schema=ENTRIES)
+            for k in range(0, len(flagged), KNOWN):  # known places go to any partition, evenly: in pieces, so that none gets many
+                some = flagged[k : k + KNOWN]
+                part = int(r.mix(h[some[:1]] ^ np.uint64(k))[0] % np.uint64(self.parts))
+                yield pa.record_batch([[part], [True], [r.pack(None, ids[some], off[some])]], schema=ENTRIES)
         h, p, ids, off = h[send], p[send], ids[send], off[send]
         if self.width > 1:
             off = off * self.width + p % self.width

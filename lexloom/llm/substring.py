@@ -63,23 +63,45 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def clean(rows: pa.Table, marks: pa.Table) -> pa.Table:
         ids, offs = rep.places(marks)
-        out = []
-        for batch in rows.to_batches():
-            for s in r.slices(batch, "doc_id", "text"):
-                for k, one in enumerate(s.ids):
-                    tokens = s.text(k).split()
-                    found = rep.of_document(ids, offs, one)
-                    found = found[found + window <= len(tokens)]
-                    spans, removed = [], 0
-                    if len(found):
-                        gone = rep.covered(found, window, len(tokens))
-                        spans = [{"start": int(a), "end": int(b)} for a, b in r.ranges(gone)]
-                        removed = int(gone.sum())
-                        kept = [t for t, g in zip(tokens, gone.tolist(), strict=True) if not g]
-                    else:
-                        kept = tokens
-                    out.append((None if one == np.iinfo(np.int64).min else int(one), len(tokens), removed, b" ".join(kept).decode("utf-8", "replace"), spans))
-        return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 5, schema=OUT)
+        parts = [_cleaned(s, ids, offs, window) for batch in rows.to_batches() for s in r.slices(batch, "doc_id", "text")]
+        r.give_back()
+        return pa.Table.from_batches(parts, OUT)
 
     dealt = docs.withColumn("bucket", cluster.id_bucket(F.col("doc_id"), buckets))
     return dealt.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(clean, OUT_SQL)
+
+
+def _cleaned(s: r.Slice, ids: np.ndarray, offs: np.ndarray, window: int) -> pa.RecordBatch:
+    """The result of a slice of documents as Arrow buffers, from the sorted places of repeated windows."""
+    starts, ends, bounds = r.words(s, r.NOT_SPACE)
+    n = np.diff(bounds)
+    a, b = np.searchsorted(ids, s.ids, "left"), np.searchsorted(ids, s.ids, "right")
+    doc = np.repeat(np.arange(len(n)), b - a)
+    off = offs[np.arange(len(doc)) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)]
+    ok = off + window <= n[doc]
+    gone = rep.covered(bounds[doc[ok]] + off[ok], window, len(starts))
+    before = np.append(0, np.cumsum(gone))
+    # A run of removed words ends with its document.
+    edge = np.zeros(len(starts) + 1, bool)
+    edge[bounds] = True
+    opens, closes = gone.copy(), gone.copy()
+    opens[1:] &= ~gone[:-1] | edge[1:-1]
+    closes[:-1] &= ~gone[1:] | edge[1:-1]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    base = bounds[np.searchsorted(bounds, first, "right") - 1] if len(first) else first
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(first, bounds), pa.int32()), pa.StructArray.from_arrays([pa.array(first - base), pa.array(last - base)], names=["start", "end"]))
+    # Kept words with a space after each, then without the last space of every document.
+    keep = np.flatnonzero(~gone)
+    size = (ends - starts)[keep]
+    to = np.cumsum(size + 1) - (size + 1)
+    data = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    data[at + np.repeat(to, size)] = s.data[at + np.repeat(starts[keep], size)]
+    many = np.searchsorted(keep, bounds)
+    full = np.append(to, len(data))[many]
+    some = np.flatnonzero(np.diff(many))
+    stays = np.ones(len(data), bool)
+    stays[full[some + 1] - 1] = False
+    ends_at = np.append(0, np.cumsum(np.diff(full) - (np.diff(many) > 0)))
+    text = pa.StringArray.from_buffers(len(n), pa.py_buffer(ends_at.astype(np.int32)), pa.py_buffer(data[stays]))
+    return pa.RecordBatch.from_arrays([pa.array(s.ids, mask=s.ids == np.iinfo(np.int64).min), pa.array(n.astype(np.int64)), pa.array(before[bounds[1:]] - before[bounds[:-1]]), text, spans], schema=OUT)

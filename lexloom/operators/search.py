@@ -16,6 +16,7 @@ from lexloom.operators import index as IX
 from lexloom.operators import retrieval as V
 from lexloom.operators import rewrite as Q
 from lexloom.operators import scoring as S
+from lexloom.sources.shared import cut
 
 #: Hits of each recall pass (fixed values).
 PASS_HITS = {"core": 20, "expanded": 20, "title": 12, "recovery": 16}
@@ -266,14 +267,14 @@ def focus_rerank(hits: DataFrame, plans: DataFrame) -> DataFrame:
     (qid, query, subclass, concept_phrases, actor_terms, action_terms, object_terms, focus_terms).
     """
     none = F.array().cast("array<string>")
-    words = lambda c: F.array_distinct(T.tokens(F.array_join(F.coalesce(F.col(c), none), " "), query=True)).alias(c)
-    plan = plans.select("qid", "subclass", F.array_distinct(F.coalesce("concept_phrases", none)).alias("phrases"), words("actor_terms"), words("action_terms"), words("object_terms"), words("focus_terms"), F.array_distinct(T.tokens(F.col("query"), query=True)).alias("query_words"))
+    words = lambda c: F.array_distinct(T.tokens(F.array_join(F.coalesce(F.col(c), none), " "), query=True, normalise=True)).alias(c)
+    plan = plans.select("qid", "subclass", F.array_distinct(F.coalesce("concept_phrases", none)).alias("phrases"), words("actor_terms"), words("action_terms"), words("object_terms"), words("focus_terms"), F.array_distinct(T.tokens(F.col("query"), query=True, normalise=True)).alias("query_words"))
     rows = hits.join(plan, "qid", "left").join(_targets(hits, "doc_id", "target_docs"), "qid", "left").join(_targets(hits, "family", "target_families"), "qid", "left")
     in_doc = F.coalesce(F.array_contains("target_docs", F.col("doc_id").cast("string")), F.lit(False))
     in_family = F.coalesce(F.array_contains("target_families", F.col("family")), F.lit(False))
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "path", "article")]
     tail = [F.coalesce(F.col("clause").cast("string"), F.lit("")), F.coalesce(F.substring("text", 1, 800), F.lit(""))]
-    rows = rows.withColumns({"_doc": in_doc, "_family": in_family, "_head": T.token_text(F.concat_ws(" ", *parts), query=True), "_hay": T.tokens(F.concat_ws(" ", *parts, *tail), query=True)})
+    rows = rows.withColumns({"_doc": in_doc, "_family": in_family, "_head": T.token_text(F.concat_ws(" ", *parts), query=True), "_hay": T.tokens(F.concat_ws(" ", *parts, *tail), query=True, normalise=True)})
     text = F.array_join("_hay", " ")
     held = lambda c: F.size(F.array_intersect(c, F.col("_hay")))
     rows = rows.withColumns({
@@ -294,6 +295,19 @@ def focus_rerank(hits: DataFrame, plans: DataFrame) -> DataFrame:
     return rows.withColumn("original_rank", c("rank")).withColumn("rank", F.row_number().over(w) - 1).select(*hits.columns, "original_rank", "focus_bonus")
 
 
+def evidence(hits: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Hits (qid, title, path, article, clause, document_number, text, ...) with ``token_hits``, ``phrase_hits`` and the ``bonus`` of references of (qid, query, refs)."""
+    words = parsed.select("qid", F.array_distinct(T.tokens(F.col("query"), query=True, normalise=True)).alias("ws"), T.phrases(F.col("query"), 6).alias("ps"), "refs")
+    scored = hits.join(words, "qid").withColumn("_hay", T.tokens(F.concat_ws(" ", "title", "path", F.substring("text", 1, 1200)), normalise=True))
+    wanted, named = has_document(F.col("refs")), document_anchor(F.col("refs"), F.col("doc_id"), F.col("title"), F.col("path"), F.col("document_number"))
+    asked = lambda ref, ok: F.when(F.col("refs")[ref] != "", ok)
+    unit = lambda value, word: unit_number(F.col(value), F.col("path"), word)
+    bonus = S.reference_bonus(
+        wanted, named, asked("article_number", unit("article", "dieu") == R.numeric_ref(F.col("refs.article_number"))), asked("clause_number", unit("clause", "khoan") == R.numeric_ref(F.col("refs.clause_number"))), F.lit(None).cast("boolean"),
+    )
+    return scored.withColumns({"token_hits": F.size(F.array_intersect("ws", "_hay")), "phrase_hits": F.size(F.filter("ps", lambda p: F.contains(F.array_join("_hay", " "), p))), "bonus": bonus}).drop("ws", "ps", "refs", "_hay")
+
+
 # --- snapshot ---------------------------------------------------------------------------------------
 
 
@@ -306,7 +320,7 @@ def snapshot(index: IX.Index, queries: DataFrame, chunks: DataFrame, vector_hits
     article, clause, document_number, text); ranks count from 0.
     """
     parsed = queries.select("qid", "query", R.legal_refs(F.col("query")).alias("refs"))
-    bm25 = IX.search(index, parsed, bm25_k)
+    bm25 = cut(IX.search(index, parsed, bm25_k), "snapshot-bm25")  # seven stages read it
     known = chunks.select("id", "doc_id", "title", "path", "article", "clause", "document_number", "text")
     rows = bm25.join(known, "id").join(parsed.select("qid", "refs"), "qid")
     rows = rows.withColumns({
@@ -316,26 +330,14 @@ def snapshot(index: IX.Index, queries: DataFrame, chunks: DataFrame, vector_hits
     fused = bm25
     if vector_hits is not None:
         skipped = skip_vector(parsed.select("qid", has_document(F.col("refs")).alias("has_document")), rows).filter("skip").select("qid")
-        stages["vector"] = vector_hits.join(skipped, "qid", "left_anti")
+        stages["vector"] = cut(vector_hits.join(skipped, "qid", "left_anti"), "snapshot-vector")
         fused = V.rrf(bm25, stages["vector"])
     stages["rrf"] = fused
     kept, gone = V.dedup_units(fused.join(known, "id").withColumn("doc_id", F.col("doc_id").cast("string")))
     by_rank = Window.partitionBy("qid").orderBy("rank", "id")
     kept = kept.withColumn("rank", F.row_number().over(by_rank) - 1)
     stages["deduped"] = kept
-    words = parsed.select("qid", F.array_distinct(T.tokens(F.col("query"), query=True)).alias("ws"), T.phrases(F.col("query"), 6).alias("ps"), "refs")
-    hay = T.tokens(F.concat_ws(" ", "title", "path", F.substring("text", 1, 1200)))
-    scored = kept.join(words, "qid").withColumn("_hay", hay)
-    wanted, named = has_document(F.col("refs")), document_anchor(F.col("refs"), F.col("doc_id"), F.col("title"), F.col("path"), F.col("document_number"))
-    asked = lambda ref, ok: F.when(F.col("refs")[ref] != "", ok)
-    unit = lambda value, word: unit_number(F.col(value), F.col("path"), word)
-    bonus = S.reference_bonus(
-        wanted, named, asked("article_number", unit("article", "dieu") == R.numeric_ref(F.col("refs.article_number"))), asked("clause_number", unit("clause", "khoan") == R.numeric_ref(F.col("refs.clause_number"))), F.lit(None).cast("boolean"),
-    )
-    scored = scored.withColumns({
-        "rrf_score": F.col("score") if vector_hits is not None else F.lit(0.0), "token_hits": F.size(F.array_intersect("ws", "_hay")),
-        "phrase_hits": F.size(F.filter("ps", lambda p: F.contains(F.array_join("_hay", " "), p))), "bonus": bonus,
-    })
+    scored = evidence(kept.withColumn("rrf_score", F.col("score") if vector_hits is not None else F.lit(0.0)), parsed)
     reranked = S.heuristic_rerank(scored.select("qid", "id", "rank", "score", "rrf_score", "token_hits", "phrase_hits", "bonus")).select("qid", "id", "rank", F.col("rerank_score").alias("score"))
     stages["reranked"] = reranked
     stages["final"], late = V.cutoff(reranked, final_k)

@@ -45,6 +45,16 @@ def kept(spark: SparkSession, name: str, source: str, build: Callable[[str], Non
     return _KEPT[key]
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what several branches of a plan need runs once; it goes with the driver."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, source: str) -> DataFrame:
     """``df`` of the files of ``source`` over all cores before heavy work on texts: dealt out anew only if the files are small."""
     spark = df.sparkSession

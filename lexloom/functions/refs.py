@@ -68,34 +68,47 @@ def inferred_number(body: Column, title: Column, url: Column) -> Column:
     )
 
 
-#: Document types by the head line they stand on (fixed values).
-DOC_TYPES = ["Hiến pháp", "Bộ luật", "Luật", "Pháp lệnh", "Nghị quyết", "Nghị định", "Quyết định", "Thông tư liên tịch", "Thông tư", "Chỉ thị", "Lệnh"]
+#: Document types by how a file's name begins; two by what it contains, the first before and the last after these (fixed values).
+FILE_TYPES = [(("nghi-dinh-", "nd-", "nd="), "Nghị định"), (("nghi-quyet-", "nq-"), "Nghị quyết"), (("thong-tu-", "tt-"), "Thông tư"), (("quyet-dinh-", "qd-"), "Quyết định")]
+#: Document types by a line of their own (fixed values, in their order).
+LINE_TYPES = [
+    (r"HIẾN\s*PHÁP", "Hiến pháp"), (r"BỘ\s*LUẬT", "Bộ luật"), (r"LUẬT", "Luật"), (r"NGHỊ\s*QUYẾT", "Nghị quyết"), (r"NGHỊ\s*ĐỊNH", "Nghị định"), (r"QUYẾT\s*ĐỊNH", "Quyết định"),
+    (r"THÔNG\s*TƯ", "Thông tư"), (r"CHỈ\s*THỊ", "Chỉ thị"), (r"CÔNG\s*VĂN", "Công văn"),
+]
 DEFAULT_TYPE = "Văn bản QPPL"
 
 
 def document_type(content: Column, file_name: Column) -> Column:
-    """By file name, else by a line of at most 30 characters among the first 40, else the default."""
-    lines = F.transform(F.slice(F.split(content, "\n"), 1, 40), lambda s: F.lower(F.trim(s)))
-    name = F.lower(T.fold(file_name))
-    out = F.when(F.lit(False), "")
-    for t in DOC_TYPES:
-        out = out.when(name.startswith(T.fold(F.lit(t.lower().replace(" ", "-")))), t)
-    for t in DOC_TYPES:
-        out = out.when(F.array_contains(lines, t.lower()), t)
+    """By file name, else by the first line of a type alone (at most 30 characters) among 40, else the default."""
+    name = F.lower(F.coalesce(file_name, F.lit("")))
+    out = F.when(F.contains(name, F.lit("hien-phap")), "Hiến pháp")
+    for heads, t in FILE_TYPES:
+        out = out.when(F.greatest(*(name.startswith(h) for h in heads), F.lit(False)), t)
+    out = out.when(F.contains(name, F.lit("luat")), "Luật")
+    lines = F.transform(F.slice(F.split(F.coalesce(content, F.lit("")), "\n"), 1, 40), lambda s: F.upper(F.regexp_replace(s, r"(?U)^\s+|\s+$", "")))
+    every = "|".join(p for p, _ in LINE_TYPES)
+    first = F.try_element_at(F.filter(lines, lambda s: (F.length(s) <= 30) & s.rlike(f"(?U)^(?:{every})$")), F.lit(1))
+    for p, t in LINE_TYPES:
+        out = out.when(first.rlike(f"(?U)^{p}$"), t)
     return out.otherwise(DEFAULT_TYPE)
 
 
-#: Issuers in the order in which they are looked for (fixed values).
-ISSUERS = ["QUỐC HỘI", "ỦY BAN THƯỜNG VỤ QUỐC HỘI", "CHÍNH PHỦ", "THỦ TƯỚNG", "BỘ NỘI VỤ", "BỘ LAO ĐỘNG", "BỘ TÀI CHÍNH", "BẢO HIỂM XÃ HỘI"]
+#: Issuers named in the head, after the two that come before the foot (fixed values, in their order).
+HEAD_ISSUERS = [
+    (r"CHÍNH\s*PHỦ", "Chính phủ"), (r"THỦ\s*TƯỚNG\s*CHÍNH\s*PHỦ", "Thủ tướng Chính phủ"), (r"BỘ\s*NỘI\s*VỤ", "Bộ Nội vụ"), (r"BỘ\s*TRƯỞNG\s*BỘ\s*NỘI\s*VỤ", "Bộ trưởng Bộ Nội vụ"),
+    (r"BAN\s*CHẤP\s*HÀNH\s*TRUNG\s*ƯƠNG", "Ban Chấp hành Trung ương"),
+]
 
 
 def issuer(content: Column) -> Column:
-    """First issuer named in the head (3,000 characters), else in the foot (2,000)."""
+    """The parliament's committee, then parliament, in the head (3,000 characters); then the foot (2,000); then the head's others."""
     head, foot = F.upper(F.substring(content, 1, 3000)), F.upper(F.right(content, F.lit(2000)))
-    out = F.when(F.lit(False), "")
-    for part in (head, foot):
-        for name in ISSUERS:
-            out = out.when(F.contains(part, F.lit(name)), name)
+    out = (
+        F.when(head.rlike(r"(?U)ỦY\s*BAN\s*THƯỜNG\s*VỤ\s*QUỐC\s*HỘI"), "Ủy ban Thường vụ Quốc hội").when(head.rlike(r"(?U)QUỐC\s*HỘI"), "Quốc hội")
+        .when(F.contains(foot, F.lit("THỦ TƯỚNG")), "Chính phủ").when(F.contains(foot, F.lit("BỘ NỘI VỤ")), "Bộ Nội vụ")
+    )
+    for p, name in HEAD_ISSUERS:
+        out = out.when(head.rlike(f"(?U){p}"), name)
     return out.otherwise("")
 
 
@@ -146,11 +159,23 @@ def without_appendix(x: Column, marker: str = "ENGLISH TRANSLATION") -> Column:
     return F.when(at > F.length(x) * 0.7, F.rtrim(F.substring(x, F.lit(1), at - 1))).otherwise(x)
 
 
-def sectors(x: Column, url: Column, labels: dict[str, list[str]], default: str) -> Column:
+#: Sectors by their keywords (fixed values).
+SECTORS = {
+    "Cán bộ, công chức": ["cán bộ", "công chức", "tuyển dụng công chức", "biên chế"], "Viên chức": ["viên chức"], "Tổ chức bộ máy": ["tổ chức bộ máy", "tổ chức chính phủ", "cơ cấu tổ chức"],
+    "Chính quyền địa phương": ["chính quyền địa phương", "hội đồng nhân dân", "ủy ban nhân dân", "đơn vị hành chính"], "Thi đua, khen thưởng": ["thi đua", "khen thưởng", "huân chương", "danh hiệu"],
+    "Tiền lương": ["tiền lương", "lương cơ sở", "phụ cấp", "hệ số lương"], "Tôn giáo, tín ngưỡng": ["tôn giáo", "tín ngưỡng", "nhà thờ", "chùa"], "Văn thư, lưu trữ": ["văn thư", "lưu trữ", "tài liệu"],
+    "Thanh niên": ["thanh niên", "tuổi trẻ"], "Bảo hiểm xã hội": ["bảo hiểm xã hội", "bhxh", "bảo hiểm y tế"], "Dân chủ cơ sở": ["dân chủ cơ sở", "dân chủ ở cơ sở"],
+    "Cải cách hành chính": ["cải cách hành chính", "thủ tục hành chính"], "Hội, tổ chức phi chính phủ": ["hội", "tổ chức phi chính phủ", "tổ chức xã hội"], "Thanh tra": ["thanh tra"], "Người có công": ["người có công", "thương binh", "liệt sĩ"],
+}
+DEFAULT_SECTOR = "Nội vụ (chung)"
+
+
+def sectors(x: Column, url: Column, labels: dict[str, list[str]] | None = None, default: str = DEFAULT_SECTOR) -> Column:
     """Sorted labels of which a keyword is in the lower-cased text, or hyphenated in the URL."""
-    low, slug = F.lower(x), F.lower(url)
+    labels = SECTORS if labels is None else labels
+    low, slug = F.lower(F.coalesce(x, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
     tests = [
-        F.when(F.greatest(*[F.contains(low, F.lit(k)) | F.contains(slug, F.regexp_replace(T.fold(F.lit(k)), " ", "-")) for k in keys], F.lit(False)), F.lit(label))
+        F.when(F.greatest(*[F.contains(low, F.lit(k)) | F.contains(slug, F.lit(k.replace(" ", "-"))) for k in keys], F.lit(False)), F.lit(label))
         for label, keys in labels.items()
     ]
     found = F.array_sort(F.array_compact(F.array(*tests)))

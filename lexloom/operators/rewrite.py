@@ -29,13 +29,50 @@ ACTORS = ["cong chuc", "can bo", "vien chuc", "nguoi lao dong", "nguoi su dung l
 ACTIONS = ["tham quyen xu phat", "xu phat vi pham hanh chinh", "don phuong cham dut", "dieu kien tuyen dung", "quyen va nghia vu", "nhiem vu quyen han", "trach nhiem", "hieu luc thi hanh"]
 OBJECTS = ["hop dong lao dong", "vi pham hanh chinh", "cong viec", "ho so", "tro cap that nghiep", "bao hiem xa hoi", "tuyen dung"]
 QUALIFIERS = ["hien nay", "co ban", "cu the", "khi nao", "truong hop", "thuc te"]
-CONCEPTS = {
-    "pham_vi_dieu_chinh": ["pham vi dieu chinh", "doi tuong ap dung", "ap dung doi voi"], "doi_tuong_ap_dung": ["doi tuong ap dung", "pham vi ap dung", "ap dung doi voi"],
-    "hieu_luc_thi_hanh": ["hieu luc thi hanh", "co hieu luc", "ngay co hieu luc"], "trach_nhiem": ["trach nhiem", "co trach nhiem", "chiu trach nhiem"],
-    "nhiem_vu_quyen_han": ["nhiem vu quyen han", "quyen va nghia vu"], "quyen_va_nghia_vu": ["quyen va nghia vu", "nghia vu cua", "quyen cua"],
-    "tham_quyen_xu_phat": ["tham quyen xu phat", "xu phat vi pham hanh chinh", "nguoi co tham quyen", "quyet dinh xu phat"], "xu_ly_ky_luat": ["xu ly ky luat", "hinh thuc ky luat"],
-    "dieu_kien_tuyen_dung": ["dieu kien tuyen dung", "tieu chuan tuyen dung"], "don_phuong_cham_dut_hop_dong": ["don phuong cham dut hop dong", "thoi han bao truoc"],
-    "trinh_tu_thu_tuc": ["trinh tu thu tuc", "ho so thu tuc"], "thoi_han_giai_quyet": ["thoi han giai quyet", "thoi han xu ly"],
+#: Concepts by pattern: tag, pattern, expansions, subclass (fixed values, in their order).
+CONCEPT_RULES = [
+    ("pham_vi_dieu_chinh", r"\bpham\s+vi\s+dieu\s+chinh\b", ["pham vi dieu chinh", "doi tuong ap dung", "ap dung doi voi", "dieu chinh cac hoat dong"], "concept_generic"),
+    ("doi_tuong_ap_dung", r"\bdoi\s+tuong\s+ap\s+dung\b", ["doi tuong ap dung", "pham vi ap dung", "ap dung doi voi"], "concept_generic"),
+    ("hieu_luc_thi_hanh", r"\b(?:thoi\s+diem\s+)?hieu\s+luc(?:\s+thi\s+hanh)?\b", ["co hieu luc", "hieu luc thi hanh", "ngay co hieu luc", "thoi diem co hieu luc"], "concept_generic"),
+    ("trach_nhiem", r"\btrach\s+nhiem\b", ["trach nhiem cua", "co trach nhiem", "chiu trach nhiem", "nhiem vu quyen han"], "concept_generic"),
+    ("nhiem_vu_quyen_han", r"\bnhiem\s+vu\s+quyen\s+han\b", ["nhiem vu quyen han", "quyen va nghia vu", "co trach nhiem"], "concept_generic"),
+    ("quyen_va_nghia_vu", r"\bquyen\s+va\s+nghia\s+vu\b", ["quyen va nghia vu", "quyen cua", "nghia vu cua"], "concept_generic"),
+    ("tham_quyen_xu_phat", r"\btham\s+quyen\s+xu\s+phat(?:\s+vi\s+pham\s+hanh\s+chinh)?\b", ["tham quyen xu phat", "xu phat vi pham hanh chinh", "nguoi co tham quyen", "quyet dinh xu phat"], "sanction_power"),
+    ("xu_ly_ky_luat", r"\bxu\s+ly\s+ky\s+luat\b", ["xu ly ky luat", "hinh thuc ky luat", "trinh tu xu ly ky luat"], "subject_action"),
+    ("dieu_kien_tuyen_dung", r"\bdieu\s+kien\s+tuyen\s+dung\b", ["dieu kien tuyen dung", "tieu chuan tuyen dung", "ho so tuyen dung"], "subject_action"),
+    ("don_phuong_cham_dut_hop_dong", r"\bdon\s+phuong\s+cham\s+dut\s+hop\s+dong\b", ["don phuong cham dut hop dong", "truong hop cham dut hop dong", "thoi han bao truoc"], "subject_action"),
+    ("trinh_tu_thu_tuc", r"\btrinh\s+tu\s+thu\s+tuc\b", ["trinh tu thu tuc", "ho so thu tuc", "co quan giai quyet"], "procedural"),
+    ("thoi_han_giai_quyet", r"\bthoi\s+han\s+giai\s+quyet\b", ["thoi han giai quyet", "thoi han xu ly", "thoi han thuc hien"], "procedural"),
+]
+#: Concepts by any of their phrases, wherever it stands (fixed values, in their order).
+CONCEPT_PHRASES = {
+    "pham_vi_dieu_chinh": ["pham vi dieu chinh", "doi tuong ap dung", "ap dung doi voi", "pham vi ap dung"],
+    "hieu_luc_thi_hanh": ["hieu luc", "hieu luc thi hanh", "co hieu luc", "thi hanh ke tu"],
+    "trach_nhiem": ["trach nhiem", "chiu trach nhiem", "co trach nhiem"],
+    "nhiem_vu_quyen_han": ["nhiem vu", "quyen han", "nhiem vu quyen han", "chuc nang nhiem vu quyen han"],
+    "quyen_va_nghia_vu": ["quyen va nghia vu", "quyen loi va nghia vu", "nghia vu", "quyen"],
+    "dieu_kien_tuyen_dung": ["dieu kien tuyen dung", "tieu chuan tuyen dung", "dieu kien du tuyen"],
+    "xu_ly_ky_luat": ["xu ly ky luat", "bi ky luat", "hinh thuc ky luat", "truong hop bi ky luat"],
+    "tham_quyen_xu_phat": ["tham quyen xu phat", "xu phat vi pham hanh chinh", "nguoi co tham quyen xu phat"],
+    "don_phuong_cham_dut_hop_dong": ["don phuong cham dut", "cham dut hop dong", "duoc quyen don phuong cham dut"],
+    "dieu_kien_huong": ["dieu kien huong", "duoc huong khi nao", "truong hop duoc huong"],
+    "thu_tuc_ho_so": ["thu tuc", "ho so", "trinh tu", "thanh phan ho so"],
+    "tham_quyen": ["tham quyen", "co quan co tham quyen", "quyet dinh boi ai"],
+}
+#: What a concept adds to the core, expanded and title texts (fixed values).
+CONCEPT_TEXTS = {
+    "pham_vi_dieu_chinh": (["pham vi dieu chinh"], ["pham vi dieu chinh", "doi tuong ap dung", "ap dung doi voi"], ["pham vi dieu chinh", "doi tuong ap dung"]),
+    "hieu_luc_thi_hanh": (["hieu luc thi hanh"], ["hieu luc thi hanh", "co hieu luc ke tu", "thi hanh ke tu"], ["hieu luc thi hanh"]),
+    "trach_nhiem": (["trach nhiem"], ["trach nhiem", "co trach nhiem", "chiu trach nhiem"], ["trach nhiem"]),
+    "nhiem_vu_quyen_han": (["nhiem vu quyen han"], ["nhiem vu quyen han", "nhiem vu", "quyen han", "chuc nang nhiem vu quyen han"], ["nhiem vu quyen han"]),
+    "quyen_va_nghia_vu": (["quyen va nghia vu"], ["quyen va nghia vu", "nghia vu", "quyen co ban", "nghia vu co ban"], ["quyen va nghia vu"]),
+    "tham_quyen_xu_phat": (["tham quyen xu phat vi pham hanh chinh"], ["tham quyen xu phat", "xu phat vi pham hanh chinh", "nguoi co tham quyen xu phat"], ["xu phat vi pham hanh chinh", "tham quyen xu phat"]),
+    "don_phuong_cham_dut_hop_dong": (["don phuong cham dut hop dong"], ["don phuong cham dut hop dong", "cham dut hop dong lao dong", "quyen don phuong cham dut"], ["cham dut hop dong", "don phuong cham dut hop dong"]),
+    "dieu_kien_tuyen_dung": (["dieu kien tuyen dung"], ["dieu kien tuyen dung", "tieu chuan tuyen dung", "dieu kien du tuyen"], ["dieu kien tuyen dung", "tieu chuan tuyen dung"]),
+    "xu_ly_ky_luat": (["xu ly ky luat"], ["xu ly ky luat", "hinh thuc ky luat", "truong hop bi ky luat"], ["xu ly ky luat", "hinh thuc ky luat"]),
+    "dieu_kien_huong": (["dieu kien huong"], ["dieu kien huong", "duoc huong khi nao", "truong hop duoc huong"], ["dieu kien huong", "truong hop duoc huong"]),
+    "thu_tuc_ho_so": (["thu tuc ho so"], ["thu tuc", "ho so", "trinh tu", "thanh phan ho so"], ["thu tuc", "ho so", "trinh tu"]),
+    "tham_quyen": (["tham quyen"], ["tham quyen", "co quan co tham quyen", "quyet dinh boi ai"], ["tham quyen", "co quan co tham quyen"]),
 }
 TOPICS = {
     "labor": r"\b(lao dong|hop dong lao dong|nguoi lao dong)\b", "civil_service": r"\b(cong chuc|can bo|vien chuc|thanh tra)\b", "administrative_sanction": r"\b(xu phat|vi pham hanh chinh|tham quyen xu phat)\b",
@@ -58,6 +95,12 @@ def _array(items: list[str]) -> Column:
     return F.array(*map(F.lit, items)) if items else F.array().cast("array<string>")
 
 
+def _of(tags: str, table: dict[str, list[str]]) -> Column:
+    """The phrases of all tags of an array column, in order."""
+    lookup = F.create_map(*[x for tag, p in table.items() for x in (F.lit(tag), _array(p))])
+    return F.flatten(F.transform(F.filter(tags, lambda t: F.map_contains_key(lookup, t)), lambda t: F.element_at(lookup, t)))
+
+
 def found(clean: Column, phrases: list[str]) -> Column:
     """Phrases of the table that stand in the query as whole words, in table order."""
     return F.filter(_array(phrases), lambda p: F.contains(F.concat(F.lit(" "), clean, F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" "))))
@@ -91,16 +134,23 @@ def sanitised(tokens: Column) -> Column:
     return F.aggregate(tokens, start, add)
 
 
+def concepts(queries: DataFrame) -> DataFrame:
+    """(clean, ...) with ``concept_tags``, by pattern and then by phrase, and ``concept_phrases``; strong phrases stand in ``clean``."""
+    clean = F.col("clean")
+    by_rule = F.array_compact(F.array(*(F.when(clean.rlike(p), F.lit(tag)) for tag, p, _, _ in CONCEPT_RULES)))
+    by_phrase = F.array_compact(F.array(*(F.when(F.greatest(*(F.contains(clean, F.lit(x)) for x in ps), F.lit(False)), F.lit(tag)) for tag, ps in CONCEPT_PHRASES.items())))
+    out = queries.withColumns({"_rules": by_rule, "concept_tags": F.array_distinct(F.concat(by_rule, by_phrase))})
+    expansions = _of("_rules", {tag: e for tag, _, e, _ in CONCEPT_RULES})
+    return out.withColumn("concept_phrases", F.array_distinct(F.concat(expansions, _of("concept_tags", CONCEPT_PHRASES)))).withColumn("_expansions", F.array_distinct(expansions)).drop("_rules")
+
+
 def rewrite(queries: DataFrame, query: str = "query") -> DataFrame:
     """The frame with its plan's columns: phrases, concepts, topic, anchors, texts, weakness, vagueness, confidence."""
     clean = F.col("clean")
     out = queries.withColumn("ascii", T.ascii_normal(F.col(query))).withColumn("clean", cleaned(F.col(query)))
     tables = {"strong_phrases": STRONG, "entity_phrases": ENTITIES, "procedural_phrases": PROCEDURES, "actor_terms": ACTORS, "action_terms": ACTIONS, "object_terms": OBJECTS, "qualifier_terms": QUALIFIERS}
     out = out.withColumns({name: found(clean, t) for name, t in tables.items()})
-    tags = F.array_compact(F.array(*(F.when(F.size(found(clean, p[:1])) > 0, F.lit(tag)) for tag, p in CONCEPTS.items())))
-    out = out.withColumn("concept_tags", tags)
-    table = F.create_map(*[x for tag, p in CONCEPTS.items() for x in (F.lit(tag), _array(p))])
-    out = out.withColumn("concept_phrases", F.array_distinct(F.flatten(F.transform("concept_tags", lambda t: F.element_at(table, t)))))
+    out = concepts(out)
     topic = F.when(F.lit(False), "")
     for name, pattern in TOPICS.items():
         topic = topic.when(clean.rlike(pattern), name)
@@ -115,11 +165,17 @@ def rewrite(queries: DataFrame, query: str = "query") -> DataFrame:
     out = out.withColumn("concept_confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)), 6))
     out = out.withColumn("_words", sanitised(F.filter(F.split("clean", " "), lambda t: t != ""))).withColumns({"lexical_tokens": F.col("_words.kept"), "lexical_flags": F.col("_words.flags")}).drop("_words")
     words = lambda c: F.filter(F.flatten(F.transform(c, lambda p: F.split(p, " "))), lambda t: t != "")
-    core = F.slice(F.col("lexical_tokens"), 1, 14)
+    texts = lambda k: _of("concept_tags", {tag: t[k] for tag, t in CONCEPT_TEXTS.items()})
+    tokens = lambda parts: F.filter(words(F.array_distinct(parts)), lambda t: (F.length(t) > 1) | t.rlike(r"^\d$"))
+    head = lambda c, n: F.slice(F.col(c), 1, n)
+    parts = F.concat(texts(0), head("strong_phrases", 2), head("actor_terms", 2), head("action_terms", 2), head("object_terms", 2))
+    plain = F.slice(F.filter(F.split("clean", " "), lambda t: (F.length(t) > 1) | t.rlike(r"^\d$")), 1, 10)
+    out = out.withColumn("lexical_query", F.array_join(F.slice("lexical_tokens", 1, 14), " ")).withColumn("_core", F.slice(F.when(F.size(parts) > 0, tokens(parts)).otherwise(plain), 1, 14))
+    more = F.concat(F.array(F.array_join("_core", " ")), texts(1), head("actor_terms", 3), head("action_terms", 3), head("object_terms", 3), head("legal_anchor_guess", 3), head("lexical_tokens", 8))
+    title = F.filter(F.array_distinct(F.concat(texts(2), head("legal_anchor_guess", 3), head("actor_terms", 2), head("object_terms", 2))), lambda p: ~p.isin("la gi", "quy dinh chung", "ve"))
     out = out.withColumns({
-        "lexical_core": F.array_join(core, " "), "lexical_expanded": F.array_join(F.slice(F.array_distinct(F.concat(core, words(F.col("concept_phrases")))), 1, 20), " "),
-        "title_anchor": F.array_join(F.slice(F.array_distinct(words(F.col("legal_anchor_guess"))), 1, 12), " "),
-        "concept_seed": F.array_join(F.slice(F.array_distinct(F.concat(words(F.col("concept_phrases")), words(F.col("actor_terms")))), 1, 18), " "),
+        "lexical_core": F.array_join("_core", " "), "lexical_expanded": F.array_join(F.slice(tokens(more), 1, 20), " "), "title_anchor": F.array_join(F.slice(tokens(title), 1, 12), " "),
+        "concept_seed": F.array_join(F.slice(F.array_distinct(F.concat(words(F.slice("_expansions", 1, 6)), words(F.col("concept_phrases")), words(F.col("actor_terms")))), 1, 18), " "),
         "semantic_text": F.concat_ws(" ", F.col("ascii"), F.array_join("legal_anchor_guess", " ")),
     })
     content = F.size(F.filter("lexical_tokens", lambda t: ~t.rlike(r"^\d+$")))
@@ -139,7 +195,7 @@ def rewrite(queries: DataFrame, query: str = "query") -> DataFrame:
     risk = F.size("vagueness_flags") * 2 + F.when(F.col("vagueness_level") == "hard", 4).otherwise(0)
     priors = F.create_map(*[x for k, v in TYPE_PRIORS.items() for x in (F.lit(k), _array(v))])
     local = F.col("ascii").rlike(LOCAL)
-    return out.withColumns({
+    return out.drop("_core", "_expansions").withColumns({
         "confidence": F.round(c, 6), "query_too_vague": F.col("vagueness_level") == "hard", "risk": F.when(risk >= 8, "high").when(risk >= 4, "medium").otherwise("low"),
         "doc_type_prior": F.element_at(priors, F.col("topic_class")), "doc_type_exclude": F.when(local, _array([])).otherwise(_array(["quyet_dinh_ubnd", "van_ban_dia_phuong"])),
         "bm25_query": F.coalesce(F.nullif(F.col("lexical_core"), F.lit("")), F.nullif(F.col("concept_seed"), F.lit("")), F.nullif(F.col("title_anchor"), F.lit("")), F.nullif(F.col("clean"), F.lit("")), F.col("ascii")),

@@ -60,8 +60,8 @@ def plans(queries: DataFrame, laws: DataFrame) -> DataFrame:
 
 def bm25_text() -> tuple[Column, Column]:
     """The text that BM25 searches for on the default route, by the first rule that holds, and the rule's name."""
-    lexical, clean = F.nullif(F.col("lexical_core"), F.lit("")), F.nullif(F.col("clean"), F.lit(""))
-    n = F.size(F.filter(F.split(F.coalesce("lexical_core", F.lit("")), " "), lambda w: w != ""))
+    lexical, clean = F.nullif(F.col("lexical_query"), F.lit("")), F.nullif(F.col("clean"), F.lit(""))
+    n = F.size(F.filter(F.split(F.coalesce("lexical_query", F.lit("")), " "), lambda w: w != ""))
     rules = [
         (abort() & (F.col("concept_seed") != ""), "weak_query_abort_concept_seed", F.col("concept_seed")), ((F.col("subclass") == "concept_generic") & lexical.isNotNull(), "concept_generic_expanded_lexical", F.col("lexical_expanded")),
         (F.col("query_too_vague"), "query_too_vague", F.coalesce(clean, F.col("query"))), (F.col("lexical_is_weak") & lexical.isNotNull() & (n >= 4), "lexical_weak_expanded", F.col("lexical_expanded")),
@@ -160,7 +160,7 @@ def search(index: IX.Index, queries: DataFrame, chunks: DataFrame, laws: DataFra
     lost = (F.col("route") == "hybrid_default") & (F.size("allowed") > 0) & ~SE.has_document(F.col("refs")) & ((F.col("n_bm25") + F.col("n_vector") == 0) | (F.col("n_bm25") == 0))
     again = (F.col("route") == "exact_doc") & (F.col("n_bm25") + F.col("n_vector") == 0)
     found = cut(found.withColumns({"scope_fallback": lost, "exact_retry": again}).drop("refs"), "routed-found")
-    words = rest.join(found.filter("scope_fallback").select("qid"), "qid", "left_semi").select("qid", F.col("query").alias("raw"), "clean", F.col("lexical_core").alias("lexical"), F.col("strong_phrases").alias("intents"), F.col("focus_terms").alias("focus"))
+    words = rest.join(found.filter("scope_fallback").select("qid"), "qid", "left_semi").select("qid", F.col("query").alias("raw"), "clean", F.col("lexical_query").alias("lexical"), F.col("strong_phrases").alias("intents"), F.col("focus_terms").alias("focus"))
     chosen = cut(SE.fallback_query(words), "routed-fallback")
     wide = max(8, min(12, FALLBACK_HITS))
     fallback = _gated(_bm25(index, chosen.select("qid", F.col("query").alias("text"), F.expr(NONE).alias("allowed"), F.lit(wide).alias("k")), known), rest, known)

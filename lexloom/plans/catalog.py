@@ -658,7 +658,7 @@ def concept_recall(spark, d):
 
 @query("fallback_queries")
 def fallback_queries(spark, d):
-    p = plans_of(spark, d).select("qid", F.col("query").alias("raw"), "clean", F.col("lexical_core").alias("lexical"), F.col("strong_phrases").alias("intents"), F.col("focus_terms").alias("focus"))
+    p = plans_of(spark, d).select("qid", F.col("query").alias("raw"), "clean", F.col("lexical_query").alias("lexical"), F.col("strong_phrases").alias("intents"), F.col("focus_terms").alias("focus"))
     return SE.fallback_query(p)
 
 
@@ -942,10 +942,10 @@ def structured_lookup(spark, d):
     return RT.structured_lookup(q, L.chunks(law_docs(spark, d).filter("doc_id % 5 > 0")))
 
 
-HEADS = [("QUỐC HỘI", "Luật"), ("CHÍNH PHỦ", "Nghị định"), ("BỘ NỘI VỤ", "Thông tư"), ("CHÍNH PHỦ", "Nghị quyết")]
+HEADS = [("QUỐC HỘI", "Luật", "Quốc hội"), ("CHÍNH PHỦ", "Nghị định", "Chính phủ"), ("BỘ NỘI VỤ", "Thông tư", "Bộ Nội vụ"), ("CHÍNH PHỦ", "Nghị quyết", "Chính phủ")]
 
 
-@query("imported_fields", f"""SELECT doc_id, doc_id || '/2024/NĐ-CP' AS number, {_sql_list([x[1] for x in HEADS])}[doc_id % 4 + 1] AS doc_type, {_sql_list([x[0] for x in HEADS])}[doc_id % 4 + 1] AS issuer, '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS issue_date FROM documents""")
+@query("imported_fields", f"""SELECT doc_id, doc_id || '/2024/NĐ-CP' AS number, {_sql_list([x[1] for x in HEADS])}[doc_id % 4 + 1] AS doc_type, {_sql_list([x[2] for x in HEADS])}[doc_id % 4 + 1] AS issuer, '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS issue_date FROM documents""")
 def imported_fields(spark, d):
     i, n = F.col("doc_id"), F.lit("\n")
     head = F.concat(_pick([x[0] for x in HEADS], i % 4), n, F.lit("Số: "), i.cast("string"), F.lit("/2024/NĐ-CP\nHà Nội, ngày "), (i % 28 + 1).cast("string"), F.lit(" tháng "), (i % 12 + 1).cast("string"), F.lit(" năm 2024\n"), F.upper(_pick([x[1] for x in HEADS], i % 4)), n, F.col("text"))

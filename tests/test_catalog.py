@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from lexloom.plans import catalog, indexes, registry, searches  # noqa: F401
+from lexloom.plans import catalog, indexes, registry, rules, searches  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators import concept as CO
 from lexloom.operators import retrieval as V
+from lexloom.operators import rewrite as Q
 from lexloom.operators import routed
-from lexloom.plans.catalog import index_of, passages, t, units
+from lexloom.plans.catalog import BM25_SQL, hits, index_of, passages, t, units
 from lexloom.plans.registry import query
 
 
@@ -69,3 +71,42 @@ def routed_decisions(spark, d):
 def routed_search(spark, d):
     """All stages of every question; tests hold them against plain Python."""
     return searched(spark, d)[0]
+
+
+#: Concept phrases behind which a question asks its passage; every sixth asks nothing of the kind.
+TOLD = ["Thẩm quyền xử phạt vi phạm hành chính", "Điều kiện tuyển dụng công chức", "", "Hiệu lực thi hành", "Đơn phương chấm dứt hợp đồng lao động", "Trách nhiệm của cán bộ"]
+
+
+def concept_questions(spark, d):
+    head = F.element_at(F.array(*map(F.lit, TOLD)), (F.col("qid") % len(TOLD) + 1).cast("int"))
+    return Q.rewrite(passages(spark, d).select("qid", F.trim(F.concat(head, F.lit(" "), "query")).alias("query"))).withColumn("focus_terms", F.array().cast("array<string>"))
+
+
+@query("concept_rounds")
+def concept_rounds(spark, d):
+    """What every concept question decides in its two rounds; tests hold the rounds against plain Python."""
+    ix = index_of(spark, d)
+    return CO.rounds(ix, concept_questions(spark, d), units(spark, d))[3]
+
+
+FEATURE_SQL = BM25_SQL + f""", q AS (SELECT item_id AS qid, [['thanh tra', 'cong chuc'], ['cong chuc'], [], ['lao dong']][item_id % 4 + 1] AS actors, [['xu phat'], [], ['tuyen dung'], ['cham dut']][item_id % 4 + 1] AS actions, [['tham quyen xu phat', 'xu phat vi pham hanh chinh', 'nguoi co tham quyen', 'quyet dinh xu phat'], ['dieu kien tuyen dung', 'tieu chuan tuyen dung'], [], ['trach nhiem', 'co trach nhiem', 'chiu trach nhiem']][item_id % 4 + 1] AS phrases FROM benchmark),
+d AS (SELECT doc_id, ['tham quyen xu phat cua thanh tra', 'dieu kien tuyen dung cong chuc', 'nguoi co tham quyen', 'co trach nhiem', ''][doc_id % 5 + 1] AS said, CASE WHEN doc_id % 7 = 0 THEN 'luat tieu chuan tuyen dung' WHEN doc_id % 7 = 1 THEN 'nghi dinh xu phat vi pham hanh chinh' ELSE 'luat so ' || (doc_id % 7) END AS title FROM documents)
+SELECT qid, doc_id AS id, least(2.0, list_sum([0.0] || [CASE WHEN contains(title, p) THEN 1.0 WHEN contains(said, p) THEN 0.5 ELSE 0.0 END FOR p IN phrases])) AS concept, least(2.0, list_sum([0.0] || [CASE WHEN contains(title, p) THEN 0.7 ELSE 0.0 END FOR p IN phrases])) AS title_anchor,
+least(1.5, (CASE WHEN a THEN 0.5 ELSE 0 END) + (CASE WHEN b THEN 0.5 ELSE 0 END) + (CASE WHEN a AND b THEN 0.4 ELSE 0 END)) AS actor_action, CASE WHEN doc_id % 7 = 1 THEN 'implementation_sanction' ELSE 'law_core' END AS role
+FROM (SELECT rk.qid, rk.doc_id, said, title, phrases, len(list_filter(actors, lambda x: contains(title || ' ' || said, x))) > 0 AS a, len(list_filter(actions, lambda x: contains(title || ' ' || said, x))) > 0 AS b FROM rk JOIN q USING (qid) JOIN d USING (doc_id) WHERE rank < 20)"""
+
+
+@query("item_features", FEATURE_SQL)
+def item_features(spark, d):
+    """Scores of found documents, whose titles and first words speak of concepts, for plans that ask for them."""
+    i, q = F.col("doc_id"), F.col("qid")
+    pick = lambda items, at: F.element_at(F.array(*items), (at % len(items) + 1).cast("int"))
+    words = lambda *lists: [F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in lists]
+    said = pick(list(map(F.lit, ("Thẩm quyền xử phạt của thanh tra", "Điều kiện tuyển dụng công chức", "người có thẩm quyền", "có trách nhiệm", ""))), i)
+    title = F.when(i % 7 == 0, "Luật Tiêu chuẩn tuyển dụng").when(i % 7 == 1, "Nghị định xử phạt vi phạm hành chính").otherwise(F.concat(F.lit("Luật số "), (i % 7).cast("string")))
+    chunks = t(spark, d, "documents").select(i.alias("id"), i.cast("string").alias("doc_id"), title.alias("title"), *(F.lit("").alias(c) for c in ("path", "article", "document_number")), said.alias("text"))
+    plan = passages(spark, d).select(
+        "qid", pick(words(["tham_quyen_xu_phat"], ["dieu_kien_tuyen_dung"], [], ["trach_nhiem"]), q).alias("concept_tags"), pick(words(["thanh tra", "cong chuc"], ["cong chuc"], [], ["lao dong"]), q).alias("actor_terms"),
+        pick(words(["xu phat"], [], ["tuyen dung"], ["cham dut"]), q).alias("action_terms"), *(F.array().cast("array<string>").alias(c) for c in ("object_terms", "legal_anchor_guess", "doc_type_prior")), F.lit("labor").alias("topic_class"),
+    )
+    return CO.features(hits(spark, d, 20), plan, chunks).select("qid", "id", "concept", F.round("title_anchor", 6).alias("title_anchor"), F.round("actor_action", 6).alias("actor_action"), "role")

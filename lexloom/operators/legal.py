@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,35 +141,69 @@ def pack_paragraphs(x: Column, limit: int = MAX_TOKENS) -> Column:
 CHUNK_COLUMNS = ("chunk_id", "doc_id", "title", "document_number", "doc_type", "issuer", "issue_date", "chapter", "section", "article", "clause", "point", "path", "text", "text_for_keyword", "token_count")
 
 
+def _words(text: str) -> int:
+    return int(len(text.split()) * 1.5)
+
+
+def _packed(text: str, limit: int = MAX_TOKENS) -> list[str]:
+    """What :func:`pack_paragraphs` does, for one text that is in Python anyway."""
+    done, run, n = [], [], 0
+    for p in (p.strip() for p in text.split("\n\n")):
+        k = len(p.split())
+        if p and run and int((n + k) * 1.5) > limit:
+            done.append("\n\n".join(run))
+            run, n = [], 0
+        if p:
+            run.append(p)
+            n += k
+    return [*done, "\n\n".join(run)] if run else done
+
+
+def _windowed(text: str, size: int = WINDOW_WORDS, overlap: int = OVERLAP_WORDS) -> list[str]:
+    words = text.split()
+    starts = range(0, max(len(words) - overlap, 1), size - overlap) if words else ()
+    return [" ".join(words[k : k + size]) for k in starts]
+
+
+def pieces(text: str) -> list[tuple]:
+    """(chapter, section, article, clause, article's number, clause's number, piece's number, pieces, body) of a text: one parse for all of them."""
+    found = parse_articles(text)
+    units = []
+    for k, a in enumerate(found):
+        head = f"Điều {a['article']}." + (f" {a['title']}" if a["title"] else "")
+        for c in a["clauses"] or [None]:
+            whole = f"{head}\n\n{c['text']}" if c else a["text"]
+            units.append((a["chapter"], a["section"], a["article"], c["number"] if c else "", k, min(int(c["number"]), 2**31 - 1) if c else 0, _packed(whole) if _words(whole) > MAX_TOKENS else [whole]))
+    if not found:
+        units.append(("", "", "", "", 0, 0, _windowed(text)))
+    return [(*u[:6], i, len(u[6]), body) for u in units for i, body in enumerate(u[6])]
+
+
+PIECES = "chapter string, section string, article string, clause string, n1 int, n2 int, i int, pieces int, body string"
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """Chunk rows of documents: clauses, whole articles, packed paragraphs of long ones, windows of unstructured texts."""
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
-    body = docs.withColumn("content", without_footer(F.coalesce("content", F.lit(""))))
-    found = articles(body.select("doc_id", "content"))
-    meta = docs.select("doc_id", F.col("title").alias("doc_title"), *(c for c in ("document_number", "doc_type", "issuer", "issue_date")))
-    one = F.explode_outer(F.when(F.size("clauses") > 0, F.col("clauses")))
-    rows = found.withColumn("c", one).withColumn("head", F.concat_ws(" ", F.concat(F.lit("Điều "), F.col("article"), F.lit(".")), F.nullif(F.col("title"), F.lit(""))))
-    rows = rows.withColumn("whole", F.when(F.col("c").isNotNull(), F.concat("head", F.lit("\n\n"), F.col("c.text"))).otherwise(F.col("text")))
-    long = T.token_estimate(F.col("whole")) > MAX_TOKENS
-    rows = rows.withColumn("piece", F.when(long, pack_paragraphs(F.col("whole"))).otherwise(F.array("whole")))
-    rows = rows.select("*", F.size("piece").alias("pieces"), F.posexplode("piece").alias("i", "body"))
-    clause = F.coalesce(F.col("c.number"), F.lit(""))
-    structured = rows.select(
-        "doc_id", "chapter", "section", F.col("article"), clause.alias("clause"), F.col("article_no").alias("n1"), F.coalesce(F.col("c.number").cast("int"), F.lit(0)).alias("n2"), "i", "body",
-        F.concat(F.col("doc_id"), F.lit("_d"), F.col("article"), F.when(clause != "", F.concat(F.lit("_k"), clause)).otherwise(""), F.when(F.col("pieces") > 1, F.concat(F.lit("_s"), F.col("i").cast("string"))).otherwise("")).alias("chunk_id"),
-        F.when(F.col("pieces") > 1, F.concat(F.lit(" (phần "), (F.col("i") + 1).cast("string"), F.lit(")"))).otherwise("").alias("suffix"),
-    )
-    plain = body.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    w = window_rows(plain, "content", "doc_id")
-    empty = F.lit("")
-    unstructured = w.select(
-        "doc_id", empty.alias("chapter"), empty.alias("section"), empty.alias("article"), empty.alias("clause"), F.lit(0).alias("n1"), F.lit(0).alias("n2"), "i", "body",
-        F.when(F.col("pieces") == 1, F.concat("doc_id", F.lit("_full"))).otherwise(F.concat(F.col("doc_id"), F.lit("_w"), F.col("i").cast("string"))).alias("chunk_id"),
-        F.when(F.col("pieces") > 1, F.concat(F.lit(" (phần "), (F.col("i") + 1).cast("string"), F.lit(")"))).otherwise("").alias("suffix"),
-    )
-    out = unique_ids(structured.unionByName(unstructured)).join(meta, "doc_id").withColumnRenamed("doc_title", "title")
-    path = F.when(F.col("article") != "", breadcrumb(F.col("title"), F.col("chapter"), F.col("section"), F.col("article"), F.col("clause"))).otherwise(F.col("title"))
-    out = out.withColumn("path", F.concat(path, F.col("suffix"))).withColumn("text", F.col("body")).withColumn("point", F.lit(""))
+    """Chunk rows of documents: clauses, whole articles, packed paragraphs of long ones, windows of unstructured texts; a document is parsed once."""
+    meta = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c == "content" else F.col(c).cast("string").alias(c) for c in ("doc_id", "title", "document_number", "doc_type", "issuer", "issue_date", "content")]
+    body = docs.select(*meta).withColumn("content", without_footer(F.col("content")))
+
+    def go(batches):
+        for batch in batches:
+            texts = batch.column("content").to_pylist()
+            found = [(k, *piece) for k, text in enumerate(texts) for piece in pieces(text or "")]
+            of, *cols = [list(x) for x in zip(*found, strict=True)] if found else [[]] * 10
+            own = batch.drop_columns(["content"]).take(pa.array(of, pa.int64()))
+            kinds = [pa.string()] * 4 + [pa.int32()] * 4 + [pa.string()]
+            names = [x.split()[0] for x in PIECES.split(", ")]
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[*own.schema.names, *names])
+
+    out = body.mapInArrow(go, "doc_id string, title string, document_number string, doc_type string, issuer string, issue_date string, " + PIECES)
+    many, c = F.col("pieces") > 1, F.col
+    structured = F.concat(c("doc_id"), F.lit("_d"), c("article"), F.when(c("clause") != "", F.concat(F.lit("_k"), c("clause"))).otherwise(""), F.when(many, F.concat(F.lit("_s"), c("i").cast("string"))).otherwise(""))
+    plain = F.when(many, F.concat(c("doc_id"), F.lit("_w"), c("i").cast("string"))).otherwise(F.concat("doc_id", F.lit("_full")))
+    suffix = F.when(many, F.concat(F.lit(" (phần "), (c("i") + 1).cast("string"), F.lit(")"))).otherwise("")
+    path = F.when(c("article") != "", breadcrumb(c("title"), c("chapter"), c("section"), c("article"), c("clause"))).otherwise(c("title"))
+    out = unique_ids(out.withColumns({"chunk_id": F.when(c("article") != "", structured).otherwise(plain), "path": F.concat(path, suffix), "text": c("body"), "point": F.lit("")}))
     out = out.withColumn("text_for_keyword", T.clean_text_native(F.concat_ws(" ", "title", "document_number", "path", "text"))).withColumn("token_count", T.token_estimate(F.col("text")))
     return out.select(*CHUNK_COLUMNS)
 

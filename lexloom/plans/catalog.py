@@ -793,15 +793,22 @@ def extracted_title(spark, d):
 
 
 # --- legal texts and questions over all documents -------------------------------------------------------
-# The driver's prose has no articles, so every document lends its words to a law of a known form; each fifth stays as it is.
+# The driver's prose has no articles, so every 200 characters of a document lend their words to a law of a known form; each fifth document stays as it is.
 
-PIECES_SQL = """WITH p AS (SELECT doc_id, text, trim(regexp_replace(substr(text, 1, 40), '[^a-zA-Z]+', ' ', 'g')) AS t1, trim(regexp_replace(substr(text, 41, 80), '[^a-zA-Z]+', ' ', 'g')) AS a, trim(regexp_replace(substr(text, 121, 80), '[^a-zA-Z]+', ' ', 'g')) AS b FROM documents),
+PIECES_SQL = """WITH o AS (SELECT doc_id AS o, text, unnest(range(0, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE greatest(1, CAST(ceil(length(text) / 200.0) AS BIGINT)) END)) AS i FROM documents),
+p0 AS (SELECT (o * 1000000 + i) * 5 + o % 5 AS doc_id, CASE WHEN o % 5 = 0 THEN text ELSE substr(text, i * 200 + 1, 200) END AS text FROM o),
+p AS (SELECT doc_id, text, trim(regexp_replace(substr(text, 1, 40), '[^a-zA-Z]+', ' ', 'g')) AS t1, trim(regexp_replace(substr(text, 41, 80), '[^a-zA-Z]+', ' ', 'g')) AS a, trim(regexp_replace(substr(text, 121, 80), '[^a-zA-Z]+', ' ', 'g')) AS b FROM p0),
 l AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN text ELSE 'Chương I. Chung' || chr(10) || 'Mục 1. ' || a || 'v' || chr(10) || 'Điều 1. ' || t1 || '.' || chr(10) || '1. ' || a || 'x' || chr(10) || 'a) ' || b || 'y' || chr(10) || '2. ' || b || 'z' || chr(10) || 'Chương II' || chr(10) || 'Điều 2a. ' || b || 'w' || chr(10) || 'Nội dung ' || a || 'k' END AS content FROM p)"""
 
 
 def pieces(spark, d):
+    """(doc_id, text, t1, a, b): the laws' numbers keep the document's remainder by 5."""
     part = lambda a, n: F.trim(F.regexp_replace(F.substring("text", a, n), "[^a-zA-Z]+", " "))
-    return texts(spark, d).select("doc_id", "text", part(1, 40).alias("t1"), part(41, 80).alias("a"), part(121, 80).alias("b"))
+    i, whole = F.col("doc_id"), F.col("doc_id") % 5 == 0
+    last = F.when(whole, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.length("text") / 200)) - 1)
+    rows = texts(spark, d).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("i"))
+    rows = rows.select(((i * 1_000_000 + F.col("i")) * 5 + i % 5).alias("doc_id"), F.when(whole, F.col("text")).otherwise(F.substring("text", (F.col("i") * 200 + 1).cast("int"), F.lit(200))).alias("text"))
+    return rows.select("doc_id", "text", part(1, 40).alias("t1"), part(41, 80).alias("a"), part(121, 80).alias("b"))
 
 
 def law_docs(spark, d):
@@ -861,7 +868,8 @@ def _pick(items, k):
 
 def kinds_of(spark, d):
     k = F.col("doc_id") % len(KINDS)
-    return pieces(spark, d).select("doc_id", _pick([x[0] for x in KINDS], k).alias("number"), F.concat_ws(" ", _pick([x[1] for x in KINDS], k), F.concat("t1", F.lit("q"))).alias("title"))
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", "q ")  # whole texts, none of whose words is one of a rule's
+    return texts(spark, d).select("doc_id", _pick([x[0] for x in KINDS], k).alias("number"), F.concat_ws(" ", _pick([x[1] for x in KINDS], k), F.concat(words, F.lit("q"))).alias("title"))
 
 
 @query("doc_type_bucket", f"SELECT doc_id, {_sql_list([x[2] for x in KINDS])}[doc_id % {len(KINDS)} + 1] AS kind FROM documents")

@@ -41,10 +41,10 @@ def append_records(records: DataFrame, path: str, url: str = "url") -> None:
     from lexloom.functions.text import normal_url
 
     new = records.withColumn("_key", normal_url(F.col(url))).dropDuplicates(["_key"])
-    try:
-        old = records.sparkSession.read.json(path).select(normal_url(F.col(url)).alias("_key"))
+    spark = records.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and any(s.getLen() and not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(at)):
+        old = spark.read.schema(records.schema).json(path).select(normal_url(F.col(url)).alias("_key"))
         new = new.join(old, "_key", "left_anti")
-    except Exception as e:  # the output does not exist before the first record
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
     new.drop("_key").write.mode("append").json(path)

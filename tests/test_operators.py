@@ -125,6 +125,10 @@ def test_sources_and_sinks(spark, tmp_path):
     p.write_text('{"a": 1}\nnot json\n{"a": 2}\n')
     assert [r.a for r in readers.json_lines(spark, str(p), "a int").collect()] == [1, 2]
     assert [r.a for r in readers.json_lines(spark, str(p), "a int", limit=2).collect()] == [1]
+    crawl = lambda *urls: spark.createDataFrame([(u, "t") for u in urls], "url string, title string")
+    for urls in (("https://x/van-ban/a.aspx", "https://x/van-ban/a.aspx#top"), ("https://x/van-ban/a.aspx", "https://x/van-ban/b.aspx")):
+        writers.append_records(crawl(*urls), str(tmp_path / "crawl"))
+    assert sorted(r.url.split("/")[-1][:6] for r in spark.read.json(str(tmp_path / "crawl")).collect()) == ["a.aspx", "b.aspx"]
     texts = tmp_path / "txt"
     texts.mkdir()
     (texts / "a.txt").write_text("\ufeff1\n2\n3\n4\n5")

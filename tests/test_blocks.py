@@ -94,3 +94,39 @@ def test_hits_are_searched_once_and_no_row_stands_for_a_query_a_term_and_a_docum
     found = IX.search(ix, spark.createDataFrame([(i, "common w0 w1") for i in range(200)], "qid int, query string"), 3)
     assert found.count() == 600 and found.inputFiles() and all("bm25-hits" in f for f in found.inputFiles())
     assert found.select(F.countDistinct("id")).first()[0] == 3
+
+
+def test_terms_are_counted_without_a_shuffle(spark, monkeypatch):
+    """The same rows as by groups, whatever is counted at once; documents without words have none."""
+    monkeypatch.setattr(blocks, "TOKENS", 40)
+    docs = spark.createDataFrame([*enumerate(texts(50, 5, 0, 90)), (50, None), (51, "")], "doc_id long, text string").withColumn("title", F.substring("text", 1, 9))
+    fields = {"content": "text", "title": "title"}
+    got = IX.counted(docs, "doc_id", fields, 8)
+    want = IX.postings_of(docs, "doc_id", fields, 8)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_holds_the_similarities_of_some_queries_at_a_time(spark, monkeypatch):
+    """However many queries there are, no product is larger than SCORE_BYTES; the hits are the same."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(400)]
+    v = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    q = v.filter("id < 300").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    want = sorted(map(tuple, V.vector_search(v, q, 5).withColumn("score", F.round("score", 9)).collect()))
+    most, best = 20_000, V._best
+
+    def small(s, ids, k):
+        assert s.nbytes <= most
+        return best(s, ids, k)
+
+    monkeypatch.setattr(V, "SCORE_BYTES", most)
+    seen, given = [], type(v).mapInArrow
+    monkeypatch.setattr(V, "_best", small)
+    monkeypatch.setattr(type(v), "mapInArrow", lambda self, go, schema, **more: (seen.append(go), given(self, go, schema, **more))[1])
+    V.vector_search(v, q, 5)
+    out = [b for go in seen for b in go(iter(v.toArrow().to_batches()))]
+    assert len(out) == 50 and sum(b.num_rows for b in out) == 300 * 5
+    monkeypatch.undo()
+    monkeypatch.setattr(V, "SCORE_BYTES", most)
+    assert sorted(map(tuple, V.vector_search(v, q, 5).withColumn("score", F.round("score", 9)).collect())) == want

@@ -130,3 +130,14 @@ def test_a_task_holds_the_similarities_of_some_queries_at_a_time(spark, monkeypa
     monkeypatch.undo()
     monkeypatch.setattr(V, "SCORE_BYTES", most)
     assert sorted(map(tuple, V.vector_search(v, q, 5).withColumn("score", F.round("score", 9)).collect())) == want
+
+
+def test_a_stored_row_lists_many_documents_of_a_term(spark, tmp_path):
+    """Sums of a list stand beside it, and a search joins lists with its terms before it unfolds them."""
+    docs = [(i, "common " + t) for i, t in enumerate(texts(100, 7))]
+    ix = IX.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), str(tmp_path))
+    row = ix.lists.filter("term = 'common'").collect()
+    assert len(row) == 1 and row[0].n == 100 and row[0].cf == 100 and sorted(row[0].id) == list(range(100))
+    assert ix.lists.count() <= 41 and ix.postings.count() == sum(len(set(t.split())) for _, t in docs)
+    found = IX.search(ix, spark.createDataFrame([(0, "common w1"), (1, "w39 w2")], "qid int, query string"), 9)
+    same(found.collect(), brute(docs, [(0, "common w1"), (1, "w39 w2")], 9))

@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.functions import refs as R
 from lexloom.operators import index as IX
 from lexloom.operators import routed
 from lexloom.operators import routing as RT
@@ -144,3 +145,25 @@ def test_law_lookup_by_rare_words(spark):
     assert (scope[2].route, scope[2].reason, scope[3].reason) == ("loose", "no_match", "no_law_name")
     assert (scope[4].route, scope[4].allowed, scope[4].reason) == ("candidate_docs", ["b"], "candidate_multiple_docs|candidate_trim_top1")
     assert laws.filter(F.col("doc_id") == "a").count() == 1
+
+
+def test_what_many_queries_refer_to_is_looked_up_once(spark, corpus, monkeypatch):
+    """The lookup gets each reference once, and every query its first chunks in order."""
+    chunks = corpus[1]
+    asked = [(q, "Điều 5 Nghị định 12/2022/NĐ-CP quy định gì?") for q in range(20)] + [(20, "Điều 6 Nghị định 12/2022/NĐ-CP quy định gì?")]
+    exact = spark.createDataFrame(asked, "qid int, query string").select("qid", R.legal_refs(F.col("query")).alias("refs"))
+    seen, lookup = [], RT.structured_lookup
+    monkeypatch.setattr(RT, "structured_lookup", lambda q, c: (seen.append(q.count()), lookup(q, c))[1])
+    got = routed._structured(exact, chunks, 1).collect()
+    assert seen == [2] and sorted((r.qid, r.id, r.match_type, r.rn) for r in got) == [(q, "n1", "article", 1) for q in range(20)] + [(20, "n3", "article", 1)]
+
+
+def test_scoped_queries_find_what_plain_search_finds_in_their_scope(spark, corpus):
+    """A posting meets the queries that may hit its document, each once, however often a scope names it."""
+    ix, chunks = corpus[:2]
+    q = spark.createDataFrame([(1, "bồi thường lao động"), (2, "bồi thường lao động"), (3, "đất")], "qid int, query string")
+    scopes = {1: ["l1", "n1"], 2: ["b1", "n1", "s1"], 3: ["n1"]}
+    allowed = spark.createDataFrame([(k, i) for k, v in scopes.items() for i in v * 2], "qid int, id string")
+    every = {(r.qid, r.id): round(r.score, 9) for r in IX.search(ix, q, 50).collect()}
+    got = IX.search(ix, q, 50, allowed=allowed).collect()
+    assert {(r.qid, r.id): round(r.score, 9) for r in got} == {x: s for x, s in every.items() if x[1] in scopes[x[0]]} and got

@@ -141,3 +141,29 @@ def test_a_stored_row_lists_many_documents_of_a_term(spark, tmp_path):
     assert ix.lists.count() <= 41 and ix.postings.count() == sum(len(set(t.split())) for _, t in docs)
     found = IX.search(ix, spark.createDataFrame([(0, "common w1"), (1, "w39 w2")], "qid int, query string"), 9)
     same(found.collect(), brute(docs, [(0, "common w1"), (1, "w39 w2")], 9))
+
+
+def test_lists_are_dealt_in_pieces_and_not_as_rows(spark, tmp_path, monkeypatch):
+    """A task sends a row for each block of documents, whatever the postings of its lists; a document's are in one block, and hits are the same."""
+    import pyarrow as pa
+
+    for ids in ([*range(500)], [f"d{i}" for i in range(500)]):
+        batch = pa.RecordBatch.from_pylist([{"id": ids[s:], "tf": [1] * (500 - s), "len": [5] * (500 - s), "slot": s, "idf": 1.5, "avg_len": 4.0} for s in range(9)])
+        pieces = list(blocks.deal(iter([batch]), 4))
+        assert sum(p.num_rows for p in pieces) == 4
+        held = [[r for b in blocks.dealt(iter([p])) for r in b.to_pylist()] for p in pieces]
+        assert sum(map(len, held)) == sum(500 - s for s in range(9)) and sum(len({r["id"] for r in h}) for h in held) == 500
+        assert all(abs(r["impact"] - 1.5 * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 5 / 4))) < 1e-12 for h in held for r in h)
+    monkeypatch.setattr(IX, "LEAST_POSTINGS", 50)
+    docs = [(i, "common " + t) for i, t in enumerate(texts(300, 8))]
+    ix = IX.build(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    queries = [(i, "common " + t) for i, t in enumerate(texts(20, 9, 1, 8))]
+    same(IX.search(ix, spark.createDataFrame(queries, "qid int, query string"), 6).collect(), brute(docs, queries, 6))
+
+
+def test_documents_are_counted_at_once_whatever_batches_they_come_in():
+    import pyarrow as pa
+
+    rows = pa.table({"id": [*range(12)], "field": ["content"] * 12, "text": ["a b", "", None, "b"] * 3})
+    found = [r for b in blocks.count_terms(iter(rows.to_batches(max_chunksize=2))) for r in b.to_pylist()]
+    assert {r["term"]: (r["n"], r["cf"], sorted(r["id"])) for r in found} == {"a": (3, 3, [0, 4, 8]), "b": (6, 6, [0, 3, 4, 7, 8, 11])} and len(found) == 2

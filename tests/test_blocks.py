@@ -167,3 +167,20 @@ def test_documents_are_counted_at_once_whatever_batches_they_come_in():
     rows = pa.table({"id": [*range(12)], "field": ["content"] * 12, "text": ["a b", "", None, "b"] * 3})
     found = [r for b in blocks.count_terms(iter(rows.to_batches(max_chunksize=2))) for r in b.to_pylist()]
     assert {r["term"]: (r["n"], r["cf"], sorted(r["id"])) for r in found} == {"a": (3, 3, [0, 4, 8]), "b": (6, 6, [0, 3, 4, 7, 8, 11])} and len(found) == 2
+
+
+def test_words_cut_from_bytes_are_the_pattern_s():
+    """Every edge of the class in every length of UTF-8, at the edges of texts, in slices."""
+    import re
+
+    import pyarrow as pa
+
+    from lexloom.functions import text as T
+
+    edges = [chr(c) for c in (0, 32, 45, 48, 65, 95, 97, 0x7F, 0x80, 0xBF, 0xC0, 0xD7, 0x110, 0x7FF, 0x800, 0xFFF, 0x1000, 0x1EBF, 0x1EC0, 0x1EF9, 0x1EFA, 0x1FFF, 0x2000, 0x4E2D, 0xFFFF, 0x10000, 0x1F600)]
+    rng = np.random.default_rng(10)
+    own = ["".join(rng.choice(edges, rng.integers(0, 30))) for _ in range(2000)] + ["", None, "ab", "c", " "]
+    for skip in (0, 7, len(own) - 1, len(own)):
+        found, n = blocks._words(pa.array(own, pa.large_string()).slice(skip))
+        want = [re.findall(T.WORD, x or "") for x in own[skip:]]
+        assert found.to_pylist() == [w for ws in want for w in ws] and n.tolist() == [len(ws) for ws in want]

@@ -184,3 +184,32 @@ def test_words_cut_from_bytes_are_the_pattern_s():
         found, n = blocks._words(pa.array(own, pa.large_string()).slice(skip))
         want = [re.findall(T.WORD, x or "") for x in own[skip:]]
         assert found.to_pylist() == [w for ws in want for w in ws] and n.tolist() == [len(ws) for ws in want]
+
+
+def test_lists_are_shuffled_in_pieces_and_merged(spark, tmp_path, monkeypatch):
+    """A term's documents that were counted at many times are one stored row, and hot terms go to several partitions, without a row lost."""
+    monkeypatch.setattr(blocks, "TOKENS", 40)
+    docs = spark.createDataFrame([(i, f"common w{i % 7} d{i}" if i % 10 else None) for i in range(300)], "doc_id long, text string").repartition(3)
+    fields = {"content": "text"}
+    ix = IX.build(docs, str(tmp_path / "one"))
+    assert ix.lists.count() == ix.lists.select("bucket", "term", "field").distinct().count() == 1 + 7 + 270
+    plan = IX.gathered(docs, "doc_id", fields, 4, 8, 300)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("shuffle_partition_id(part") == 1 and plan.count("Exchange") == 2  # the other deals out the rows above
+    want = sorted(map(tuple, IX.postings_of(docs, "doc_id", fields, 4).collect()))
+    for sent, hot in ((blocks.SENT, 300), (16, 300), (16, 50)):
+        monkeypatch.setattr(blocks, "SENT", sent)
+        monkeypatch.setattr(IX, "HOT_ROWS", hot)
+        got = IX.gathered(docs, "doc_id", fields, 4, 8, 300).withColumn("part", F.spark_partition_id())
+        assert sorted(map(tuple, IX.unfolded(got, "bucket", "term", "field").collect())) == want
+        assert {r.b for r in got.select((F.col("part") % 4 == F.col("bucket")).alias("b")).collect()} == ({True} if hot == 300 else {True, False})
+        assert (got.filter("term = 'common'").select("part").distinct().count() > 1) == (hot == 50)
+    index = spark.createDataFrame([(0, "common w3 d3")], "qid long, query string")
+    assert IX.search(ix, index, 1).first().id == 3
+
+
+def test_an_index_of_another_hash_is_refused(spark, tmp_path):
+    IX.Store(spark, str(tmp_path)).commit({}, None, {"kind": "bm25", "buckets": 1, "id": "doc_id", "fields": {"content": "text"}})
+    with pytest.raises(ValueError, match="older release"):
+        IX.read(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="older release"):
+        IX.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(tmp_path))
